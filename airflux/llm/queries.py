@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import hilbert, ogg, packing, quality, urls
 from .common import table
 
 
@@ -22,5 +23,33 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_matrices, op8_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_url_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = urls.temporal_list_join(urls.captures_of(pages), urls.listed_history(pages))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("day", "active_since")})
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.ogg_features(ogg.with_ogg(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_packed_matrices,
+        op5_url_list_join,
+        op6_hilbert_shards,
+        op8_best_fit_packing,
+        op9_ogg_media,
+    )
+}
+ORACLE: dict[str, str] = {"op5_url_list_join": urls.ORACLE_SQL}
