@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, ogg, packing, quality, urls
+from . import hilbert, langid, ogg, packing, pieces, quality, urls
 from .common import table
 
 
@@ -41,15 +41,25 @@ def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.ogg_features(ogg.with_ogg(table(spark, sf_dir, "documents")))
 
 
+def op4_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_packed_matrices,
+        op4_piece_viterbi,
         op5_url_list_join,
         op6_hilbert_shards,
         op8_best_fit_packing,
         op9_ogg_media,
+        op10_language_spans,
     )
 }
 ORACLE: dict[str, str] = {"op5_url_list_join": urls.ORACLE_SQL}
