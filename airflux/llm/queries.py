@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, langid, ogg, packing, pieces, quality, urls
+from . import hilbert, hyperminhash, langid, ogg, packing, pieces, quality, urls
 from .common import table
 
 
@@ -49,11 +49,16 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_packed_matrices,
+        op3_near_duplicates,
         op4_piece_viterbi,
         op5_url_list_join,
         op6_hilbert_shards,
