@@ -255,8 +255,9 @@ class WordScores:
 LABELLED = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,words:int>>"
 
 
-def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and the labelled spans (language, words) of every document."""
+def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and the labelled spans (language, words) of every document;
+    with ``carry`` also its row, as a struct ``row``, which goes through the tasks unchanged."""
     langs = model.langs
     span = pa.struct([("lang", pa.string()), ("words", pa.int32())])
 
@@ -270,7 +271,8 @@ def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY)
                 keep = known.letters[word] > 0
                 begin = np.append(0, np.cumsum(keep))[first]
                 word = word[keep]
-                yield result(part.column(0), begin, known.scores[word], known.letters[word])
+                out = result(part.column(0), begin, known.scores[word], known.letters[word])
+                yield out.append_column("row", part.column(2)) if carry else out
 
     def result(doc_id: pa.Array, begin: np.ndarray, scores: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
         n, rows = len(begin) - 1, np.diff(begin)
@@ -298,10 +300,13 @@ def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY)
             names=["doc_id", "lang_pred", "score", "spans"],
         )
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LABELLED)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
+    row = F.struct(*docs.columns).alias("row")
+    taken = docs.select(F.col("doc_id").cast("long"), "text", *[row] * carry)
+    kind = taken.schema["row"].dataType.simpleString() if carry else ""
+    out = taken.mapInArrow(run, LABELLED + f", row {kind}" * carry)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans", *["row"] * carry)
 
 
-def language_id(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> DataFrame:
+def language_id(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, carry: bool = False) -> DataFrame:
     """Learn from a bounded sample of ``docs`` and label all of them."""
-    return labelled_documents(docs, train(docs, sample), penalty)
+    return labelled_documents(docs, train(docs, sample), penalty, carry)

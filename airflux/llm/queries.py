@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, hyperminhash, langid, ogg, packing, pieces, quality, urls
+from . import hilbert, hyperminhash, langid, ogg, packing, pieces, quality, repeats, urls
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES = {
         op4_piece_viterbi,
         op5_url_list_join,
         op6_hilbert_shards,
+        op7_repeated_strings,
         op8_best_fit_packing,
         op9_ogg_media,
         op10_language_spans,
