@@ -1,8 +1,77 @@
-"""A corpus pipeline of five stages."""
+"""Corpus pipeline: documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; all
+but the last return the columns of ``documents``.  Rows with the same doc_id share the quality
+verdict (rejected if any of them is) and the near-duplicate one, after which one of them stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from airflux.llm import hyperminhash, langid, packing, quality, repeats
+from airflux.llm.common import table, written
+from airflux.llm.queries import tokenizer_path
+
+LEAST_SHARE = 0.34  # of letters in the language of the document
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    verdict = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    rejected = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__rejected"]), "left_anti").select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of undetermined language go, and those without a leading one."""
+    labelled = langid.language_id(docs, carry=True)
+    fine = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)
+    return labelled.where(fine).select(*(F.col("row")[c].alias(c) for c in COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the least doc_id."""
+    kept = hyperminhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    # Rows without a doc_id cannot be told apart by it; all of them stay.
+    again = F.col("doc_id").isNotNull() & (F.row_number().over(one) > 1)
+    return rows.withColumn("__again", again).where(~F.col("__again")).select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that a document with a smaller doc_id has, too, are cut out of the texts."""
+    left = repeats.removed_repeats(docs, keep_text=True).select(F.col("doc_id").alias("__id"), F.col("text").alias("__left"))
+    rest = docs.select("doc_id", "lang", "source")
+    joined = left.dropDuplicates(["__id"]).join(rest, rest["doc_id"].eqNullSafe(left["__id"]))
+    return joined.select(
+        "doc_id", F.col("__left").alias("text"), "lang", "source", F.length("__left").cast("long").alias("n_chars")
+    )
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces packed into sequences of at most 2048 tokens."""
+    return packing.best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The stages learn models and run a tokenizer, which SQL cannot; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
