@@ -152,8 +152,12 @@ def _unpacked(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-def chunks(docs: DataFrame, chunk_bytes: int = SLICE_BYTES) -> DataFrame:
-    """chunk, n, ids (64-bit doc_ids; null: the largest), ends (cumulative lengths) and z (texts)."""
+def chunks(docs: DataFrame, chunk_bytes: int = SLICE_BYTES, carry: bool = False) -> DataFrame:
+    """chunk, n, ids (64-bit doc_ids; null: the largest), ends (cumulative lengths) and z (texts);
+    with ``carry`` the rows but for their texts, too."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    taken = docs.select(F.col("doc_id").cast("long"), "text", *[F.struct(F.lit(0).alias("_"), *others).alias("row")] * carry)
+    kind = f", rest array<{taken.schema['row'].dataType.simpleString()}>" if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -163,11 +167,12 @@ def chunks(docs: DataFrame, chunk_bytes: int = SLICE_BYTES) -> DataFrame:
                 ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 row = [[part.num_rows], [part.column(0).null_count], [ids.tobytes()], [offs[1:].tobytes()], [pack(raw.tobytes())]]
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=["n", "nulls", "ids", "ends", "z"])
+                out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=["n", "nulls", "ids", "ends", "z"])
+                if carry:
+                    out = out.append_column("rest", pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), part.column(2)))
+                yield out
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "n long, nulls long, ids binary, ends binary, z binary"
-    )
+    out = taken.mapInArrow(run, "n long, nulls long, ids binary, ends binary, z binary" + kind)
     return out.withColumn("chunk", F.monotonically_increasing_id())
 
 
@@ -361,13 +366,14 @@ def _shared(chunk: Chunk, flags) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_repeats(
-    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, hot: int = 8192, chunk_bytes: int = SLICE_BYTES
+    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: bool = False, hot: int = 8192, chunk_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``keep_text`` the text
-    that is left, too (a character that lost some of its bytes is dropped)."""
+    that is left, too (a character that lost some of its bytes is dropped), with ``carry`` a struct
+    ``row`` of the input's other columns."""
     if width <= GRAM:
         raise ValueError(f"width must be over {GRAM}")
-    parts = written(chunks(docs, chunk_bytes), "chunks")
+    parts = written(chunks(docs, chunk_bytes, carry), "chunks")
     total = parts.select(F.sum(F.octet_length("ends"))).first()[0] or 0
     size = parts.select(F.sum(F.octet_length("z"))).first()[0] or 0
     buckets = 1 + int(size * 2.5 / 14 / 1_000_000) + total // (8 * 4_000_000)
@@ -375,7 +381,9 @@ def removed_repeats(
     side = width - GRAM
     span = 2 * side + GRAM
     flags = written(shared_flags(parts, width, buckets, hot), "flags")
-    rows = parts.join(flags, "chunk", "left").select("chunk", "ids", "ends", "z", "flags", "nulls", "common")
+    rows = parts.join(flags, "chunk", "left").select("chunk", "ids", "ends", "z", "flags", "nulls", "common", *["rest"] * carry)
+
+    slim = [c for c in rows.columns if c != "rest"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +416,7 @@ def removed_repeats(
             out.append((chunk, len(some), _packed((some + start).astype(np.int64), bits)))
         return pd.DataFrame(out, columns=["chunk", "n", "blob"])
 
-    sent = rows.mapInArrow(send, "bucket long, chunk long, start long, n long, blob binary")
+    sent = rows.select(*slim).mapInArrow(send, "bucket long, chunk long, start long, n long, blob binary")
     back = sent.groupBy("bucket").applyInPandas(meet, "chunk long, n long, blob binary")
     cover = back.where("n > 0").groupBy("chunk").agg(F.collect_list(F.struct("n", "blob")).alias("cover"))
 
@@ -436,7 +444,7 @@ def removed_repeats(
 
     whole = rows.join(cover, "chunk", "left")
     if flags.agg(F.sum("common")).first()[0]:
-        hot_rows = rows.where("common > 0").mapInArrow(windows, "window long, chunk long, low long, high long")
+        hot_rows = rows.where("common > 0").select(*slim).mapInArrow(windows, "window long, chunk long, low long, high long")
         hot_rows = written(hot_rows, "windows")
         least = hot_rows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"))
         least = least.where("least < most").select("window", "least")
@@ -448,7 +456,7 @@ def removed_repeats(
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, ends, z, flag, marks, commons, nulls = (c[k].as_py() for c in batch.columns)
+                ids, ends, z, flag, marks, commons, nulls = (c[k].as_py() for c in batch.columns[:7])
                 own = Chunk(ids, ends, z, width)
                 by_context, by_window = _shared(own, flag)
                 entries, (number, larger, at, left, right) = own.contexts(by_context, width)
@@ -485,10 +493,14 @@ def removed_repeats(
                     hit = (w[place] == h) & (d[place] < doc)
                     mark(start[hit], start[hit] + width)
                 covered = np.cumsum(gone[:-1]) > 0
-                yield _result(own, covered, nulls, keep_text)
+                out = _result(own, covered, nulls, keep_text)
+                yield out.append_column("row", batch.column(7)[k].values) if carry else out
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return whole.select("ids", "ends", "z", "flags", "cover", "hot", "nulls").mapInArrow(finish, schema)
+    if carry:
+        schema += f", row {parts.schema['rest'].dataType.elementType.simpleString()}"
+    last = whole.select("ids", "ends", "z", "flags", "cover", "hot", "nulls", *["rest"] * carry)
+    return last.mapInArrow(finish, schema)
 
 
 def _hot_windows(own: Chunk, which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
