@@ -45,11 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that a document with a smaller doc_id has, too, are cut out of the texts."""
-    left = repeats.removed_repeats(docs, keep_text=True).select(F.col("doc_id").alias("__id"), F.col("text").alias("__left"))
-    rest = docs.select("doc_id", "lang", "source")
-    joined = left.dropDuplicates(["__id"]).join(rest, rest["doc_id"].eqNullSafe(left["__id"]))
-    return joined.select(
-        "doc_id", F.col("__left").alias("text"), "lang", "source", F.length("__left").cast("long").alias("n_chars")
+    left = repeats.removed_repeats(docs, keep_text=True, carry=True)
+    return left.select(
+        "doc_id", "text", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), F.length("text").cast("long").alias("n_chars")
     )
 
 
