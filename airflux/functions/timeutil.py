@@ -44,7 +44,7 @@ def duration_us(text: str) -> int:
 def freq_hours(freq: str) -> float:
     """Hours of a fixed frequency; calendar ones (W, MS, ...) raise."""
     n, unit = _split(freq)
-    if unit.lower() not in UNIT_SECONDS or unit.lower() == "w":
+    if unit.lower() not in UNIT_SECONDS or unit.lower() == "w" or unit == "MS":
         raise ValueError(f"not a fixed frequency: {freq!r}")
     return n * UNIT_SECONDS[unit.lower()] / 3600
 

@@ -74,11 +74,10 @@ def run(
         done = set()
     pending = [c for c in configs if config_id(c) not in done and (only is None or config_id(c) in only)]
 
-    def work(config: InversionConfig) -> None:
-        spark.createDataFrame([run_one(config, solve)], ROW).coalesce(1).write.mode("append").parquet(rows)
-
+    # Solves run side by side; the rows are appended by one thread, so that writers never meet.
     with ThreadPoolExecutor(max_workers=jobs) as pool:
-        list(pool.map(work, pending))
+        for row in pool.map(lambda c: run_one(c, solve), pending):
+            spark.createDataFrame([row], ROW).coalesce(1).write.mode("append").parquet(rows)
     return results(spark, path)
 
 

@@ -64,17 +64,17 @@ def read_gas_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_met_csv(spark: SparkSession, path: str, columns: list[str] = MET_COLUMNS, skip: int = 3) -> DataFrame:
     """Mobile-lab meteorology file: ``skip`` heading lines, fixed columns, time put together from its parts."""
-    lines = spark.read.option("wholetext", False).text(path).withColumn("filename", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("filename"))
     number = F.row_number().over(_per_file())
     lines = lines.withColumn("__line", F.monotonically_increasing_id()).withColumn("__n", number).where(f"__n > {skip}")
-    fields = F.transform(F.split("value", ","), F.trim)
+    fields = F.transform(F.split("value", ","), lambda x: F.trim(x))
     parts = lines.where(F.size(F.split("value", ",")) == len(columns)).select(
         "filename", *(F.get(fields, F.lit(k)).alias(c) for k, c in enumerate(columns))
     )
     hms = F.lpad("hhmmss", 6, "0")
     time = F.expr(
         "try_make_timestamp(try_cast(year as int), try_cast(month as int), try_cast(day as int),"
-        " try_cast(substr(__hms, 1, 2) as int), try_cast(substr(__hms, 3, 2) as int), try_cast(substr(__hms, 5, 2) as double))"
+        " try_cast(substr(__hms, 1, 2) as int), try_cast(substr(__hms, 3, 2) as int), try_cast(substr(__hms, 5, 2) as decimal(16, 6)))"
     ).cast("timestamp_ntz")
     keep = [c for c in columns if c not in ("year", "month", "day", "hhmmss")]
     return (
