@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, timeutil
-from .operators import aggregate, inversion, joins, qa, results, windows
+from .operators import aggregate, inversion, joins, mobile, qa, report, results, windows
 from .plans import observations as plan
 from .plans.config import InversionConfig, config_id
+from .plans.inversion import enough
 from .sources import registry, writers
 from .streaming import hourly
 
@@ -589,3 +590,61 @@ def wind_vectors(spark, sf_dir):
 def utm_positions(spark, sf_dir):
     e, n = geo.utm(F.col("latitude"), F.col("longitude"))
     return obs(spark, sf_dir).select("event_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+
+
+# --- tables behind figures -------------------------------------------------------------------------
+
+
+@query("""with m as (select p_partkey % 90 as lon, p_size as lat, avg(p_retailprice) as v from part group by 1, 2) select lon, lat, round(v, 6) as value from m""")
+def cell_time_mean(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey % 90 as lon", "p_size as lat", "p_retailprice as value")
+    return report.time_mean(rows).select("lon", "lat", r6("value"))
+
+
+@query("""select distinct p_partkey % 90 as cell from part where p_partkey % 90 not in (select l_partkey % 90 from lineitem where l_quantity > 49 and l_orderkey % 40 = 0)""")
+def removed_cells(spark, sf_dir):
+    full = read(spark, sf_dir, "part").selectExpr("p_partkey % 90 as cell")
+    kept = read(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_orderkey % 40 = 0").selectExpr("l_partkey % 90 as cell")
+    return report.removed_cells(full, kept, ["cell"])
+
+
+@query("""with a as (select date_trunc('month', o_orderdate)::timestamp as time, sum(o_totalprice) as p from orders group by 1),
+  b as (select date_trunc('month', o_orderdate)::timestamp as time, sum(o_totalprice) as q from orders where o_orderstatus = 'F' group by 1)
+  select time, round(p, 2) as prior, round(q, 2) as posterior, round(100 * (q - p) / nullif(p, 0), 4) as change_pct from a full join b using (time)""")
+def flux_summary(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").withColumn("time", timeutil.floor_period(F.col("o_orderdate"), "M"))
+    total = lambda df: df.groupBy("time").agg(F.sum("o_totalprice").alias("total"))
+    out = report.summary(total(rows), total(rows.where("o_orderstatus = 'F'")))
+    return out.select("time", F.round("prior", 2).alias("prior"), F.round("posterior", 2).alias("posterior"), F.round("change_pct", 4).alias("change_pct"))
+
+
+@query(f"""with {OBS}, g as (select distinct site, "Time_UTC" as t, latitude, longitude from obs where event_id % 7 = 0 qualify row_number() over (partition by site, "Time_UTC" order by event_id) = 1)
+  select o.event_id, g.latitude, g.longitude from (select * from obs where event_id % 7 <> 0) o asof join g on o.site = g.site and o."Time_UTC" >= g.t
+  where o."Time_UTC" - g.t <= interval 2 hour""")
+def gps_positions(spark, sf_dir):
+    rows = obs(spark, sf_dir)
+    fixes = rows.where("event_id % 7 = 0").groupBy("site", "Time_UTC").agg(*(F.min_by(c, "event_id").alias(c) for c in ("latitude", "longitude")))
+    left = rows.where("event_id % 7 <> 0").select("event_id", "site", "Time_UTC")
+    out = joins.asof_join(left, fixes, ["site"], "Time_UTC", ["latitude", "longitude"], 2 * 3600 * 1_000_000)
+    return out.dropna(subset=["latitude"]).select("event_id", "latitude", "longitude")
+
+
+@query(f"with {OBS} select event_id from obs where longitude not between -112.095 and -111.905 or latitude not between 40.505 and 40.695")
+def outside_storage(spark, sf_dir):
+    ring = [(-112.095, 40.505), (-111.905, 40.505), (-111.905, 40.695), (-112.095, 40.695)]
+    return mobile.outside(obs(spark, sf_dir), ring).select("event_id")
+
+
+@query("""with b as (select o_orderkey, o_totalprice, count(*) over (partition by date_trunc('month', o_orderdate)) as n from orders) select o_orderkey from b where n >= 60""")
+def enough_per_interval(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("obs_time"))
+    return enough(rows, InversionConfig().min_obs_per_interval).select("o_orderkey")
+
+
+@query("""with h as (select user_id % 3 as site, date_trunc('hour', ts)::timestamp as obs_time, avg(value) as v from events group by 1, 2),
+  m as (select obs_time, avg(v) as v from h group by 1)
+  select obs_time, round(case when count(v) over w >= 6 then quantile_cont(v, 0.01) over w end, 6) as background from m
+  window w as (order by obs_time range between interval '23:59:59.999999' preceding and current row)""")
+def rolling_background(spark, sf_dir):
+    hourly_ = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("site"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).agg(F.avg("value").alias("CH4"))
+    return plan.background("rolling", hourly_, window="1d", min_periods=6).select("obs_time", r6("background"))

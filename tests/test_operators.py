@@ -414,3 +414,53 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from hourly_out").count() == 6
+
+
+def test_gps_merge(spark):
+    from airflux.operators import mobile
+
+    rows = [("t", BASE + timedelta(seconds=10 * k), -111.9 + 0.001 * k, 40.7, 1300.0 + k) for k in range(100)]
+    gps = spark.createDataFrame(rows, "site string, Time_UTC timestamp_ntz, longitude double, latitude double, altitude double")
+    obs = spark.createDataFrame([("t", BASE + timedelta(seconds=s), 2.0) for s in (205, 505, 99999)], "site string, Time_UTC timestamp_ntz, CH4 double")
+    got = mobile.merge_with_gps(obs, gps, "UATAQ").orderBy("Time_UTC").collect()
+    assert [r["longitude"] for r in got] == pytest.approx([-111.88, -111.85])
+    ring = [(-111.885, 40.6), (-111.875, 40.6), (-111.875, 40.8), (-111.885, 40.8)]
+    assert mobile.merge_with_gps(obs, gps, "UATAQ", storage=ring, tolerance_us=70_000_000).count() == 2
+    assert mobile.merge_with_gps(obs, gps, "UATAQ", storage=ring).count() == 1
+    with pytest.raises(ValueError):
+        mobile.merge_with_gps(obs, gps, "DAQ")
+    metres = mobile.in_metres(gps).orderBy("Time_UTC")
+    first, last = metres.first(), metres.tail(1)[0]
+    line = [(first["easting"], first["northing"]), (last["easting"], last["northing"])]
+    assert mobile.on_routes(mobile.in_metres(gps), {"g": line, "b": line}).count() == 100
+    assert mobile.on_routes(mobile.in_metres(gps), {"g": line, "b": line}, dedupe=False).count() == 200
+    assert mobile.on_routes(mobile.in_metres(gps), {"g": [(x, y + 99999) for x, y in line]}).count() == 0
+    assert mobile.route_points({"g": [(0, 0), (100, 0)], "b": [(0, 0), (0, 100)]}, 50)[0] == (0, 0, "bg")
+
+
+def test_whole_inversion(spark):
+    from airflux.plans.inversion import Inputs, run
+
+    h, s0, z, jac, prior, obs, cells = toy(spark)
+    frame = lambda v: spark.createDataFrame([(*o, float(x)) for o, x in zip(obs, v)], "obs_location string, obs_time timestamp_ntz, value double")
+    cov = lambda o: inversion.mdm_entries(o, 0.2, correlated=False)
+    out = run(Inputs(frame(z), prior, jac, frame(np.full(8, 0.5)), cov), InversionConfig())
+    assert out.posterior.count() == 6 and 0 < out.metrics["DOFS"] < 6 and set(out.seconds) == {"gather", "solve"}
+    part = run(Inputs(frame(z), prior, jac, frame(np.full(8, 0.5)), cov), InversionConfig(jacobian_coverage_percentile=40))
+    assert part.posterior.count() < 6 and part.full_posterior.count() == 6 and "coverage" in part.seconds
+
+
+def test_report_tables(spark):
+    from airflux.operators import report
+
+    same = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 3.0)], "t int, v double")
+    assert report.same_everywhere(same, "t", "v") and not report.same_everywhere(same.union(spark.createDataFrame([(2, 4.0)], same.schema)), "t", "v")
+    assert report.by_type(registry.sites(spark)).count() == 10
+    obs = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0)], "obs_time int, obs_location string, CH4 double")
+    assert report.by_location(obs, ["a", "b"]).first()["b"] == 3.0
+    with pytest.raises(Exception, match="two values"):
+        report.by_location(obs.union(obs), ["a", "b"]).collect()
+    marks = report.markers(spark.createDataFrame([("lpg",), ("cng",)], "category string"), {"cng": "o"})
+    assert {r["category"]: r["marker"] for r in marks.collect()} == {"lpg": None, "cng": "o"}
+    d = spark.range(1).select(report.density(F.lit(500.0), F.lit(1e6)).alias("a"), report.density(F.lit(50.0), F.lit(1e6)).alias("b")).first()
+    assert d["a"] == 0.5 and d["b"] is None
