@@ -18,6 +18,7 @@ ids; an empty table gives an empty result; other columns, whatever their names,
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -100,7 +101,7 @@ def read_pieces(path: str) -> tuple[list[tuple[str, float, int]], dict[int, int]
 def viterbi_encoder(path: str) -> PieceEncoder:
     pieces, by_byte, _ = read_pieces(path)
     model = PieceModel(pieces, by_byte)
-    return PieceEncoder(lambda texts: [model.segment(t.replace(" ", BLANK)) for t in texts])
+    return PieceEncoder(lambda texts: [model.segment(t.replace(" ", BLANK)) for t in texts], most=200_000)
 
 
 @lru_cache(maxsize=2)
@@ -111,57 +112,83 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(n) - n, n, np.frombuffer(b"".join(table), np.uint8)
 
 
+def encode_part(part: pa.RecordBatch, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a slice end to end, and the rows' offsets in them."""
+    raw, offs = buffer_of(part)
+    some = offs[1:] > offs[:-1]
+    lead = np.insert(raw, offs[:-1][some], 0x20)
+    moved = offs + np.append(0, np.cumsum(some))
+    cuts, first = space_cuts(lead, moved, only_space=True)
+    stretches, which = distinct_pieces(lead, cuts)
+    starts, lengths = encoder(stretches)
+    per = lengths[which]
+    return encoder.pool[ranges(starts[which], per)].astype(np.int32), np.append(0, np.cumsum(per))[first]
+
+
+def decode_ids(ids: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """UTF-8 bytes of each row's text, without the leading blank."""
+    start, length, pool = table
+    out = pool[ranges(start[ids], length[ids])].tobytes()
+    ends = np.append(0, np.cumsum(length[ids]))[at].tolist()
+    return [out[a + 1 if b > a else a : b] for a, b in zip(ends, ends[1:])]
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the CRC-32 and length in bytes of the text."""
+    """doc_id and ids of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = viterbi_encoder(path)
         for batch in batches:
             for part in slices(batch):
-                raw, offs = buffer_of(part)
-                some = offs[1:] > offs[:-1]
-                lead = np.insert(raw, offs[:-1][some], 0x20)
-                moved = offs + np.append(0, np.cumsum(some))
-                cuts, first = space_cuts(lead, moved, only_space=True)
-                stretches, which = distinct_pieces(lead, cuts)
-                starts, lengths = encoder(stretches)
-                per = lengths[which]
-                flat = encoder.pool[ranges(starts[which], per)]
-                at = np.append(0, np.cumsum(per))[first]
-                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], names=["doc_id", "text_crc32", "ids"])
-
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32")
-    return docs.select(F.col("doc_id").cast("long"), crc, "text").mapInArrow(
-        run, "doc_id long, text_crc32 long, ids array<int>"
-    )
+                ids, at = encode_part(part, encoder)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=["doc_id", "ids"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (doc_id, text_crc32, ids) plus the text that the ids stand for."""
+    """doc_id and the text that ``ids`` stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, length, pool = byte_table(path)
+        table = byte_table(path)
         for batch in batches:
-            col = batch.column(2)
+            col = batch.column(1)
             at = col.offsets.to_numpy().astype(np.int64)
-            ids = col.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-            at = at - at[0]
-            out = pool[ranges(start[ids], length[ids])].tobytes()
-            ends = np.append(0, np.cumsum(length[ids]))[at].tolist()
-            text = [out[a + 1 if b > a else a : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "text"])
+            text = decode_ids(col.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0], table)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())], names=["doc_id", "text"]
+            )
 
-    return rows.mapInArrow(run, "doc_id long, text_crc32 long, ids array<int>, text string")
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, their number, and whether decoding them gives the text again."""
-    back = decoded(encoded(docs, path), path)
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        "ids",
-        F.crc32("text").alias("decoded_crc32"),
-        (F.crc32("text") == F.col("text_crc32")).alias("exact"),
+    """doc_id, number of ids, ids, CRC-32 of the text decoded from them, and whether that is the text.
+
+    Encoding and decoding share a task, so one Python worker a core holds a model.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = viterbi_encoder(path), byte_table(path)
+        for batch in batches:
+            for part in slices(batch):
+                ids, at = encode_part(part, encoder)
+                back = decode_ids(ids, at, table)
+                raw, offs = buffer_of(part)
+                data, cut = raw.tobytes(), offs.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
+                        pa.array([zlib.crc32(t) for t in back], pa.int64()),
+                        pa.array([t == data[a:b] for t, a, b in zip(back, cut, cut[1:])], pa.bool_()),
+                    ],
+                    names=["doc_id", "n_ids", "ids", "decoded_crc32", "exact"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n_ids long, ids array<int>, decoded_crc32 long, exact boolean"
     )
