@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, hyperminhash, langid, ogg, packing, pieces, quality, repeats, urls
+from . import hilbert, hyperminhash, langid, ogg, oracle, packing, pieces, quality, repeats, urls
 from .common import table
 
 
@@ -72,4 +72,8 @@ QUERIES = {
         op10_language_spans,
     )
 }
-ORACLE: dict[str, str] = {"op5_url_list_join": urls.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op3_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op5_url_list_join": urls.ORACLE_SQL,
+    "op7_repeated_strings": oracle.REPEATED_STRINGS,
+}
