@@ -45,3 +45,11 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` as a table in the warehouse, bucketed by ``key``: later joins on it move the other side only."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).saveAsTable(table_name)
+    return spark.table(table_name)

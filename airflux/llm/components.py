@@ -21,7 +21,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.where("a <> b").union(least.select("a", F.col("m").alias("b")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, part_rows: int = 200_000) -> DataFrame:
     """(vertex, root) for every vertex of ``links`` (a, b: long); root is the least vertex of its component.
 
     Each round keeps at most as many links as it got, and is written to the shared folder, so a
@@ -29,8 +29,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links is summed before the shuffle and its join can be split.  No links: no rows.
     """
     now = written(links.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
+    before = (now.count(), None)
     for _ in range(most_rounds):
+        # Few links need few partitions; where one holds them all, a round has no shuffle.
+        now = now.coalesce(1 + before[0] // part_rows)
         now = written(_small_star(_large_star(now).distinct()).distinct(), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -7,12 +7,13 @@
    for the slot (after Shrivastava, 2017), so that slots agree with probability J for small sets
    too.  40 bands of 6 registers: a pair with J = 0.8 is missed with probability
    (1 - 0.8^6)^40 = 5e-6, and chains of links make up for most misses.
-3. Sets that are equal are one vertex.  In each band group every other vertex is paired with the
-   least vertex (never all pairs).  The collision-corrected Jaccard estimate of the registers
-   drops pairs more than five standard errors below the threshold; the rest are compared on
-   their full shingle sets.
-4. Groups that are not yet one component are done in full: pairs in different components that
-   were not compared are estimated and verified too.  Components of all links are the result.
+3. Sets that are equal are one vertex.  In each band group every other vertex is paired with its
+   hub, the vertex that meets most others (never all pairs).  The collision-corrected Jaccard
+   estimate of the registers drops pairs more than five standard errors below the threshold; the
+   rest are compared on their full shingle sets.
+4. Vertices that share a hub but are not one component yet are compared in full, by blocks of
+   similar size; only links that join components leave a block.  Components of all links are the
+   result.
 
 Only groups' minima and counts are shuffled for a hot group (summed before the shuffle); the
 joins can be split.  Texts travel compressed, and only those in surviving pairs go on.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +45,15 @@ BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    one = lambda b: np.append(U(1), np.cumprod(np.full(n, b, U)))
-    return one(BASE), one(pow(BASE, -1, 1 << 64))
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0..n (or more) of the base of the polynomial hash, and of its inverse; kept by the process."""
+    if not _TABLES or len(_TABLES[0]) <= n:
+        one = lambda b: np.append(U(1), np.cumprod(np.full(n, b, U)))
+        _TABLES[:] = [one(BASE), one(pow(BASE, -1, 1 << 64))]
+    return _TABLES
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,7 +74,7 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start = black & np.append(True, ~black[:-1] | edge[1:-1])
     stop = black & (np.append(~black[1:], True) | edge[1:])
     a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    power, inverse = _powers(1 << max(22, int(len(raw)).bit_length()))
+    power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
     sums = np.append(U(0), np.cumsum((low.astype(U) + U(1)) * power[: len(low)]))
     return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U)), np.searchsorted(a, offs)
 
@@ -233,11 +240,16 @@ def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
+def checked_set(raw: bytes, vertex: int, width: int) -> np.ndarray | None:
+    """The text's shingle set, if it is that of ``vertex`` (else another text has the same doc_id)."""
+    h, _ = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width)
+    return h if mix(mix(h + U(BASE)).sum(dtype=U)[None]).view(np.int64)[0] == vertex else None
+
+
+def needed_texts(needed: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(vertex, z): a compressed text of each of the vertices, from the document with the least doc_id."""
     import zstandard
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
     where = (
         signed.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).join(needed, "vertex")
     )
@@ -253,18 +265,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int,
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     texts = texts.mapInArrow(squeeze, "doc_id long, z binary")
-    kept = written(where.hint("shuffle_hash").join(texts, "doc_id").select("vertex", "z"), "texts")
+    return written(where.hint("shuffle_hash").join(texts, "doc_id").select("vertex", "z"), "texts")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
+    import zstandard
+
+    kept = needed_texts(pairs.select("a").union(pairs.select("b")).toDF("vertex").distinct(), docs, signed)
     one = lambda s: kept.select(F.col("vertex").alias(s), F.col("z").alias(f"z{s}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-
-        def one_set(z: bytes, vertex: int) -> np.ndarray | None:
-            raw = np.frombuffer(unpack(z), np.uint8)
-            h, _ = shingle_sets(raw, np.array([0, len(raw)]), width)
-            right = mix(mix(h + U(BASE)).sum(dtype=U)[None]).view(np.int64)[0] == vertex
-            return h if right else None  # else another text under the same doc_id
-
         last, held = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -272,8 +284,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int,
             good = []
             for k in range(batch.num_rows):
                 if a[k] != last:
-                    last, held = a[k], one_set(za[k].as_py(), a[k])
-                other = one_set(zb[k].as_py(), b[k])
+                    last, held = a[k], checked_set(unpack(za[k].as_py()), a[k], width)
+                other = checked_set(unpack(zb[k].as_py()), b[k], width)
                 if held is None or other is None:
                     last = None
                     good.append(False)
@@ -286,45 +298,120 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int,
     return joined.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _spanning(roots: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (places) of ``near`` that join different roots, as a forest."""
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for i, j in near.tolist():
+        a, b = find(int(roots[i])), find(int(roots[j]))
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def links_in_block(sets: list[np.ndarray], roots: np.ndarray, percent: int, step: int = 4096) -> list[tuple[int, int]]:
+    """Links (100 * intersection >= percent * union) that join the roots of a block, as a forest."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        used = np.zeros((len(sets), step), np.float32)
+        used[row[a:b], column[a:b] - lo] = 1
+        both += used @ used.T
+    both = both.astype(np.int64)
+    near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (roots[:, None] != roots[None, :])
+    return _spanning(roots, np.argwhere(np.triu(near, 1)))
+
+
+def open_links(stars: DataFrame, part: DataFrame, docs: DataFrame, signed: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links between different components among the vertices that share a hub.
+
+    ``stars`` has (hub, vertex) of all that share a band with the hub, the hub included.  Where they
+    are one component there is nothing to do.  Others are dealt by size class (sizes of a link differ
+    by 100 / percent at most, so by one class) into blocks of about ``block`` vertices; every pair of
+    blocks that can hold a link is one small group, and only links leave it.
+    """
+    import zstandard
+
+    rows = stars.join(part, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    split = rows.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("hub")
+    one = signed.where("vertex is not null").groupBy("vertex").agg(F.any_value("n_shingles").alias("n"))
+    rows = rows.join(split, "hub", "left_semi").join(one, "vertex")
+    rows = rows.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9))
+    rows = written(rows.select("hub", "vertex", "root", "c"), "open")
+    if rows.isEmpty():
+        return rows.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+    count = rows.groupBy("hub", "c").agg(F.ceil(F.count("*") / block).alias("k"))
+    at = lambda by, name: count.select("hub", (F.col("c") + by).alias("c"), F.col("k").alias(name))
+    dealt = rows.join(at(0, "k"), ["hub", "c"]).join(at(-1, "above"), ["hub", "c"], "left").join(at(1, "below"), ["hub", "c"], "left")
+    own = F.pmod(F.xxhash64("vertex"), F.col("k"))
+    each = lambda k, f: F.transform(F.sequence(F.lit(0), F.coalesce(k, F.lit(0)) - 1), f)
+    group = lambda c, same, i, j: F.struct(
+        c.cast("long").alias("c"), F.lit(same).alias("same"), i.cast("long").alias("i"), j.cast("long").alias("j")
+    )
+    some = lambda k, f: F.when(F.coalesce(k, F.lit(0)) > 0, each(k, f)).otherwise(F.array())
+    dealt = dealt.withColumn("o", own).withColumn(
+        "g",
+        F.explode(
+            F.concat(
+                each(F.col("k"), lambda j: group(F.col("c"), True, F.least("o", j), F.greatest("o", j))),
+                some(F.col("above"), lambda j: group(F.col("c"), False, F.col("o"), j)),
+                some(F.col("below"), lambda j: group(F.col("c") - 1, False, j, F.col("o"))),
+            )
+        ),
+    )
+    texts = needed_texts(rows.select("vertex").distinct(), docs, signed)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
+        roots = pdf["root"].to_numpy(np.int64)
+        found: list[tuple[int, int]] = []
+        if len(roots) and (roots != roots[0]).any():
+            sets = [checked_set(unpack(z), v, width) for z, v in zip(pdf["z"], pdf["vertex"])]
+            good = [k for k, h in enumerate(sets) if h is not None]
+            found = [(good[i], good[j]) for i, j in links_in_block([sets[k] for k in good], roots[good], percent)] if good else []
+        v = pdf["vertex"].to_numpy(np.int64)
+        return pd.DataFrame({"a": [v[i] for i, _ in found], "b": [v[j] for _, j in found]}, dtype=np.int64)
+
+    return dealt.select("hub", "g", "vertex", "root").join(texts, "vertex").groupBy("hub", "g").applyInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) and kept of every document."""
     signed = written(signatures(docs, width), "signatures")
     groups = (
         band_rows(signed)
         .groupBy("key")
-        .agg(F.min("vertex").alias("hub"), F.max("vertex").alias("top"))
-        .where("hub < top")
-        .select("key", "hub")
+        .agg(F.min("vertex").alias("low"), F.max("vertex").alias("high"), F.count("*").alias("size"))
+        .where("low < high")
+        .select("key", "size")
     )
     members = written(band_rows(signed).join(groups, "key").distinct(), "members")
-    star = members.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
-    tried = written(likely(star, signed, percent), "pairs")
-    links = written(confirmed(tried, docs, signed, width, percent), "links")
+    # The vertex that meets most others is the hub of a group: the one with fewest changes of its own.
+    degree = members.groupBy("vertex").agg(F.sum("size").alias("degree"))
+    hubs = members.join(degree, "vertex").groupBy("key").agg(F.max_by("vertex", F.struct("degree", "vertex")).alias("hub"))
+    stars = written(members.join(hubs, "key").select("hub", "vertex").distinct(), "stars")
+    pairs = stars.where("vertex <> hub").select(F.least("hub", "vertex").alias("a"), F.greatest("hub", "vertex").alias("b")).distinct()
+    links = confirmed(written(likely(pairs, signed, percent), "pairs"), docs, signed, width, percent)
+    links = written(links, "links")
     part = components(links)
-
-    # Groups that are not one component yet.
-    label = part.select("vertex", "root")
-    marked = members.join(label, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
-    split = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    size = signed.where("vertex is not null").groupBy("vertex").agg(F.any_value("n_shingles").alias("n"))
-    open_ = written(marked.join(split, "key", "left_semi").join(size, "vertex"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(
-            y,
-            F.expr(
-                "x.key = y.key and x.vertex < y.vertex and x.root <> y.root"
-                f" and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n)"
-            ),
-        )
-        .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = written(likely(across, signed, percent), "pairs")
+    more = written(open_links(stars, part, docs, signed, width, percent, block), "links")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, signed, width, percent))
-        part = components(links)
+        part = components(links.unionByName(more))
 
     rows = signed.select("doc_id", "n_shingles", "vertex").join(part, "vertex", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("root", "vertex").alias("root"))

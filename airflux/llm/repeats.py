@@ -5,7 +5,7 @@ Each such string has an anchor: in a window of ``width`` bytes, the 24-byte gram
 (winnowing, Schleimer et al., 2003).  Equal strings have equal anchors, so all that can match
 meets under an anchor's hash:
 
-1. ``chunks``: the texts, compressed, some megabytes to a row, written once.
+1. ``chunks``: the texts, compressed, about a megabyte to a row, in a table bucketed by chunk.
 2. Each chunk sends its distinct anchor hashes, sorted and compressed, to ranges of the hash
    space; back comes one bit each: found in another chunk.  (Repeats within the chunk it knows.)
 3. Of shared anchors the chunk sends each distinct context (anchor and 26 bytes on both sides,
@@ -38,11 +38,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import SLICE_BYTES, buffer_of, ranges, slices
-from .common import written
+from .arrow_text import buffer_of, ranges, slices
+from .common import bucketed, written
 from .hyperminhash import BASE, U, _powers, mix
 
 WIDTH, GRAM = 50, 24
+CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 SEPARATOR = 0xFF  # in no UTF-8 text
 
@@ -135,7 +137,7 @@ def maximal_repeats(codes: np.ndarray, left_in: np.ndarray, least: int):
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays compressed together, bytes of equal weight next to each other."""
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.ndim == 1 else a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _unpacked(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
@@ -152,7 +154,7 @@ def _unpacked(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-def chunks(docs: DataFrame, chunk_bytes: int = SLICE_BYTES, carry: bool = False) -> DataFrame:
+def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> DataFrame:
     """chunk, n, ids (64-bit doc_ids; null: the largest), ends (cumulative lengths) and z (texts);
     with ``carry`` the rows but for their texts, too."""
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
@@ -181,7 +183,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[n
     n, span = len(raw), width - gram + 1
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    power, inverse = _powers(1 << max(22, int(n).bit_length()))
+    power, inverse = _powers(1 << max(20, int(n).bit_length()))
     sums = np.append(U(0), np.cumsum((raw.astype(U) + U(1)) * power[:n]))
     h = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
     del sums
@@ -245,9 +247,9 @@ class Chunk:
         size = 2 * side + GRAM
         code = np.zeros(len(at), U)
         span = np.arange(size)
-        power = _powers(1 << 22)[0][:size]
-        for lo in range(0, len(at), 65536):
-            part = slice(lo, lo + 65536)
+        power = _powers(1 << 20)[0][:size]
+        for lo in range(0, len(at), 8192):
+            part = slice(lo, lo + 8192)
             block = padded[at[part, None] + span].astype(U)
             block[(span < side - left[part, None]) | (span >= side + GRAM + right[part, None])] = 0
             code[part] = mix((block * power).sum(axis=1, dtype=U) + left[part].astype(U) * U(31) + right[part].astype(U))
@@ -267,7 +269,7 @@ class Chunk:
 # --- what meets under an anchor's hash ---------------------------------------------------------
 
 
-def covered_contexts(h, doc, left, right, text, width: int = WIDTH, block: int = 12_000) -> np.ndarray:
+def covered_contexts(h, doc, left, right, text, width: int = WIDTH, block: int = 4_000) -> np.ndarray:
     """[context, byte] booleans: covered by a ``width``-byte string that a smaller doc_id has, too."""
     side = width - GRAM
     size = text.shape[1]
@@ -324,7 +326,8 @@ def shared_flags(parts: DataFrame, width: int, buckets: int, hot: int) -> DataFr
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, ids, ends, z in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for k in range(batch.num_rows):
+                chunk, ids, ends, z = (c[k].as_py() for c in batch.columns)
                 own = Chunk(ids, ends, z, width)
                 h, times = own.distinct, own.times
                 cut = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
@@ -366,18 +369,17 @@ def _shared(chunk: Chunk, flags) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_repeats(
-    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: bool = False, hot: int = 8192, chunk_bytes: int = SLICE_BYTES
+    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: bool = False, hot: int = 8192, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``keep_text`` the text
     that is left, too (a character that lost some of its bytes is dropped), with ``carry`` a struct
     ``row`` of the input's other columns."""
     if width <= GRAM:
         raise ValueError(f"width must be over {GRAM}")
-    parts = written(chunks(docs, chunk_bytes, carry), "chunks")
-    total = parts.select(F.sum(F.octet_length("ends"))).first()[0] or 0
-    size = parts.select(F.sum(F.octet_length("z"))).first()[0] or 0
-    buckets = 1 + int(size * 2.5 / 14 / 1_000_000) + total // (8 * 4_000_000)
-    fine = 1 + int(size * 2.5 / 14 / 400_000)
+    size = docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # Chunks are met three times by what comes back to them; bucketed, they are moved once.
+    parts = bucketed(chunks(docs, chunk_bytes, carry), "chunk", 1 + size // BUCKET_BYTES, "chunks")
+    buckets, fine = 1 + size // 4_000_000, 1 + size // 3_500_000  # of some 300 000 anchors
     side = width - GRAM
     span = 2 * side + GRAM
     flags = written(shared_flags(parts, width, buckets, hot), "flags")
@@ -419,6 +421,7 @@ def removed_repeats(
     sent = rows.select(*slim).mapInArrow(send, "bucket long, chunk long, start long, n long, blob binary")
     back = sent.groupBy("bucket").applyInPandas(meet, "chunk long, n long, blob binary")
     cover = back.where("n > 0").groupBy("chunk").agg(F.collect_list(F.struct("n", "blob")).alias("cover"))
+    cover = written(cover, "cover")  # short; read back without a partitioning, so that it goes to the chunks
 
     # Windows of very common anchors: the least doc_id of each by its hash.
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +452,7 @@ def removed_repeats(
         least = hot_rows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"))
         least = least.where("least < most").select("window", "least")
         common = hot_rows.join(least, "window").groupBy("chunk").agg(F.collect_list(F.struct("window", "least")).alias("hot"))
-        whole = whole.join(common, "chunk", "left")
+        whole = whole.join(written(common, "common"), "chunk", "left")
     else:
         whole = whole.withColumn("hot", F.lit(None).cast("array<struct<window:bigint,least:bigint>>"))
 
@@ -512,7 +515,7 @@ def _hot_windows(own: Chunk, which: np.ndarray, width: int) -> tuple[np.ndarray,
     start = np.unique(ranges(low, np.maximum(high - low + 1, 0)))
     if not len(start):
         return np.zeros(0, U), np.zeros(0, np.int64), start
-    power, inverse = _powers(1 << max(22, int(len(own.raw)).bit_length()))
+    power, inverse = _powers(1 << max(20, int(len(own.raw)).bit_length()))
     sums = np.append(U(0), np.cumsum((own.raw.astype(U) + U(1)) * power[: len(own.raw)]))
     h = mix((sums[start + width] - sums[start]) * inverse[start])
     return h, own.ids[np.searchsorted(own.offs, start, side="right") - 1], start
