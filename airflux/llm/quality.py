@@ -6,6 +6,11 @@ a sample of at most ``trusted`` of them, in the order of a hash of doc_id).  A d
 is the log-likelihood ratio of its n-grams, target over raw, divided by their number, after
 Xie et al. (2023).  Documents below ``threshold`` are rejected, as are those that fail base rules.
 
+With ``prior`` the target is smoothed towards the raw distribution, by ``prior`` n-grams a bucket: a
+bucket's weight is 0 where the two agree, at any size of target, corpus and table, and a small target
+gives weights near 0, so that few labels reject nothing.  Without it one is added to every bucket on
+both sides, which by itself shifts frequent n-grams when the target is small.
+
 Counts come from all rows and are summed before the shuffle, so at most ``buckets`` rows a task
 move; the weights of all buckets are one array of fixed length, read by the second pass as a
 scalar.  No text is shuffled.
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import let, words_of, written
 
 BUCKETS, TRUSTED, THRESHOLD, WINDOW = 1 << 16, 4096, -0.16, 5
+PRIOR = 4.0  # n-grams a bucket
 
 
 def word_hashes(words: Column) -> Column:
@@ -87,7 +93,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", repeated_words(F.col("hashes")))
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -> DataFrame:
+def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int, prior: float | None = None) -> DataFrame:
     """bucket, weight: log ratio of the target's and the raw corpus's smoothed probability."""
     target = (
         labels.where("quality = 1 and toxic = 0 and doc_id is not null")
@@ -112,8 +118,14 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int)
     spark = docs.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     sums = full.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
-    share = lambda c, total: (F.col(c) + 1.0) / F.lit(float((total or 0) + buckets))
-    ratio = F.log(share("target", sums["all_target"])) - F.log(share("raw", sums["all_raw"]))
+    if prior is None:
+        share = lambda c, total: (F.col(c) + 1.0) / F.lit(float((total or 0) + buckets))
+        ratio = F.log(share("target", sums["all_target"])) - F.log(share("raw", sums["all_raw"]))
+    else:
+        # (target + mass * raw / all_raw) / (all_target + mass) over raw / all_raw; no row has a bucket without raw.
+        mass = prior * buckets
+        found = F.coalesce(F.try_divide("target", "raw"), F.lit(0.0)) * F.lit(float(sums["all_raw"] or 0))
+        ratio = F.log((found + F.lit(mass)) / F.lit((sums["all_target"] or 0) + mass))
     return full.select("bucket", (ratio if sums["all_target"] else F.lit(0.0)).alias("weight"))
 
 
@@ -123,9 +135,10 @@ def quality_rules(
     buckets: int = BUCKETS,
     trusted: int = TRUSTED,
     threshold: float = THRESHOLD,
+    prior: float | None = None,
 ) -> DataFrame:
     """doc_id, base figures, base_failed, score and kept of every document."""
-    weights = gram_weights(docs, labels, buckets, trusted)
+    weights = gram_weights(docs, labels, buckets, trusted, prior)
     rows = base_columns(docs).withColumns(
         {"row_no": F.monotonically_increasing_id(), "grams": gram_buckets(F.col("hashes"), buckets)}
     )

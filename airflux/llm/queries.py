@@ -24,7 +24,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), prior=quality.PRIOR)
 
 
 def op5_url_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:

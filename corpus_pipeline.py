@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    verdict = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    verdict = quality.quality_rules(docs, table(spark, sf_dir, "labels"), prior=quality.PRIOR)
     rejected = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__rejected"]), "left_anti").select(*COLUMNS)
 
