@@ -439,6 +439,35 @@ def mdm_product(spark, sf_dir):
     return out.select("obs_location", "obs_time", F.round("value", 10).alias("value"))
 
 
+# The two queries above take the first days of events, as their SQL does; the two below take all days.
+_ALL_DAYS = """o as (select distinct event_type as loc, date_trunc('hour', ts)::timestamp as t from events)"""
+
+
+def _all_hours(spark, sf_dir):
+    return (
+        read(spark, sf_dir, "events")
+        .select(F.col("event_type").alias("obs_location"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time"))
+        .distinct()
+    )
+
+
+@query(f"""with {_ALL_DAYS}, p as (select a.loc, a.t as ti, b.t as tj, 0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) as v
+    from o a join o b on a.loc = b.loc and a.t::date = b.t::date)
+  select loc as obs_location, ti as time_i, tj as time_j, round(v, 12) as value from p""")
+def mdm_block_cov_all_days(spark, sf_dir):
+    out = inversion.mdm_entries(_all_hours(spark, sf_dir), 0.011, True, "2.8h", False)
+    return out.select("obs_location", "time_i", "time_j", F.round("value", 12).alias("value"))
+
+
+@query(f"""with {_ALL_DAYS} select a.loc as obs_location, a.t as obs_time,
+  round(sum(0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) * hour(b.t)), 10) as value
+  from o a join o b on a.loc = b.loc and a.t::date = b.t::date group by 1, 2""")
+def mdm_product_all_days(spark, sf_dir):
+    rows = _all_hours(spark, sf_dir).withColumn("value", F.hour("obs_time").cast("double"))
+    out = inversion.mdm_product(rows, 0.011, "2.8h", False)
+    return out.select("obs_location", "obs_time", F.round("value", 10).alias("value"))
+
+
 @query("""with m as (select date_trunc('month', o_orderdate)::timestamp as time, o_custkey % 8 as j, avg(o_totalprice) as flux from orders group by 1, 2)
   select time, round(sum(flux * 6371008.8 * 6371008.8 * radians(0.05) * (sin(radians(40.45 + (j + 0.5) * 0.06 + 0.03)) - sin(radians(40.45 + (j + 0.5) * 0.06 - 0.03)))) / 1e9, 3) as total
   from m group by 1""")
