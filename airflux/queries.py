@@ -527,6 +527,26 @@ def reconstruct_prior(spark, sf_dir):
     return inversion.reconstruct(prior, post, ["cell"]).select("cell", "value")
 
 
+# reconstruct_prior and removed_cells take remainders of ids for retained cells, as their SQL does; the
+# queries named _by_coverage take the cells that coverage over all of lineitem retains.
+_RETAINED = f"""{COO}, n as (select count(distinct obs) as n from coo), c as (select cell, sum(abs(v)) / max(n) as cv from coo, n group by 1),
+  kept as (select cell from c where cv >= (select quantile_cont(cv, 0.1) from c))"""
+
+
+def _retained(spark, sf_dir):
+    return inversion.split_cells(inversion.coverage(coo(spark, sf_dir), "obs", ["cell"]), 10, ["cell"])[0]
+
+
+@query(f"""with {_RETAINED}, p as (select p_partkey as cell, p_retailprice as v from part),
+  q as (select l_partkey as cell, round(avg(l_extendedprice), 6) as v from lineitem where l_partkey % 90 in (select cell from kept) group by 1)
+  select p.cell, coalesce(q.v, p.v) as value from p left join q using (cell)""")
+def reconstruct_prior_by_coverage(spark, sf_dir):
+    prior = read(spark, sf_dir, "part").selectExpr("p_partkey as cell", "p_retailprice as value")
+    rows = read(spark, sf_dir, "lineitem").withColumn("cell", F.col("l_partkey") % 90).join(_retained(spark, sf_dir), "cell", "left_semi")
+    post = rows.groupBy(F.col("l_partkey").alias("cell")).agg(F.round(F.avg("l_extendedprice"), 6).alias("value"))
+    return inversion.reconstruct(prior, post, ["cell"]).select("cell", "value")
+
+
 @query(f"""with {COO} select (obs % 1000) as row_bin, cell, round(sum(v) / max(n), 6) as value from coo join (select obs % 1000 as b, count(distinct obs) as n from coo group by 1) k on k.b = obs % 1000 group by 1, 2""")
 def obs_space_mean(spark, sf_dir):
     jac = coo(spark, sf_dir).withColumn("row_bin", F.col("obs") % 1000)
@@ -637,6 +657,12 @@ def removed_cells(spark, sf_dir):
     return report.removed_cells(full, kept, ["cell"])
 
 
+@query(f"with {_RETAINED} select distinct p_partkey % 90 as cell from part where p_partkey % 90 not in (select cell from kept)")
+def removed_cells_by_coverage(spark, sf_dir):
+    full = read(spark, sf_dir, "part").selectExpr("p_partkey % 90 as cell")
+    return report.removed_cells(full, _retained(spark, sf_dir), ["cell"])
+
+
 @query("""with a as (select date_trunc('month', o_orderdate)::timestamp as time, sum(o_totalprice) as p from orders group by 1),
   b as (select date_trunc('month', o_orderdate)::timestamp as time, sum(o_totalprice) as q from orders where o_orderstatus = 'F' group by 1)
   select time, round(p, 2) as prior, round(q, 2) as posterior, round(100 * (q - p) / nullif(p, 0), 4) as change_pct from a full join b using (time)""")
