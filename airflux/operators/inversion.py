@@ -330,13 +330,14 @@ def solve_dense(h: np.ndarray, z: np.ndarray, s0: np.ndarray, prior_cov: np.ndar
     }
 
 
-def solve_cg(jacobian: DataFrame, obs: DataFrame, prior: DataFrame, obs_var: DataFrame, write, steps: int = 50, tol: float = 1e-8) -> DataFrame:
+def solve_cg(jacobian: DataFrame, obs: DataFrame, prior: DataFrame, obs_var: DataFrame, write, steps: int = 1000, tol: float = 1e-8) -> DataFrame:
     """Posterior for diagonal covariances and any number of observations: conjugate gradients on
-    (H S0 Ht + Sz) y = z - H s0, then s0 + S0 Ht y.
+    (H S0 Ht + Sz) y = z - H s0, preconditioned by the diagonal, then s0 + S0 Ht y.
 
     jacobian (OBS, STATE, value); obs (OBS, value); prior (STATE, value, sigma); obs_var (OBS, value).
-    ``write(df, name)`` stores a table in the shared folder and returns it; each step is stored, two
-    numbers a step reach the driver.
+    ``write(df, name)`` stores a table in the shared folder and returns it; each step is stored, a few
+    numbers a step reach the driver.  Ends when the residual, computed anew, is at most ``tol`` of
+    z - H s0; raises ArithmeticError if it is not after ``steps`` steps.
     """
     s_var = prior.select(*STATE, (F.col("sigma") * F.col("sigma")).alias("__s"))
 
@@ -347,22 +348,34 @@ def solve_cg(jacobian: DataFrame, obs: DataFrame, prior: DataFrame, obs_var: Dat
         total = F.coalesce("__hx", F.lit(0.0)) + F.col("__v") * F.col("value")
         return x.select(*OBS, "value").join(own, OBS).join(through, OBS, "left").select(*OBS, total.alias("ax"))
 
+    def dot(df: DataFrame, *pairs: tuple[str, str]) -> list[float]:
+        return [x or 0.0 for x in df.agg(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).first()]
+
     fit = spmv(jacobian, prior, STATE, OBS, "__fit")
-    r0 = obs.join(fit, OBS, "left").select(*OBS, (F.col("value") - F.coalesce("__fit", F.lit(0.0))).alias("r"))
-    state = write(r0.select(*OBS, F.lit(0.0).alias("y"), "r", F.col("r").alias("p")), "cg")
-    rr = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    for _ in range(steps):
-        if rr <= tol**2 * start or not start:
-            break
-        ax = product(state.select(*OBS, F.col("p").alias("value")))
-        joined = write(state.join(ax, OBS), "cg")
-        alpha = rr / joined.agg(F.sum(F.col("p") * F.col("ax"))).first()[0]
-        moved = write(
-            joined.select(*OBS, (F.col("y") + alpha * F.col("p")).alias("y"), (F.col("r") - alpha * F.col("ax")).alias("r"), "p"), "cg"
-        )
-        new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = write(moved.withColumn("p", F.col("r") + (new / rr) * F.col("p")), "cg")
-        rr = new
+    spread = jacobian.join(s_var, STATE).groupBy(*OBS).agg(F.sum(F.col("value") * F.col("value") * F.col("__s")).alias("__d"))
+    diagonal = obs_var.join(spread, OBS, "left").select(*OBS, (F.col("value") + F.coalesce("__d", F.lit(0.0))).alias("d"))
+    b = obs.join(fit, OBS, "left").select(*OBS, (F.col("value") - F.coalesce("__fit", F.lit(0.0))).alias("b"))
+    state = b.join(diagonal, OBS).select(*OBS, "b", "d", F.lit(0.0).alias("y"), F.col("b").alias("r"), (F.col("b") / F.col("d")).alias("z"))
+    state = write(state.withColumn("p", F.col("z")), "cg")
+    (rr, rz), done = dot(state, ("r", "r"), ("r", "z")), 0
+    bound = tol**2 * rr
+    while rr > bound:
+        while rr > bound:
+            if done == steps:
+                raise ArithmeticError(f"conjugate gradients: residual {math.sqrt(rr / bound) * tol:.3g} of the first after {steps} steps, not {tol:g}")
+            ax = product(state.select(*OBS, F.col("p").alias("value")))
+            joined = write(state.join(ax, OBS), "cg")
+            alpha = rz / dot(joined, ("p", "ax"))[0]
+            r = F.col("r") - alpha * F.col("ax")
+            moved = joined.withColumns({"y": F.col("y") + alpha * F.col("p"), "r": r, "z": r / F.col("d")}).drop("ax")
+            rr, new = dot(moved, ("r", "r"), ("r", "z"))
+            state = moved.withColumn("p", F.col("z") + (new / rz) * F.col("p"))
+            rz, done = new, done + 1
+        # r is carried from step to step; what was lost by rounding shows only against b, and is solved for again.
+        r = F.col("b") - F.col("ax")
+        again = state.join(product(state.select(*OBS, F.col("y").alias("value"))), OBS).withColumns({"r": r, "z": r / F.col("d"), "p": r / F.col("d")})
+        state = write(again.drop("ax"), "cg")
+        rr, rz = dot(state, ("r", "r"), ("r", "z"))
     back = spmv(jacobian, state.select(*OBS, F.col("y").alias("value")), OBS, STATE, "__d")
     return prior.join(back, STATE, "left").join(s_var, STATE).select(
         *STATE, (F.col("value") + F.coalesce("__d", F.lit(0.0)) * F.col("__s")).alias("value")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, timeutil
+from .llm.common import written
 from .operators import aggregate, inversion, joins, mobile, qa, report, results, windows
 from .plans import observations as plan
 from .plans.config import InversionConfig, config_id
@@ -555,6 +556,19 @@ def obs_space_mean(spark, sf_dir):
     return out.select("row_bin", "cell", F.round(F.col("s") / F.col("n"), 6).alias("value"))
 
 
+@query()
+def cg_posterior(spark, sf_dir):
+    """Orders as observations of 90 cells, all of lineitem as operator; solved to a residual of 1e-8."""
+    at = "timestamp_ntz'2024-01-01' as time", "cast(cell as double) as lon", "0.0 as lat"
+    row = "cast(obs as string) as obs_location", "timestamp_ntz'2024-01-01' as obs_time"
+    jac = written(coo(spark, sf_dir), "operator")
+    h = jac.selectExpr(*row, *at, "cast(value as double) as value")
+    z = read(spark, sf_dir, "orders").selectExpr("o_orderkey as obs", "o_totalprice / 1000 as value").selectExpr(*row, "value")
+    prior = jac.select("cell").distinct().selectExpr(*at, "1.0D as value", "0.5D as sigma")
+    out = inversion.solve_cg(h, z, prior, z.withColumn("value", F.lit(1e5)), written)
+    return out.select(F.col("lon").cast("long").alias("cell"), r6("value"))
+
+
 # --- sweep results -----------------------------------------------------------------------------------
 
 
