@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+MOST_SAMPLES = 200_000  # fitted on the driver
 SAMPLE_TYPES = {"mbo": "pfp", "uta": "flask"}
 
 
@@ -36,7 +37,9 @@ def fitted_background(samples: DataFrame, obs: DataFrame, site: str) -> DataFram
     """
     if site not in SAMPLE_TYPES:
         raise ValueError(f"no samples of {site!r}")
-    pdf = samples.select("year", "value").dropna().orderBy("year").limit(200_000).toPandas()
+    pdf = samples.select("year", "value").dropna().orderBy("year").limit(MOST_SAMPLES + 1).toPandas()
+    if len(pdf) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
     t, y = pdf["year"].to_numpy(float), pdf["value"].to_numpy(float)
 
     def run(batches):

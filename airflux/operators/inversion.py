@@ -18,6 +18,7 @@ from ..functions.geo import cell_area_m2
 from ..functions.timeutil import duration_us, micros, season
 
 MOST_DENSE = 5000  # observations or states of a dense solve on the driver
+MOST_TIMES = 100_000  # distinct times matched on the driver
 CELL = ["lon", "lat"]
 STATE = ["time", "lon", "lat"]
 OBS = ["obs_location", "obs_time"]
@@ -36,10 +37,9 @@ def regular_grid(spark: SparkSession, xmin: float, xmax: float, ymin: float, yma
 
 
 def constant_prior(grid: DataFrame, bins: DataFrame, value: float) -> DataFrame:
-    """The value in every cell and bin.  Bins are few, so each cell is exploded over their list."""
-    starts = [r["bin_start"] for r in bins.orderBy("bin_start").limit(100_000).collect()]
-    listed = F.array(*(F.lit(str(t)).cast("timestamp_ntz") for t in starts))
-    return grid.withColumn("time", F.explode(listed)).select(*STATE, F.lit(float(value)).alias("value"))
+    """The value in every cell and bin."""
+    starts = bins.select(F.col("bin_start").cast("timestamp_ntz").alias("time"))
+    return grid.crossJoin(starts).select(*STATE, F.lit(float(value)).alias("value"))
 
 
 def sector_sum(inventory: DataFrame) -> DataFrame:
@@ -82,8 +82,9 @@ def filled_forward(annual: DataFrame, times: DataFrame, keys: list[str]) -> Data
 
 def nearest_time(field: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
     """Field values at each of the (few) times, taken from the nearest one there is; ties: the earlier."""
-    have = [r[0] for r in field.select("time").distinct().orderBy("time").limit(100_000).collect()]
-    want = [r[0] for r in times.select("time").distinct().orderBy("time").limit(100_000).collect()]
+    have, want = ([r[0] for r in x.select("time").distinct().orderBy("time").limit(MOST_TIMES + 1).collect()] for x in (field, times))
+    if max(len(have), len(want)) > MOST_TIMES:
+        raise ValueError(f"more than {MOST_TIMES} times")
     pairs = [(t, min(have, key=lambda h: (abs((h - t).total_seconds()), h))) for t in want] if have else []
     table = field.sparkSession.createDataFrame(pairs, "time timestamp_ntz, __have timestamp_ntz")
     return field.withColumnRenamed("time", "__have").join(F.broadcast(table), "__have").drop("__have").select("time", *keys, "value")
