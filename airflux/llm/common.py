@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, a temporary one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,8 +51,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """``df`` as a table in the warehouse, bucketed by ``key``: later joins on it move the other side only."""
+    """``df`` as an external table in the shared folder, bucketed by ``key``: later joins on it move the
+    other side only."""
     spark = df.sparkSession
     table_name = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).saveAsTable(table_name)
+    writer = df.repartition(buckets, key).write.format("parquet").option("path", f"{shared_dir(spark)}/{table_name}")
+    writer.bucketBy(buckets, key).saveAsTable(table_name)
     return spark.table(table_name)

@@ -16,9 +16,12 @@ meets under an anchor's hash:
    covered if the group has one in a smaller document.
 4. The covered bytes return to the chunk, which puts them together and hashes what is left.
 
-A hash that is very common costs a chunk one entry for each distinct context, whatever the
-number of documents.  Anchors that occur more than ``hot`` times are not gathered: their
-windows are hashed one by one, and the least doc_id of each is summed before the shuffle.
+An anchor of more than ``common`` distinct contexts is dealt by what lies next to it: the 27
+windows over it fall into ``SHARES`` ranges of their offset, all windows of a range share the
+anchor and some neighbouring bytes (44 or more in all), and under the hash of those meet the
+stretches that the range's windows reach (57 bytes at most).  They go through the same interval
+tree; a stretch is one entry of a chunk, whatever the number of documents that have it.  So an
+occurrence is sent ``SHARES`` times at most, and a group holds what follows 44 common bytes.
 
 Edge cases: null and short texts have no strings and stay whole; equal doc_ids never cover each
 other; texts of any length are read whole (a chunk holds one text at least); null doc_id counts
@@ -44,6 +47,7 @@ from .hyperminhash import BASE, U, _powers, mix
 
 WIDTH, GRAM = 50, 24
 CHUNK_BYTES = 1 << 20
+COMMON, SHARES = 4096, 4
 BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 SEPARATOR = 0xFF  # in no UTF-8 text
@@ -178,15 +182,15 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False)
     return out.withColumn("chunk", F.monotonically_increasing_id())
 
 
-def anchors(raw: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows of ``width`` bytes within a text."""
+def anchors(raw: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of all windows of ``width`` bytes within a text, and the
+    running sums of the polynomial hash."""
     n, span = len(raw), width - gram + 1
-    if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, U)
     power, inverse = _powers(1 << max(20, int(n).bit_length()))
     sums = np.append(U(0), np.cumsum((raw.astype(U) + U(1)) * power[:n]))
+    if n < width:
+        return np.zeros(0, np.int64), np.zeros(0, U), sums
     h = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    del sums
     windows = n - width + 1
 
     def slide(values: np.ndarray, best, out: int) -> np.ndarray:
@@ -205,7 +209,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[n
     edge = np.zeros(span - 1, U)
     most = slide(np.concatenate([edge, least, edge]), np.maximum, len(h))
     chosen = np.flatnonzero((most == h) & (h != 0))
-    return chosen, h[chosen]
+    return chosen, h[chosen], sums
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -213,57 +217,75 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Chunk:
-    """A chunk's texts, its anchors in the order of their hashes, and which of those are distinct."""
+    """A chunk's texts, its anchors in the order of their hashes and contexts, and which hashes are distinct."""
 
     def __init__(self, ids: bytes, ends: bytes, z: bytes, width: int):
-        self.ids = np.frombuffer(ids, np.int64)
+        self.ids, self.width = np.frombuffer(ids, np.int64), width
         self.offs = np.append(0, np.frombuffer(ends, np.int64))
         self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8) if self.offs[-1] else np.zeros(0, np.uint8)
-        at, h = anchors(self.raw, self.offs, width, GRAM)
-        order = np.argsort(h, kind="stable")
-        self.at, self.h = at[order], h[order]
-        self.row = np.searchsorted(self.offs, self.at, side="right") - 1
-        new = np.ones(len(h), bool)
-        new[1:] = self.h[1:] != self.h[:-1]
+        at, h, self.sums = anchors(self.raw, self.offs, width, GRAM)
+        row = np.searchsorted(self.offs, at, side="right") - 1
+        left, right = np.minimum(at - self.offs[row], width - GRAM), np.minimum(self.offs[row + 1] - at - GRAM, width - GRAM)
+        code = self.codes(at - left, at + GRAM + right, left, right)
+        doc = self.ids[row]
+        order = np.lexsort((doc, code, h))
+        self.at, self.h, self.doc, self.left, self.right, self.code = (x[order] for x in (at, h, doc, left, right, code))
+        new = _changes(self.h)
         self.number = np.cumsum(new) - 1
         self.distinct = self.h[new]
         starts = np.flatnonzero(new)
-        doc = self.ids[self.row]
-        self.times = np.minimum(np.diff(np.append(starts, len(h))), 65535).astype(np.uint16)
-        self.several = (
-            np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts) if len(starts) else np.zeros(0, bool)
-        )
-
-    def contexts(self, shared: np.ndarray, width: int):
-        """Of anchors whose hash is ``shared``: (hash, doc_id, left, right, bytes) of each distinct
-        context with its least doc_id; and for each occurrence its context's number, whether its
-        doc_id is larger than that, its position, left and right."""
-        side = width - GRAM
-        some = shared[self.number]
-        at, h, row = self.at[some], self.h[some], self.row[some]
-        left = np.minimum(at - self.offs[row], side)
-        right = np.minimum(self.offs[row + 1] - at - GRAM, side)
+        some = len(starts) > 0
+        #: Distinct contexts of each distinct hash, and whether it occurs in several documents.
+        self.contexts_of = np.add.reduceat(_changes(self.h, self.code), starts, dtype=np.uint32) if some else np.zeros(0, np.uint32)
+        self.several = np.maximum.reduceat(self.doc, starts) != np.minimum.reduceat(self.doc, starts) if some else np.zeros(0, bool)
+
+    def codes(self, lo: np.ndarray, hi: np.ndarray, left: np.ndarray | int = 0, right: np.ndarray | int = 0) -> np.ndarray:
+        """Hashes of the byte strings [lo, hi), told apart by ``left`` and ``right``, too."""
+        inverse = _powers(1 << max(20, int(len(self.raw)).bit_length()))[1]
+        more = np.asarray(left).astype(U) * U(31 * 257) + np.asarray(right).astype(U)
+        return mix((self.sums[hi] - self.sums[lo]) * inverse[lo] + mix(more + U(1)))
+
+    def entries(self, flag: np.ndarray):
+        """What the chunk sends of its anchors (``flag``: 0 nothing, 1 contexts, 2 stretches of ranges of offsets).
+
+        (key, doc_id, left, right, bytes) of each distinct stretch with its least doc_id; and for each
+        occurrence of one its number, whether its doc_id is larger than that, its anchor's position, left
+        and right."""
+        side = self.width - GRAM
+        of = flag[self.number] if len(self.number) else np.zeros(0, np.uint8)
+        one = of == 1
+        parts = [(self.h[one], self.code[one], self.at[one], self.doc[one], self.left[one], self.right[one])]
+        many = np.flatnonzero(of == 2)
+        for low, high in _offset_ranges(side) if len(many) else []:
+            k = many[(self.left[many] >= low) & (self.right[many] >= side - high)]
+            at, left, right = self.at[k], np.minimum(self.left[k], high), np.minimum(self.right[k], side - low)
+            key = self.codes(at - low, at + self.width - high)
+            parts.append((key, self.codes(at - left, at + GRAM + right, left, right), at, self.doc[k], left, right))
+        key, code, at, doc, left, right = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, code, key))
+        key, code, at, doc, left, right = (x[order] for x in (key, code, at, doc, left, right))
+        new = _changes(key, code)
+        number, first = np.cumsum(new) - 1, np.flatnonzero(new)
         padded = np.concatenate([np.zeros(side, np.uint8), self.raw, np.zeros(side + GRAM, np.uint8)])
         size = 2 * side + GRAM
-        code = np.zeros(len(at), U)
+        text = np.lib.stride_tricks.sliding_window_view(padded, size)[at[first]]
         span = np.arange(size)
-        power = _powers(1 << 20)[0][:size]
-        for lo in range(0, len(at), 8192):
-            part = slice(lo, lo + 8192)
-            block = padded[at[part, None] + span].astype(U)
-            block[(span < side - left[part, None]) | (span >= side + GRAM + right[part, None])] = 0
-            code[part] = mix((block * power).sum(axis=1, dtype=U) + left[part].astype(U) * U(31) + right[part].astype(U))
-        doc = self.ids[row]
-        order = np.lexsort((doc, code, h))
-        at, h, doc, left, right, code = (x[order] for x in (at, h, doc, left, right, code))
-        new = np.ones(len(at), bool)
-        new[1:] = (h[1:] != h[:-1]) | (code[1:] != code[:-1])
-        number = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        text = padded[at[first, None] + span] if len(first) else np.zeros((0, size), np.uint8)
-        text = np.where((span < side - left[first, None]) | (span >= side + GRAM + right[first, None]), 0, text).astype(np.uint8)
-        entries = (h[first], doc[first], left[first].astype(np.uint8), right[first].astype(np.uint8), text)
-        return entries, (number, doc > doc[first][number], at, left, right)
+        l8, r8 = left[first].astype(np.uint8), right[first].astype(np.uint8)
+        text = np.where((span < side - left[first, None]) | (span >= side + GRAM + right[first, None]), np.uint8(0), text)
+        return (key[first], doc[first], l8, r8, text), (number, doc > doc[first][number], at, left, right)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _offset_ranges(side: int) -> list[tuple[int, int]]:
+    """The offsets 0..side of a window's beginning before its anchor, in ``SHARES`` ranges."""
+    cut = [k * (side + 1) // SHARES for k in range(SHARES + 1)]
+    return [(a, b - 1) for a, b in zip(cut, cut[1:]) if a < b]
 
 
 # --- what meets under an anchor's hash ---------------------------------------------------------
@@ -273,7 +295,11 @@ def covered_contexts(h, doc, left, right, text, width: int = WIDTH, block: int =
     """[context, byte] booleans: covered by a ``width``-byte string that a smaller doc_id has, too."""
     side = width - GRAM
     size = text.shape[1]
-    code = np.array([hash(x) for x in map(bytes, text)], np.int64)
+    code = np.zeros(len(h), U)
+    words = np.pad(text, ((0, 0), (0, -size % 8)))
+    for k in range(0, words.shape[1], 8):
+        code = mix(code * U(BASE) + np.ascontiguousarray(words[:, k : k + 8]).view(U)[:, 0])
+    del words
     order = np.lexsort((doc, right, left, code, h))
     h, doc, left, right, text, code = (x[order] for x in (h, doc, left, right, text, code))
     left, right = left.astype(np.int64), right.astype(np.int64)
@@ -321,55 +347,56 @@ def covered_contexts(h, doc, left, right, text, width: int = WIDTH, block: int =
     return back
 
 
-def shared_flags(parts: DataFrame, width: int, buckets: int, hot: int) -> DataFrame:
-    """chunk, flags: for each chunk its (bucket, codes): 0 in this chunk only, 1 in others, 2 very common."""
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of the rising hashes ``h`` by bucket, and the buckets that have some."""
+    cut = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
+    return cut, np.flatnonzero(np.diff(cut))
+
+
+def shared_flags(parts: DataFrame, width: int, buckets: int, common: int) -> DataFrame:
+    """chunk, flags: for each chunk its (bucket, codes): 0 in this chunk only, 1 in others, 2 in others
+    and with more than ``common`` contexts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, ids, ends, z = (c[k].as_py() for c in batch.columns)
                 own = Chunk(ids, ends, z, width)
-                h, times = own.distinct, own.times
-                cut = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cut))
+                h, n = own.distinct, own.contexts_of
+                cut, some = _by_bucket(h, buckets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(some, pa.int64()),
                         pa.array([chunk] * len(some), pa.int64()),
                         pa.array(cut[some + 1] - cut[some], pa.int64()),
-                        pa.array([_packed(h[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
+                        pa.array([_packed(h[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
                     ],
                     names=["bucket", "chunk", "n", "blob"],
                 )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, times = zip(*(_unpacked(b, n, U, np.uint16) for b, n in zip(pdf["blob"], pdf["n"])))
+        found, n = zip(*(_unpacked(b, n, U, np.uint32) for b, n in zip(pdf["blob"], pdf["n"])))
         _, inverse, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-        total = np.bincount(inverse, weights=np.concatenate(times))
-        codes = np.select([total[inverse] > hot, count[inverse] > 1], [2, 1], 0).astype(np.uint8)
+        total = np.bincount(inverse, weights=np.concatenate(n))
+        codes = ((count > 1) * np.where(total > common, 2, 1)).astype(np.uint8)[inverse]
         cut = np.append(0, np.cumsum(pdf["n"].to_numpy()))
         packed = [_packed(codes[a:b]) for a, b in zip(cut, cut[1:])]
-        common = [int((codes[a:b] == 2).sum()) for a, b in zip(cut, cut[1:])]
-        return pd.DataFrame(
-            {"chunk": pdf["chunk"], "bucket": pdf["bucket"], "n": pdf["n"], "codes": packed, "common": common}
-        )
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "n": pdf["n"], "codes": packed})
 
     sent = parts.select("chunk", "ids", "ends", "z").mapInArrow(send, "bucket long, chunk long, n long, blob binary")
-    back = sent.groupBy("bucket").applyInPandas(meet, "chunk long, bucket long, n long, codes binary, common long")
-    return back.groupBy("chunk").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "n", "codes"))).alias("flags"), F.sum("common").alias("common")
-    )
+    back = sent.groupBy("bucket").applyInPandas(meet, "chunk long, bucket long, n long, codes binary")
+    return back.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "codes"))).alias("flags"))
 
 
-def _shared(chunk: Chunk, flags) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes to compare by context, and those to compare window by window."""
+def _shared(chunk: Chunk, flags) -> np.ndarray:
+    """What is sent of each distinct hash: see ``Chunk.entries``."""
     codes = [_unpacked(f["codes"], f["n"], np.uint8)[0] for f in flags or []]
     codes = np.concatenate(codes) if codes else np.zeros(len(chunk.distinct), np.uint8)
-    return (codes == 1) | ((codes == 0) & chunk.several), codes == 2
+    return np.where((codes == 0) & chunk.several, np.uint8(1), codes)
 
 
 def removed_repeats(
-    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: bool = False, hot: int = 8192, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: bool = False, common: int = COMMON, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``keep_text`` the text
     that is left, too (a character that lost some of its bytes is dropped), with ``carry`` a struct
@@ -382,8 +409,8 @@ def removed_repeats(
     buckets, fine = 1 + size // 4_000_000, 1 + size // 3_500_000  # of some 300 000 anchors
     side = width - GRAM
     span = 2 * side + GRAM
-    flags = written(shared_flags(parts, width, buckets, hot), "flags")
-    rows = parts.join(flags, "chunk", "left").select("chunk", "ids", "ends", "z", "flags", "nulls", "common", *["rest"] * carry)
+    flags = written(shared_flags(parts, width, buckets, common), "flags")
+    rows = parts.join(flags, "chunk", "left").select("chunk", "ids", "ends", "z", "flags", "nulls", *["rest"] * carry)
 
     slim = [c for c in rows.columns if c != "rest"]
 
@@ -392,9 +419,8 @@ def removed_repeats(
             for k in range(batch.num_rows):
                 chunk, ids, ends, z, flag = (c[k].as_py() for c in batch.columns[:5])
                 own = Chunk(ids, ends, z, width)
-                (h, doc, left, right, text), _ = own.contexts(_shared(own, flag)[0], width)
-                cut = np.searchsorted(bucket_of(h, fine), np.arange(fine + 1))
-                some = np.flatnonzero(np.diff(cut))
+                (h, doc, left, right, text), _ = own.entries(_shared(own, flag))
+                cut, some = _by_bucket(h, fine)
                 blobs = [_packed(*(x[cut[b] : cut[b + 1]] for x in (h, doc, left, right, text))) for b in some]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -423,46 +449,14 @@ def removed_repeats(
     cover = back.where("n > 0").groupBy("chunk").agg(F.collect_list(F.struct("n", "blob")).alias("cover"))
     cover = written(cover, "cover")  # short; read back without a partitioning, so that it goes to the chunks
 
-    # Windows of very common anchors: the least doc_id of each by its hash.
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk, ids, ends, z, flag = (c[k].as_py() for c in batch.columns[:5])
-                own = Chunk(ids, ends, z, width)
-                h, doc, _ = _hot_windows(own, _shared(own, flag)[1], width)
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                last = np.append(new[1:], True)[: len(h)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[new].view(np.int64)),
-                        pa.array([chunk] * int(new.sum()), pa.int64()),
-                        pa.array(doc[new]),
-                        pa.array(doc[last]),
-                    ],
-                    names=["window", "chunk", "low", "high"],
-                )
-
     whole = rows.join(cover, "chunk", "left")
-    if flags.agg(F.sum("common")).first()[0]:
-        hot_rows = rows.where("common > 0").select(*slim).mapInArrow(windows, "window long, chunk long, low long, high long")
-        hot_rows = written(hot_rows, "windows")
-        least = hot_rows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"))
-        least = least.where("least < most").select("window", "least")
-        common = hot_rows.join(least, "window").groupBy("chunk").agg(F.collect_list(F.struct("window", "least")).alias("hot"))
-        whole = whole.join(written(common, "common"), "chunk", "left")
-    else:
-        whole = whole.withColumn("hot", F.lit(None).cast("array<struct<window:bigint,least:bigint>>"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, ends, z, flag, marks, commons, nulls = (c[k].as_py() for c in batch.columns[:7])
+                ids, ends, z, flag, marks, nulls = (c[k].as_py() for c in batch.columns[:6])
                 own = Chunk(ids, ends, z, width)
-                by_context, by_window = _shared(own, flag)
-                entries, (number, larger, at, left, right) = own.contexts(by_context, width)
+                entries, (number, larger, at, left, right) = own.entries(_shared(own, flag))
                 gone = np.zeros(len(own.raw) + 1, np.int32)  # +1 where a covered stretch begins, -1 behind it
 
                 def mark(a: np.ndarray, b: np.ndarray) -> None:
@@ -486,41 +480,17 @@ def removed_repeats(
                         own_n = number[rest]
                         pos = np.repeat(at[rest] - side, count[own_n]) + c[ranges(begin[own_n], count[own_n])]
                         np.add.at(gone, pos, sign)
-                if commons:
-                    h, doc, start = _hot_windows(own, by_window, width)
-                    w = np.array([c["window"] for c in commons], np.int64).view(U)
-                    d = np.array([c["least"] for c in commons], np.int64)
-                    order = np.argsort(w)
-                    w, d = w[order], d[order]
-                    place = np.minimum(np.searchsorted(w, h), len(w) - 1)
-                    hit = (w[place] == h) & (d[place] < doc)
-                    mark(start[hit], start[hit] + width)
                 covered = np.cumsum(gone[:-1]) > 0
                 out = _result(own, covered, nulls, keep_text)
-                yield out.append_column("row", batch.column(7)[k].values) if carry else out
+                yield out.append_column("row", batch.column(6)[k].values) if carry else out
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
     if carry:
         schema += f", row {parts.schema['rest'].dataType.elementType.simpleString()}"
-    last = whole.select("ids", "ends", "z", "flags", "cover", "hot", "nulls", *["rest"] * carry)
+    last = whole.select("ids", "ends", "z", "flags", "cover", "nulls", *["rest"] * carry)
     return last.mapInArrow(finish, schema)
 
 
-def _hot_windows(own: Chunk, which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, doc_id and start of every window over an anchor whose hash is in ``which``."""
-    some = which[own.number] if len(own.number) else np.zeros(0, bool)
-    at, row = own.at[some], own.row[some]
-    low = np.maximum(at - (width - GRAM), own.offs[row])
-    high = np.minimum(at, own.offs[row + 1] - width)
-    start = np.unique(ranges(low, np.maximum(high - low + 1, 0)))
-    if not len(start):
-        return np.zeros(0, U), np.zeros(0, np.int64), start
-    power, inverse = _powers(1 << max(20, int(len(own.raw)).bit_length()))
-    sums = np.append(U(0), np.cumsum((own.raw.astype(U) + U(1)) * power[: len(own.raw)]))
-    h = mix((sums[start + width] - sums[start]) * inverse[start])
-    return h, own.ids[np.searchsorted(own.offs, start, side="right") - 1], start
-
-
 def _result(own: Chunk, covered: np.ndarray, nulls: int, keep_text: bool) -> pa.RecordBatch:
     n = np.diff(own.offs)
     total = np.append(0, np.cumsum(covered))[own.offs]

@@ -396,9 +396,9 @@ def removed(table, width):
     return out
 
 
-@pytest.mark.parametrize("width, chunk, hot", [(50, 1 << 20, 8192), (50, 1500, 8192), (50, 1500, 3), (30, 4000, 10)])
-def test_repeats(docs, none, table, width, chunk, hot):
-    got = repeats.removed_repeats(docs, width, keep_text=True, carry=True, hot=hot, chunk_bytes=chunk).collect()
+@pytest.mark.parametrize("width, chunk, common", [(50, 1 << 20, 4096), (50, 1500, 4096), (50, 1500, 1), (50, 1500, 3), (30, 4000, 2)])
+def test_repeats(docs, none, table, width, chunk, common):
+    got = repeats.removed_repeats(docs, width, keep_text=True, carry=True, common=common, chunk_bytes=chunk).collect()
     want = removed(table, width)
     source = {r[0]: r[3] for r in table}
     assert len(got) == len(table)
