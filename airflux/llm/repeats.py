@@ -209,7 +209,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[n
     edge = np.zeros(span - 1, U)
     most = slide(np.concatenate([edge, least, edge]), np.maximum, len(h))
     chosen = np.flatnonzero((most == h) & (h != 0))
-    return chosen, h[chosen], sums
+    return chosen, mix(h[chosen]), sums  # the least of many hashes are small; mixed again, they spread
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
