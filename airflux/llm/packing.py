@@ -36,11 +36,19 @@ from .common import written
 END = 0
 
 
+JOINED = 64  # pieces to a call of the tokenizer
+
+
 class PieceEncoder:
-    """Ids of byte strings, each distinct string being encoded once while it is remembered."""
+    """Ids of byte strings, each distinct string being encoded once while it is remembered.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = 400_000):
-        self.encode_many, self.most = encode_many, most
+    With ``sizes``, the bytes that each id stands for, new strings go to the tokenizer some at a time,
+    end to end, and the ids are dealt to the strings again by their bytes.  Strings are joined only
+    where such a tokenizer cuts anyway: before a blank or line feed that follows no white space.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], sizes: np.ndarray | None = None, most: int = 400_000):
+        self.encode_many, self.sizes, self.most = encode_many, sizes, most
         self.clear()
 
     def clear(self) -> None:
@@ -49,38 +57,58 @@ class PieceEncoder:
         self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def encoded(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each string, and all ids end to end."""
+        texts = [p.decode("utf-8", "replace") for p in new]
+        if self.sizes is None:
+            ids = [np.array(x, np.uint32) for x in self.encode_many(texts)]
+            return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids)
+        groups, closed = [0], True
+        for k, t in enumerate(texts):
+            if k and (closed or t[0] not in " \n" or k - groups[-1] >= JOINED):
+                groups.append(k)
+            closed = t[-1].isspace()
+        joined = ["".join(texts[a:b]) for a, b in zip(groups, [*groups[1:], len(texts)])]
+        ids = [np.array(x, np.uint32) for x in self.encode_many(joined)]
+        flat = np.concatenate(ids)
+        ends = np.append(0, np.cumsum(self.sizes[flat]))
+        cut = np.searchsorted(ends, np.append(0, np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))))
+        return np.diff(cut), flat
+
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start and length in ``pool`` of each piece's ids."""
         if len(self.number) > self.most:
             self.clear()
         new = [p for p in pieces if p not in self.number]
         if new:
-            ids = self.encode_many([p.decode("utf-8", "replace") for p in new])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+            lengths, flat = self.encoded(new)
             base = len(self.number)
-            self.number.update((p, base + k) for k, p in enumerate(new))
+            self.number.update(zip(new, range(base, base + len(new))))
             self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
             self.pool = np.append(self.pool, flat)
-        at = np.fromiter((self.number[p] for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         return self.starts[at], self.lengths[at]
 
 
 @lru_cache(maxsize=4)
 def bpe_encoder(path: str) -> PieceEncoder:
-    """Encoder of a ``tokenizers`` file; strings of special tokens in a text are ordinary text."""
+    """Encoder of a byte-level ``tokenizers`` file; its special tokens are found in texts as it finds them."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return PieceEncoder(lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)])
+    sizes = np.zeros(tok.get_vocab_size(), np.int64)
+    for token, number in tok.get_vocab().items():
+        sizes[number] = len(token)  # a character stands for a byte
+    for number, token in tok.get_added_tokens_decoder().items():
+        sizes[number] = len(token.content.encode())
+    return PieceEncoder(lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)], sizes)
 
 
 @lru_cache(maxsize=4)
 def rank_encoder(path: str) -> PieceEncoder:
-    """Encoder of a ``tiktoken`` rank file of a byte-level vocabulary."""
+    """Encoder of a ``tiktoken`` rank file of a byte-level vocabulary; it knows no special tokens."""
     import base64
 
     import public_tokenizers
@@ -89,7 +117,10 @@ def rank_encoder(path: str) -> PieceEncoder:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return PieceEncoder(lambda texts: [enc.encode_ordinary(t) for t in texts])
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, number in ranks.items():
+        sizes[number] = len(token)
+    return PieceEncoder(lambda texts: [enc.encode_ordinary(t) for t in texts], sizes)
 
 
 def token_arrays(batch: pa.RecordBatch, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:

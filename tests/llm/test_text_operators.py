@@ -27,7 +27,7 @@ def texts():
     """Nulls, empties, blanks, ties, copies, near copies, shared passages, repeated lines, odd characters, one long text."""
     rng = random.Random(5)
     base = [" ".join(words(rng, rng.randint(1, 120))) for _ in range(40)]
-    out = [None, "", " \n\t ", "one", "one two three", "a b c d", "a b c d", " 　 x y", "<|endoftext|> hi", "né 東京 שלום \U0001f600  end ", "▁ under"]
+    out = [None, "", " \n\t ", "one", "one two three", "a b c d", "a b c d", " 　 x y", "<|endoftext|> hi", "a  <|endoftext|>  b\n\n c<|endoftext|>d \n", " \x85\u3000 x\u00a0 y \u2028\n z", "né 東京 שלום \U0001f600  end ", "▁ under"]
     out += base
     out += base[:5] + [base[7], base[7]]
     for b in base[5:25]:
@@ -137,11 +137,11 @@ def test_quality_edges(spark, docs, none):
 # --- 2, 8 ------------------------------------------------------------------------------------------
 
 
-def reference_ids(table):
+def reference_ids(table, ordinary=False):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = ordinary
     return [(r[0], tok.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in table]
 
 
@@ -221,7 +221,7 @@ def test_packed_matrices_round_trip(docs, none, table, capacity, window):
         for a, b in zip(cum, cum[1:]):
             assert (pos[a:b] == np.arange(b - a)).all()
         assert (pos[cum[-1] :] == np.arange(capacity - cum[-1])).all()
-    want = Counter((doc, k, s, np.array(part, "<u2").tobytes()) for doc, ids in reference_ids(table) for k, (s, part) in enumerate(cut(ids, capacity)))
+    want = Counter((doc, k, s, np.array(part, "<u2").tobytes()) for doc, ids in reference_ids(table, ordinary=True) for k, (s, part) in enumerate(cut(ids, capacity)))
     back = packing.unpacked(packed).collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], bytes(r["ids"])) for r in back) == want
     assert packing.packed_matrices(none, path).count() == 0
