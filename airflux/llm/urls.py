@@ -1,17 +1,21 @@
 """Temporal URL list join (operator 5), DataFrame functions only.
 
 A list is a history of dated events: (entry, action, day, category), action ``add`` or
-``remove``.  ``intervals`` turns it into half-open validity intervals [from_day, to_day); a
-capture is evaluated against the entries that were active on the day it was fetched: an entry
-matches its own host and every host below it.  Of several active entries the longest wins
-(then the lowest category).
+``remove``.  ``intervals`` turns it into half-open validity intervals [from_day, to_day).  An
+as-of join finds, for each (entry, day) asked for, the latest interval that began at or before the
+day; it counts if it has not ended.  An entry matches its own host and every host below it.  Of
+several active entries the longest wins.
 
 Only distinct (host, day) pairs meet the list, so a host with a large part of all captures
-costs as many rows as it has days; the verdicts go back to the captures by an equi-join that
-adaptive execution can split.  Page bodies are not read.
+costs as many rows as it has days; of the entries above a host only listed ones are asked for,
+once for each day.  The join is one sort of questions and interval starts by entry and day, with the
+last start carried forward, so an entry with a long history costs its length and not its square.
+The verdicts go back to the captures by an equi-join that adaptive execution can split.  Page
+bodies are not read.
 
 Edge cases: a null, blank or host-less URL, or a null day, gives host ``''`` or no match, never
-an error; letter case, port, user info and a final dot of a host do not matter; an event with a
+an error; letter case, port, user info and a final dot of a host do not matter, nor do letter case and
+a final dot of an entry, which are dropped before events are put in order; an event with a
 null entry, action or day is void; of several events of an entry on one day the last in the
 order add < remove (then the highest category) holds; repeated captures keep their own rows; an
 empty list blocks nothing; an empty table gives an empty result; other columns are not read.
@@ -34,13 +38,27 @@ def host_of(url: Column) -> Column:
 def intervals(events: DataFrame) -> DataFrame:
     """entry, category, from_day, to_day (null: still active) from a history of events."""
     valid = events.dropna(subset=["entry", "action", "day"]).where(F.col("action").isin("add", "remove"))
+    valid = valid.withColumn("entry", F.regexp_replace(F.lower("entry"), r"\.+$", ""))
     last = Window.partitionBy("entry", "day").orderBy(F.desc("action"), F.desc_nulls_last("category"))
     daily = valid.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
     following = F.lead("day").over(Window.partitionBy("entry").orderBy("day"))
     return (
         daily.withColumn("to_day", following)
         .where("action = 'add'")
-        .select(F.lower("entry").alias("entry"), "category", F.col("day").alias("from_day"), "to_day")
+        .select("entry", "category", F.col("day").alias("from_day"), "to_day")
+    )
+
+
+def active_at(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """As-of join: (entry, day) of ``asked`` with the category and from_day of the interval active then."""
+    begun = F.struct("from_day", "to_day", "category")
+    starts = spans.select("entry", F.col("from_day").alias("day"), begun.alias("span"))
+    questions = asked.select("entry", "day", F.lit(None).cast(starts.schema["span"].dataType).alias("span"))
+    # A start on the day itself comes before the question.
+    order = Window.partitionBy("entry").orderBy("day", F.col("span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = starts.unionByName(questions).withColumn("at", F.last("span", ignorenulls=True).over(order))
+    return carried.where("span is null and at is not null and (at.to_day is null or day < at.to_day)").select(
+        "entry", "day", F.col("at.category").alias("category"), F.col("at.from_day").alias("from_day")
     )
 
 
@@ -54,11 +72,9 @@ def temporal_list_join(captures: DataFrame, events: DataFrame) -> DataFrame:
     """page_id, host, day and verdict of each capture (page_id, url, day)."""
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), F.col("day").cast("date").alias("day"))
     pairs = rows.where("host <> '' and day is not null").select("host", "day").distinct()
-    active = (
-        pairs.withColumn("entry", F.explode(suffixes(F.col("host"))))
-        .join(intervals(events), "entry")
-        .where("from_day <= day and (to_day is null or day < to_day)")
-    )
+    spans = intervals(events)
+    above = pairs.withColumn("entry", F.explode(suffixes(F.col("host")))).join(spans.select("entry").distinct(), "entry")
+    active = above.join(active_at(above.select("entry", "day").distinct(), spans), ["entry", "day"])
     best = lambda c: F.max_by(c, F.length("entry"))
     verdicts = active.groupBy("host", "day").agg(
         F.count("*").alias("n_active"),
@@ -86,9 +102,11 @@ FIXED_EVENTS = [
     ("example.net", "remove", "2024-06-15", "parked"),
     ("spam-farm.example.org", "add", "2024-01-10", "spam"),
     ("spam-farm.example.org", "remove", "2024-03-01", "spam"),
-    ("spam-farm.example.org", "add", "2024-03-20", "spam"),
+    ("Spam-Farm.example.org", "add", "2024-03-20", "spam"),
 ]
 
+_FIXED_SQL = ", ".join(f"('{e}', '{a}', date '{d}', '{c}')" for e, a, d, c in FIXED_EVENTS)
+
 
 def listed_history(pages: DataFrame) -> DataFrame:
     """Dated events for a quarter of the hosts of ``pages``, by the digits of their MD5, and the fixed ones."""
@@ -100,8 +118,8 @@ def listed_history(pages: DataFrame) -> DataFrame:
     event = lambda action, days: dated.select(
         "entry", F.lit(action).alias("action"), F.date_add(start, days).alias("day"), F.concat(F.lit("list"), "d1").alias("category")
     )
-    fixed = spark.createDataFrame(FIXED_EVENTS, "entry string, action string, day string, category string")
-    return fixed.withColumn("day", F.col("day").cast("date")).unionByName(
+    fixed = spark.sql(f"select * from values {_FIXED_SQL} as f(entry, action, day, category)")
+    return fixed.unionByName(
         event("add", 0).unionByName(event("remove", 45)).unionByName(event("add", 90))
     )
 
@@ -112,8 +130,6 @@ def captures_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", day.alias("day"))
 
 
-_FIXED_SQL = ", ".join(f"('{e}', '{a}', date '{d}', '{c}')" for e, a, d, c in FIXED_EVENTS)
-
 ORACLE_SQL = f"""
 with caps as (
   select page_id, cast(date '2024-01-01' + cast(page_id % 365 as integer) as date) as day,
@@ -130,8 +146,8 @@ events as (
   select entry, e.action, cast(date '2024-01-01' + cast(n + e.days as integer) as date), 'list' || d1
   from dated, (values ('add', 0), ('remove', 45), ('add', 90)) as e(action, days) where d1 < 4),
 daily as (
-  select * from events
-  qualify row_number() over (partition by entry, day order by action desc, category desc nulls last) = 1),
+  select * replace (regexp_replace(lower(entry), '\\.+$', '') as entry) from events
+  qualify row_number() over (partition by regexp_replace(lower(entry), '\\.+$', ''), day order by action desc, category desc nulls last) = 1),
 spans as (
   select entry, category, day as from_day, action, lead(day) over (partition by entry order by day) as to_day from daily),
 active as (
