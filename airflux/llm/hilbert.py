@@ -3,13 +3,16 @@
 Several metadata dimensions are quantised to ``bits`` bits, the cell's index on the Hilbert
 curve orders the rows, and runs of that order are cut into shards whose row counts differ by
 one at most (law ``rows``).  Rows near each other in every dimension share a shard, so ranges
-of several columns prune files.
+of several columns prune files.  A dimension is cut where its values, in their own order (names
+alphabetically), reach equal shares of the rows, so neighbouring codes are neighbouring values; the
+``2 ** bits`` bounds of each are all that comes to the driver.  Distinct sources, one row each, are
+put in order in one task.
 
 A row's global rank is (rows in earlier cells) + (rows in earlier salts of its cell) + (its
 number within cell and salt).  Only counts by cell (at most ``2 ** (bits * dimensions)`` rows)
 meet in one task; a cell that holds a large part of all rows is numbered in ``SALTS`` pieces.
 
-Edge cases: null source and null doc_id have code 0; a null or empty text has size 1; ties on
+Edge cases: null source and null doc_id have the lowest code; a null or empty text has size 1; ties on
 the curve are ordered by salt, doc_id and checksum; repeated rows take places next to each
 other; an empty table gives an empty result; other columns of the input are not read.
 """
@@ -89,29 +92,47 @@ def ranked(df: DataFrame, dims: list[str], bits: int, order: list[str]) -> DataF
     return rows.withColumn("rank", F.col("__base") + F.col("__number")).drop("__base", "__number")
 
 
-def range_code(column: Column, low: int, high: int, bits: int) -> Column:
-    """``column`` in 2 ** bits equal ranges between ``low`` and ``high``; null: 0."""
-    width = max(1, -(-(high - low + 1) // (1 << bits)))
-    code = F.floor((column - F.lit(low)) / F.lit(width)).cast("long")
-    return F.coalesce(F.least(F.greatest(code, F.lit(0)), F.lit((1 << bits) - 1)), F.lit(0))
+def code_of(column: Column, bounds: list) -> Column:
+    """How many of the rising ``bounds`` are at or below ``column``; null: 0."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    count = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= column))
+    return F.when(column.isNull(), 0).otherwise(count).cast("long")
+
+
+def number_bounds(rows: DataFrame, names: list[str], bits: int) -> list[list]:
+    """For each numeric column the values that part its rows into ``2 ** bits`` shares of about equal size."""
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    found = rows.agg(*(F.percentile_approx(n, shares).alias(n) for n in names)).first()
+    return [sorted(set(found[n] or [])) for n in names]
+
+
+def name_bounds(rows: DataFrame, name: str, bits: int) -> list[str]:
+    """The same for a column of names, from the rows of each distinct one."""
+    counts = rows.groupBy(name).agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.asc_nulls_first(name)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    middle = F.sum("n").over(order) - F.col("n") / 2
+    coded = counts.withColumn("code", F.floor(middle * (1 << bits) / total)).where(F.col(name).isNotNull())
+    firsts = coded.groupBy("code").agg(F.min(name).alias("first")).collect()  # 2 ** bits rows at most
+    return sorted(r["first"] for r in firsts)[1:]
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFrame:
-    """Every document with its shard and slot; dimensions: source, size (log scale) and doc_id (equal ranges)."""
-    low, high = docs.select(F.min("doc_id"), F.max("doc_id")).first()
-    most = (1 << bits) - 1
+    """Every document with its shard and slot; dimensions: source, size and doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.coalesce(F.pmod(F.crc32(F.col("source")), F.lit(most + 1)), F.lit(0)).alias("source_code"),
-        range_code(F.col("doc_id"), low or 0, high or 0, bits).alias("id_code"),
-    ).withColumns(
-        {
-            "size_code": F.least(F.floor(F.log2("size")), F.lit(most)).cast("long"),
-            "salt": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)),
-        }
+        F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "source"
+    )
+    sizes, ids = number_bounds(rows, ["size", "doc_id"], bits)
+    rows = rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        code_of(F.col("source"), name_bounds(rows, "source", bits)).alias("source_code"),
+        code_of(F.col("size"), sizes).alias("size_code"),
+        code_of(F.col("doc_id"), ids).alias("id_code"),
+        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).alias("salt"),
     )
     placed = ranked(rows, ["source_code", "size_code", "id_code"], bits, ["doc_id", "text_crc32", "size"])
     shard = F.expr(f"(rank * {shards}) div total")
