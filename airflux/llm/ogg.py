@@ -2,17 +2,21 @@
 
 ``with_ogg`` stores every text as 8-bit samples.  The UTF-8 bytes are padded with blanks to a
 positive multiple of 192 and cut into packets of ``PACKET`` samples, dealt in turn to two
-logical streams whose pages alternate.  A page carries at most 16 lacing values, so longer
-packets run over several pages.  The granule position of a page is the absolute number of
-samples at the end of the packet that ends on it, or -1 where none does.
+logical streams whose pages alternate.  A page carries at most ``LACES`` lacing values: several
+packets may end on it, and a packet may run over several pages.  The granule position of a page is
+the number of its stream's samples up to the end of the last packet that ends on it, or -1 where
+none does.
 
 ``ogg_features`` reads any Ogg bytes: it finds pages by their capture pattern, verifies their
 checksums, puts packets together from lacing values (over page ends), keeps logical streams
-apart by serial number, and derives times from granule positions.
+apart by serial number, and derives times from granule positions.  A packet that ends before the
+last one of its page ends where the packet behind it begins; on a page without a position, where
+the one before it ends and its length lead.  The payload is in the order of beginnings, then of serial
+numbers.
 
 Edge cases: null text is the empty text (192 blanks); texts of any length are stored whole;
 equal texts give equal bytes; pages with a wrong checksum or length are counted and skipped,
-as are packets that lost a part; a null or empty media value has no pages, an empty payload
+as are packets that lost a part, or whose end the bytes do not reach; a null or empty media value has no pages, an empty payload
 and the feature string of no streams; an empty table gives an empty one; further columns, whatever their
 names, are not read.
 """
@@ -24,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import buffer_of, slices
 
-RATE, UNIT, PACKET, LACES = 8000, 192, 4800, 16
+RATE, UNIT, PACKET, LACES = 8000, 192, 960, 18
 #: Fixed values of the page format: flags of a page, its header, and the identification packet's magic.
 CONTINUED, FIRST, LAST = 1, 2, 4
 HEAD = struct.Struct("<4sBBqIIIB")
@@ -56,14 +61,19 @@ def page(flags: int, granule: int, serial: int, number: int, laces: bytes, body:
     return head[:22] + struct.pack("<I", crc) + head[26:] + body
 
 
-def pages_of(packet: bytes, granule: int, serial: int, number: int, last: bool) -> list[bytes]:
-    """The pages of one packet, which ends its last page."""
-    laces = b"\xff" * (len(packet) // 255) + bytes([len(packet) % 255])
-    out = []
-    for at in range(0, len(laces), LACES):
-        part, final = laces[at : at + LACES], at + LACES >= len(laces)
-        flags = CONTINUED * (at > 0) | LAST * (last and final)
-        out.append(page(flags, granule if final else -1, serial, number + len(out), part, packet[at * 255 : (at + LACES) * 255]))
+def pages_of(packets: list[bytes], serial: int) -> list[bytes]:
+    """The pages of a stream's packets, behind its first page."""
+    laces = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+    body, out, at, samples, begun = b"".join(packets), [], 0, 0, 0
+    for k in range(0, len(laces), LACES):
+        part = laces[k : k + LACES]
+        end = at + sum(part)
+        whole = max((i for i, lace in enumerate(part) if lace < 255), default=-1)
+        flags = CONTINUED * (begun < at) | LAST * (k + LACES >= len(laces))
+        if whole >= 0:
+            samples = begun = end - sum(part[whole + 1 :])
+        out.append(page(flags, samples if whole >= 0 else -1, serial, len(out) + 1, part, body[at:end]))
+        at = end
     return out
 
 
@@ -75,26 +85,21 @@ def encode(data: bytes, streams: int = 2) -> bytes:
     """Ogg bytes of the padded payload of ``data``, dealt to ``streams`` logical streams."""
     payload = padded(data)
     ident = IDENT.pack(MAGIC, RATE, len(data))
-    starts = range(0, len(payload), PACKET)
-    left = [len(range(s, len(starts), streams)) for s in range(streams)]
-    out = [page(FIRST | LAST * (not left[s]), 0, s + 1, 0, bytes([len(ident)]), ident) for s in range(streams)]
-    numbers = [1] * streams
-    for k, at in enumerate(starts):
-        s = k % streams
-        left[s] -= 1
-        packet = payload[at : at + PACKET]
-        made = pages_of(packet, at + len(packet), s + 1, numbers[s], not left[s])
-        numbers[s] += len(made)
-        out += made
+    packets = [payload[at : at + PACKET] for at in range(0, len(payload), PACKET)]
+    pages = [pages_of(packets[s::streams], s + 1) for s in range(streams)]
+    out = [page(FIRST | LAST * (not pages[s]), 0, s + 1, 0, bytes([len(ident)]), ident) for s in range(streams)]
+    for turn in zip_longest(*pages, fillvalue=b""):
+        out += turn
     return b"".join(out)
 
 
 @dataclass
 class Stream:
-    packets: list[tuple[int, bytes]] = field(default_factory=list)  # (granule at its end or -1, packet)
+    packets: list[tuple[int, bytes]] = field(default_factory=list)  # (granule position at its end, packet)
     part: list[bytes] = field(default_factory=list)
     broken: bool = False  # the packet under way lost its beginning or a page
     next_page: int | None = None
+    end: int = 0  # granule position at the end of the last packet
     lost: int = 0
     ended: bool = False
 
@@ -144,9 +149,15 @@ def read(data: bytes) -> Container:
                 else:
                     whole.append(b"".join(stream.part))
                 stream.part, stream.broken = [], False
-        stream.packets += [(granule if k == len(whole) - 1 else -1, p) for k, p in enumerate(whole)]
+        at = granule - sum(map(len, whole)) if granule >= 0 else stream.end
+        for packet in whole:
+            at += len(packet)
+            stream.packets.append((at, packet))
+        stream.end = at if whole else stream.end
         stream.ended |= bool(flags & LAST)
         at = data.find(b"OggS", end)
+    for stream in out.streams.values():
+        stream.lost += bool(stream.part or stream.broken)  # cut off by the end of the bytes
     return out
 
 
@@ -159,7 +170,7 @@ def decode(data: bytes) -> tuple[bytes, int, str]:
         for granule, packet in stream.packets:
             if len(packet) == IDENT.size and packet.startswith(MAGIC):
                 _, rate, size = IDENT.unpack(packet)
-            elif granule >= 0:
+            else:
                 timed.append((granule - len(packet), serial, packet))
                 ends.append((granule - len(packet), granule))
         count += len(stream.packets)
