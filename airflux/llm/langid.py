@@ -1,14 +1,15 @@
 """Language labels of spans and documents (operator 10).
 
-A word's score in a language is half the log-likelihood of its character n-grams (orders 1-3,
-word ends marked, hashed to ``BUCKETS``).  The script of the word narrows the candidates to the
+Words are cut at every white space and where the script changes, so each has one script.  A word's
+score in a language is half the log-likelihood of its character n-grams (orders 1-3, word ends
+marked, hashed to ``BUCKETS``).  The script of the word narrows the candidates to the
 languages that were learned with that script; a script that no language was learned with is no
 evidence.  Viterbi over the words with a penalty for each switch labels spans; the document's
 language is the one with most letters, and its score the share of letters that carry its label.
 
-Learning: n-grams of a sample of at most ``sample`` documents (a bound, documented here) with
-text and lang whose crc32(doc_id as text) mod 4 is not 2, in the order of a hash of doc_id.  Only
-text and lang are used.  The counts that reach the driver are at most BUCKETS a language.
+Learning: n-grams of a sample of at most ``sample`` documents of each language (a bound, documented
+here) with text and lang whose crc32(doc_id as text) mod 4 is not 2, in the order of a hash of
+doc_id, so a rare language is learned as well.  Only text and lang are used.  The counts that reach the driver are at most BUCKETS a language.
 
 Prediction: tasks keep the scores of distinct words and run Viterbi for all documents of a slice
 at once, step t being the t-th word of each.
@@ -28,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import buffer_of, distinct_pieces, ranges, slices, space_cuts, text_column
 
-SAMPLE, BUCKETS, PENALTY, TEMPER = 8192, 1 << 16, 8.0, 0.5
+SAMPLE, BUCKETS, PENALTY, TEMPER = 2048, 1 << 16, 8.0, 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -79,8 +80,24 @@ BOUNDS = np.array([b for b, _ in SCRIPTS])
 SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 
-def letters_of(pieces: list[bytes]) -> list[str]:
-    return ["".join(LETTERS.findall(p.decode("utf-8", "replace"))) for p in pieces]
+def words_of_piece(piece: str) -> list[str]:
+    """The letters of each word of a piece of text, cut where the script changes."""
+    out = []
+    for part in piece.split():
+        word = "".join(LETTERS.findall(part))
+        if word.isascii():
+            out += [word] * bool(word)
+            continue
+        script = script_numbers(word)
+        cut = [0, *(np.flatnonzero(script[1:] != script[:-1]) + 1).tolist(), len(word)]
+        out += [word[a:b] for a, b in zip(cut, cut[1:]) if a < b]
+    return out
+
+
+def words_of_pieces(pieces: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """The words of all pieces end to end, and how many each piece has."""
+    found = [words_of_piece(p.decode("utf-8", "replace")) for p in pieces]
+    return [w for ws in found for w in ws], np.fromiter(map(len, found), np.int64, len(found))
 
 
 def word_grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +117,9 @@ def word_grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return grams, 3 * (n + 1)
 
 
-def script_numbers(words: list[str]) -> np.ndarray:
-    first = np.fromiter((ord(w[0]) if w else 0 for w in words), np.int64, len(words))
+def script_numbers(words: list[str] | str) -> np.ndarray:
+    """Script of each word (of one script; that of its first letter), or of each letter of one word."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
     return SCRIPT_OF[np.searchsorted(BOUNDS, first, side="right") - 1]
 
 
@@ -130,7 +148,7 @@ class Model:
         self.allowed = share >= 0.01  # [script, language]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """[word, language]; 0 for words without letters, and for scripts that no language has."""
+        """[word, language]; 0 for scripts that no language has."""
         grams, n = word_grams(words, len(self.logp))
         ends = np.cumsum(n)
         sums = np.zeros((len(words), len(self.langs)), np.float64)
@@ -139,7 +157,7 @@ class Model:
             a, b = (ends[lo] - n[lo]), ends[hi - 1]
             sums[lo:hi] = np.add.reduceat(self.logp[grams[a:b]], ends[lo:hi] - n[lo:hi] - a, axis=0, dtype=np.float64)
         allowed = self.allowed[script_numbers(words)]
-        none = ~allowed.any(axis=1) | np.fromiter((not w for w in words), bool, len(words))
+        none = ~allowed.any(axis=1)
         sums = TEMPER * sums
         sums -= sums.max(axis=1, keepdims=True) if len(self.langs) else 0
         sums[~allowed] = -1e3
@@ -149,10 +167,13 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    ids = (
-        labelled.select(F.col("doc_id").cast("long")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    chosen = labelled.select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
+    keyed = labelled.select(F.xxhash64("doc_id").alias("hash"), "text", "lang")
+    # One row a language: the hash up to which its sample goes.  No task passes on more than `sample`
+    # hashes of a language.
+    order = Window.partitionBy("lang").orderBy("hash")
+    firsts = keyed.select("lang", "hash").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    bounds = firsts.groupBy("lang").agg(F.max("hash").alias("most"))
+    chosen = keyed.join(F.broadcast(bounds), "lang").where("hash <= most")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -160,13 +181,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Mode
             for part in slices(batch):
                 lang = part.column(1).to_pylist()
                 pieces, which, first = words_in(part)
-                words = letters_of(pieces)
+                words, count = words_of_pieces(pieces)
+                of_piece = np.cumsum(count) - count
                 grams, n = word_grams(words, buckets)
                 start, script = np.cumsum(n) - n, script_numbers(words)
-                has = np.fromiter(map(bool, words), bool, len(words))
                 for row, code in enumerate(lang):
                     own = which[first[row] : first[row + 1]]
-                    own = own[has[own]]
+                    own = ranges(of_piece[own], count[own])
                     g, s = total.setdefault(code, (np.zeros(buckets, np.int64), np.zeros(len(NAMES), np.int64)))
                     g += np.bincount(grams[ranges(start[own], n[own])], minlength=buckets)
                     s += np.bincount(script[own], minlength=len(NAMES))
@@ -228,7 +249,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 
 class WordScores:
-    """Scores and letter counts of distinct words, each worked out once while it is remembered."""
+    """Scores and letter counts of the words of distinct pieces, worked out once while they are remembered."""
 
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
@@ -238,18 +259,24 @@ class WordScores:
         self.number: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, pieces: list[bytes]) -> np.ndarray:
-        """Rows of ``scores`` and ``letters`` for each piece."""
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First row in ``scores`` and ``letters``, and number of rows, of each piece's words."""
         if len(self.number) > self.most:
             self.clear()
         new = [p for p in pieces if p not in self.number]
         if new:
-            words, base = letters_of(new), len(self.number)
-            self.number.update((p, base + k) for k, p in enumerate(new))
-            self.scores = np.vstack([self.scores, self.model.scores(words)])
-            self.letters = np.append(self.letters, np.fromiter(map(len, words), np.int64, len(words)))
-        return np.fromiter((self.number[p] for p in pieces), np.int64, len(pieces))
+            words, count = words_of_pieces(new)
+            self.starts = np.append(self.starts, len(self.letters) + np.cumsum(count) - count)
+            self.counts = np.append(self.counts, count)
+            base = len(self.number)
+            self.number.update(zip(new, range(base, base + len(new))))
+            if words:
+                self.scores = np.vstack([self.scores, self.model.scores(words)])
+                self.letters = np.append(self.letters, np.fromiter(map(len, words), np.int64, len(words)))
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        return self.starts[at], self.counts[at]
 
 
 LABELLED = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,words:int>>"
@@ -266,11 +293,9 @@ def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY,
         for batch in batches:
             for part in slices(batch):
                 pieces, which, first = words_in(part)
-                at = known(pieces)
-                word = at[which]
-                keep = known.letters[word] > 0
-                begin = np.append(0, np.cumsum(keep))[first]
-                word = word[keep]
+                start, count = known(pieces)
+                word = ranges(start[which], count[which])
+                begin = np.append(0, np.cumsum(count[which]))[first]
                 out = result(part.column(0), begin, known.scores[word], known.letters[word])
                 yield out.append_column("row", part.column(2)) if carry else out
 

@@ -566,6 +566,50 @@ def test_language_spans(spark):
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
+def test_words_and_scores_by_brute_force():
+    assert langid.words_of_piece("a\tb\r\nc\u00a0d\u3000e don't 12x") == ["a", "b", "c", "d", "e", "dont", "x"]
+    assert langid.words_of_piece(" abc東京タワーdef") == ["abc", "東京", "タワー", "def"]
+    assert langid.words_of_pieces([b" 12", b" a b", b""])[1].tolist() == [0, 2, 0]
+    rng = np.random.default_rng(4)
+    counts, scripts = rng.integers(0, 50, (64, 3)), np.zeros((len(langid.NAMES), 3), int)
+    latin, greek = langid.NAMES.index("Latin"), langid.NAMES.index("Greek")
+    scripts[latin, :2], scripts[greek, 2] = 1, 1
+    model = langid.Model(["aa", "bb", "gr"], counts, scripts)
+    total = counts.sum(axis=0)
+    logp = np.log(counts + 0.5) - np.log(total + 32)
+
+    def buckets(word):
+        mul, out, text = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], [], "  " + word + " "
+        for k in range(2, len(text)):
+            h = ord(text[k]) * mul[0]
+            for n in range(3):
+                if n:
+                    h += ord(text[k - n]) * mul[n] + 1
+                g = h % 2**64
+                out.append((((g ^ (g >> 31)) * mul[1] % 2**64) >> 40) % 64)
+        return out
+
+    for word, allowed in (("hello", [0, 1]), ("é", [0, 1]), ("λόγος", [2]), ("東", [])):
+        got = model.scores([word])[0]
+        want = 0.5 * logp[buckets(word)].sum(axis=0)
+        want -= want.max()
+        for k in range(3):
+            assert np.isclose(got[k], 0 if not allowed else want[k] if k in allowed else -1e3, atol=1e-3), (word, k)
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(21)
+    own = {"aa": "abcdefg", "bb": "cdefghi", "cc": "αβγδε"}
+    rows = []
+    for k in range(240):
+        lang = rng.choice(list(own)) if k % 40 else "dd"  # a rare language
+        letters = own.get(lang, "xyzw")
+        rows.append((k, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30)), lang))
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and np.mean([r["lang_pred"] == rows[r["doc_id"]][2] for r in held]) >= 0.95
+
+
 def test_url_list(spark):
     from datetime import date
 
