@@ -180,7 +180,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, vertex (a 64-bit hash of the set; null without shingles), registers."""
+    """doc_id, n_shingles, vertex (a 64-bit hash of the set; null without shingles), registers, text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,13 +190,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 vertex, n = mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64), np.diff(at)
                 regs = registers_of(h, at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(vertex, pa.int64(), mask=n == 0), pa.array([r.tobytes() if k else None for r, k in zip(regs, n)], pa.binary())],
-                    names=["doc_id", "n_shingles", "vertex", "registers"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(vertex, pa.int64(), mask=n == 0), pa.array([r.tobytes() if k else None for r, k in zip(regs, n)], pa.binary()), part.column(2)],
+                    names=["doc_id", "n_shingles", "vertex", "registers", "text_hash"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, vertex long, registers binary"
-    )
+    taken = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return taken.mapInArrow(run, "doc_id long, n_shingles long, vertex long, registers binary, text_hash long")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -392,6 +391,46 @@ def open_links(stars: DataFrame, part: DataFrame, docs: DataFrame, signed: DataF
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) and kept of every document."""
+    rows = grouped_rows(docs, width, percent, block)
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: that of the least doc_id (null last),
+    then of the least text hash; of equal ones, any.  Texts without words are in no group and all stay.
+
+    Rows are known by doc_id and text hash, so rows that share a doc_id but not a text are judged apart.
+    """
+    rows = written(grouped_rows(docs, width, percent, block).select("doc_id", "text_hash", "root"), "rows")
+    name, by = F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    group = rows.where("root is not null")
+    first = group.groupBy("root").agg(F.min_by(name, by).alias("r")).select("r.doc_id", "r.text_hash")
+    times = group.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    first = first.join(times, same(first, times)).select(first["doc_id"].alias("__id"), first["text_hash"].alias("__hash"), "n")
+    blank = rows.where("root is null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    first = written(first.unionByName(blank.withColumn("n", F.lit(1).cast("long"))), "first")
+
+    def taken(some: DataFrame) -> DataFrame:
+        on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
+        return docs.join(some, on, "left_semi")
+
+    again = first.where("n > 1")
+    if again.isEmpty():
+        return taken(first)
+    # Rows that occur more than once: the only ones whose copies have to meet.
+    once = taken(again).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__hash"])
+    return taken(first.where("n = 1")).unionByName(once.drop("__hash"))
+
+
+def grouped_rows(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """doc_id, n_shingles, text_hash and root (the same for all rows that links reach; null without shingles)."""
     signed = written(signatures(docs, width), "signatures")
     groups = (
         band_rows(signed)
@@ -413,12 +452,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     if not more.isEmpty():
         part = components(links.unionByName(more))
 
-    rows = signed.select("doc_id", "n_shingles", "vertex").join(part, "vertex", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("root", "vertex").alias("root"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    rows = signed.select("doc_id", "n_shingles", "text_hash", "vertex").join(part, "vertex", "left")
+    return rows.select("doc_id", "n_shingles", "text_hash", F.coalesce("root", "vertex").alias("root"))

@@ -88,6 +88,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         "n_dup_lines",
+        F.xxhash64("text").alias("text_hash"),
         word_hashes(F.col("words")).alias("hashes"),
     )
     return rows.withColumn("n_repeat_words", repeated_words(F.col("hashes")))
@@ -137,12 +138,12 @@ def quality_rules(
     threshold: float = THRESHOLD,
     prior: float | None = None,
 ) -> DataFrame:
-    """doc_id, base figures, base_failed, score and kept of every document."""
+    """doc_id, base figures, base_failed, score, kept and a hash of the text of every document."""
     weights = gram_weights(docs, labels, buckets, trusted, prior)
     rows = base_columns(docs).withColumns(
         {"row_no": F.monotonically_increasing_id(), "grams": gram_buckets(F.col("hashes"), buckets)}
     )
-    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash"]
     # A row's n-grams stay in one task, so their sum is made before the shuffle, which moves one
     # short row a document.  `weights` has `buckets` rows, so it may be sent to all tasks.
     scored = (
@@ -153,5 +154,5 @@ def quality_rules(
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumns({"score": F.coalesce("score", F.lit(0.0)), "base_failed": failed}).select(
-        *base, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept")
+        *base[:-1], "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "text_hash"
     )

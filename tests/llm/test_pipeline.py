@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on each stage's own input."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from airflux.llm import langid  # noqa: E402
+from airflux.llm import langid, quality  # noqa: E402
 
 from .test_text_operators import base_figures, cut, groups, reference_ids, removed, texts  # noqa: E402
 
@@ -21,6 +22,8 @@ def folder(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("corpus"))
     rows = [(k, t, "fr" if k % 4 == 1 else "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(texts())]
     rows += [rows[20], (None, "words of a row that has no key at all but is long enough to stay", "en", None, 60)]
+    # Rows that share a doc_id, or have none, with texts of their own: clean ones stay beside bad ones.
+    rows += [(None, "too short", "en", None, 9), (7, rows[12][1], "en", "s", 1), (12, "a quite different text under a key that another row has already, long enough", "en", "s", 1)]
     spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{root}/documents.parquet")
     labels = [(k, 1, 0) for k in range(0, len(rows), 2)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
@@ -54,8 +57,28 @@ def test_quality(stages):
     before, after, *_ = stages["quality_rules"]
     gone = key(before) - key(after)
     assert not key(after) - key(before)
-    failed = {r["doc_id"] for r in before if (lambda f: f[0] < 10 or 100 * f[4] > 20 * f[0])(base_figures(r["text"]))}
-    assert failed <= {d for d, _ in gone} and not failed & {r["doc_id"] for r in after}
+    failed = [(r["doc_id"], r["text"]) for r in before if (lambda f: f[0] < 10 or 100 * f[4] > 20 * f[0])(base_figures(r["text"]))]
+    assert all(gone[r] == n for r, n in Counter(failed).items())
+    # The other verdicts: log-likelihood ratios from the definitions.
+    xxhash, buckets = pytest.importorskip("xxhash"), quality.BUCKETS
+    h = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed=seed)
+
+    def grams(t):
+        hs = [h(x.encode()) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        pairs = [h(b.to_bytes(8, "little"), seed=h(a.to_bytes(8, "little"))) for a, b in zip(hs, hs[1:])]
+        return [(x - (1 << 64) * (x >> 63)) % buckets for x in hs + pairs]
+
+    raw, target = Counter(), Counter()
+    for r in before:
+        raw.update(grams(r["text"]))
+        if r["doc_id"] is not None and r["doc_id"] % 2 == 0:
+            target.update(grams(r["text"]))
+    mass, n_raw, n_target = quality.PRIOR * buckets, sum(raw.values()), sum(target.values())
+    for r in before:
+        g = grams(r["text"])
+        if (r["doc_id"], r["text"]) not in failed:
+            score = np.mean([np.log((target[b] / raw[b] * n_raw + mass) / (n_target + mass)) for b in g])
+            assert abs(score - quality.THRESHOLD) > 1e-9 and ((r["doc_id"], r["text"]) in gone) == (score < quality.THRESHOLD)
 
 
 def test_language(stages):
@@ -69,9 +92,16 @@ def test_language(stages):
 
 def test_near_duplicates(stages):
     before, after, *_ = stages["near_duplicates"]
-    want = groups([tuple(r) for r in before], 5, 80)
-    keep = {d for d, (_, root) in want.items() if d == root}
-    assert Counter(r["doc_id"] for r in after if r["doc_id"] is not None) == Counter(keep)
+    numbered = [(k, r["text"]) for k, r in enumerate(before)]
+    members = {}
+    for k, (_, root) in groups([(*n, "", "", 0) for n in numbered], 5, 80).items():
+        members.setdefault(root, []).append(k)
+    left = key(after)
+    assert not left - key(before) and sum(left.values()) == len(members)
+    for ks in members.values():
+        ids = [before[k]["doc_id"] for k in ks]
+        least = min((d for d in ids if d is not None), default=None)
+        assert any(left[(least, before[k]["text"])] for k in ks if before[k]["doc_id"] == least)
 
 
 def test_repeated_strings(stages):
@@ -97,3 +127,13 @@ def test_packing(stages):
 def test_run(spark, folder, stages):
     got = corpus_pipeline.run(spark, folder).collect()
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages["best_fit_packing"][1])
+
+
+def test_no_rows_and_other_columns(spark, folder, stages):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.withColumns({c: docs["doc_id"] for c in ("row", "vertex", "root", "__id", "__hash", "kept", "n", "text_hash", "score")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, more.limit(0), folder).count() == 0, name
+        assert stage(spark, more, folder).columns == docs.columns, name
+    assert corpus_pipeline.best_fit_packing(spark, more.limit(0), folder).count() == 0
+    assert key(corpus_pipeline.near_duplicates(spark, more, folder).collect()) == key(corpus_pipeline.near_duplicates(spark, docs, folder).collect())

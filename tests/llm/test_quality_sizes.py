@@ -14,7 +14,9 @@ def test_clean_rows_stay(spark, tmp_path, sf):
     clean = labels.where("quality = 1 and toxic = 0")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     clean.where("pmod(xxhash64(doc_id), 3) > 0").write.parquet(f"{tmp_path}/labels.parquet")
-    got = queries.QUERIES["op1_quality_rules"](spark, str(tmp_path)).where("not base_failed").localCheckpoint()
+    got = queries.QUERIES["op1_quality_rules"](spark, str(tmp_path)).where("not base_failed")
+    got.write.parquet(f"{tmp_path}/scored")
+    got = spark.read.parquet(f"{tmp_path}/scored")
     held = got.join(clean.where("pmod(xxhash64(doc_id), 3) = 0"), "doc_id", "left_semi")
     n, lost = held.count(), held.where("not kept").count()
     assert n > 10 and lost <= 0.01 * n, (lost, n)
