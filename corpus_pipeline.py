@@ -1,13 +1,14 @@
 """Corpus pipeline: documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; all
-but the last return the columns of ``documents``.  Rows with the same doc_id share the quality
-verdict (rejected if any of them is) and the near-duplicate one, after which one of them stays.
+but the last return the columns of ``documents``; further columns of the input, whatever their
+names, are dropped.  A row is known by its doc_id and its text: rows that share a doc_id (or have
+none) are judged apart where their texts differ.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airflux.llm import hyperminhash, langid, packing, quality, repeats
@@ -20,39 +21,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null, empty and blank texts fail the base rules and go; rows with the same doc_id and text share their
+    verdict and stay or go together, at a tie with the threshold they stay."""
+    docs = docs.select(*COLUMNS)
     verdict = quality.quality_rules(docs, table(spark, sf_dir, "labels"), prior=quality.PRIOR)
-    rejected = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__rejected"]), "left_anti").select(*COLUMNS)
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of undetermined language go, and those without a leading one."""
-    labelled = langid.language_id(docs, carry=True)
+    """Documents of undetermined language go, and those without a leading one.
+
+    Null texts and texts without a letter are undetermined; equal scores go to the language first in the
+    alphabet; repeated rows stay or go together, each in its own right."""
+    labelled = langid.language_id(docs.select(*COLUMNS), carry=True)
     fine = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)
     return labelled.where(fine).select(*(F.col("row")[c].alias(c) for c in COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the least doc_id."""
-    kept = hyperminhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    # Rows without a doc_id cannot be told apart by it; all of them stay.
-    again = F.col("doc_id").isNotNull() & (F.row_number().over(one) > 1)
-    return rows.withColumn("__again", again).where(~F.col("__again")).select(*COLUMNS)
+    """One document of each group of near-duplicates stays: that with the least doc_id.
+
+    A null doc_id is larger than all others; of rows that share a doc_id the least text hash stays, of
+    repeated rows one.  Texts without words are in no group: all of them stay."""
+    return hyperminhash.one_of_each(docs.select(*COLUMNS))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that a document with a smaller doc_id has, too, are cut out of the texts."""
-    left = repeats.removed_repeats(docs, keep_text=True, carry=True)
+    """Byte strings that a document with a smaller doc_id has, too, are cut out of the texts.
+
+    Every row stays.  A null doc_id is larger than all others; rows with equal doc_ids cut nothing out of
+    each other; null texts become empty, texts that are cut out whole, too."""
+    left = repeats.removed_repeats(docs.select(*COLUMNS), keep_text=True, carry=True)
     return left.select(
         "doc_id", "text", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), F.length("text").cast("long").alias("n_chars")
     )
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces packed into sequences of at most 2048 tokens."""
+    """What is left, as pieces packed into sequences of at most 2048 tokens.
+
+    A null or empty text is one piece of one token; repeated rows are packed as often as they occur."""
     return packing.best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
