@@ -263,26 +263,53 @@ def mdm_matrix(obs: DataFrame, components: list[dict], orgs=None) -> DataFrame:
 def mdm_product(obs: DataFrame, std, scale: str, interday: bool = False, orgs=None) -> DataFrame:
     """Component x vector ``value`` without its matrix: the exponential kernel is a recurrence over time.
 
-    Windows of one block (location, day) are read twice in order; the cost is linear in the rows.
+    A task scans the rows of one location and day in both directions; with ``interday`` what the days
+    before and behind add is carried from day to day, over one short row a day.  The cost is linear in
+    the rows.  Rows with a null key or value are left out.
     """
     tau = float(duration_us(scale))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("obs_time", ignore_index=True)
-        t = pdf["us"].to_numpy(np.float64)
-        x = pdf["s"].to_numpy(np.float64) * pdf["value"].to_numpy(np.float64)
-        decay = np.exp(-np.diff(t) / tau)
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("us", ignore_index=True)
+        x = (pdf["s"] * pdf["value"]).to_numpy(np.float64)
+        decay = np.exp(-np.diff(pdf["us"].to_numpy(np.float64)) / tau)
         left, right = x.copy(), x.copy()
         for i in range(1, len(x)):
             left[i] += decay[i - 1] * left[i - 1]
             right[-1 - i] += decay[-i] * right[-i]
+        pdf["left"], pdf["right"] = left, right
         pdf["value"] = pdf["s"] * (left + right - x)
-        return pdf[["obs_location", "obs_time", "value"]]
-
-    rows = obs.select(*OBS, F.col("value").cast("double").alias("value")).withColumns(
-        {"s": sigma(std, orgs), "us": micros(F.col("obs_time")), "__day": F.lit(None).cast("date") if interday else F.to_date("obs_time")}
+        return pdf[["obs_location", "obs_time", "us", "s", "left", "right", "value"]]
+
+    rows = obs.select(*OBS, F.col("value").cast("double").alias("value")).dropna()
+    rows = rows.withColumns({"s": sigma(std, orgs), "us": micros(F.col("obs_time")), "day": F.to_date("obs_time")})
+    kind = "obs_location string, obs_time timestamp_ntz, us long, s double, left double, right double, value double"
+    within = rows.groupBy("obs_location", "day").applyInPandas(scan, kind)
+    if not interday:
+        return within.select(*OBS, "value")
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day", ignore_index=True)
+        first, last = pdf["first"].to_numpy(np.float64), pdf["last"].to_numpy(np.float64)
+        before, behind = np.zeros(len(pdf)), np.zeros(len(pdf))  # as seen from a day's first and last row
+        for i in range(1, len(pdf)):
+            own = pdf["left"][i - 1] + before[i - 1] * np.exp((first[i - 1] - last[i - 1]) / tau)
+            before[i] = own * np.exp((last[i - 1] - first[i]) / tau)
+            k = len(pdf) - 1 - i
+            own = pdf["right"][k + 1] + behind[k + 1] * np.exp((first[k + 1] - last[k + 1]) / tau)
+            behind[k] = own * np.exp((last[k] - first[k + 1]) / tau)
+        pdf["before"], pdf["behind"] = before, behind
+        return pdf[["obs_location", "day", "first", "last", "before", "behind"]]
+
+    within = within.withColumn("day", F.to_date("obs_time"))
+    days = within.groupBy("obs_location", "day").agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.max_by("left", "us").alias("left"), F.min_by("right", "us").alias("right")
     )
-    return rows.groupBy("obs_location", "__day").applyInPandas(run, "obs_location string, obs_time timestamp_ntz, value double")
+    kind = "obs_location string, day date, first long, last long, before double, behind double"
+    carried = days.groupBy("obs_location").applyInPandas(carry, kind)
+    decayed = lambda c, a, b: F.col(c) * F.exp((F.col(a) - F.col(b)) / F.lit(tau))
+    more = F.col("s") * (decayed("before", "first", "us") + decayed("behind", "us", "last"))
+    return within.join(carried, ["obs_location", "day"]).select(*OBS, (F.col("value") + more).alias("value"))
 
 
 def prior_sigma(prior: DataFrame, base_std: float = 0.019, std_frac: float = 0.5) -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, timeutil
-from .llm.common import written
 from .operators import aggregate, inversion, joins, mobile, qa, report, results, windows
 from .plans import observations as plan
 from .plans.config import InversionConfig, config_id
 from .plans.inversion import enough
+from .scratch import written
 from .sources import registry, writers
 from .streaming import hourly
 
@@ -415,36 +415,10 @@ def removed_contribution(spark, sf_dir):
     return out.select("obs", r6("removed"))
 
 
-_DAYS = """o as (select distinct event_type as loc, date_trunc('hour', ts)::timestamp as t from events where ts < timestamp '2024-01-04')"""
-
-
-@query(f"""with {_DAYS}, p as (select a.loc, a.t as ti, b.t as tj, 0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) as v
-    from o a join o b on a.loc = b.loc and a.t::date = b.t::date)
-  select loc as obs_location, ti as time_i, tj as time_j, round(v, 12) as value from p""")
-def mdm_block_cov(spark, sf_dir):
-    out = inversion.mdm_entries(_hours(spark, sf_dir), 0.011, True, "2.8h", False)
-    return out.select("obs_location", "time_i", "time_j", F.round("value", 12).alias("value"))
+_DAYS = """o as (select distinct event_type as loc, date_trunc('hour', ts)::timestamp as t from events)"""
 
 
 def _hours(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-04'")
-    return rows.select(F.col("event_type").alias("obs_location"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).distinct()
-
-
-@query(f"""with {_DAYS} select a.loc as obs_location, a.t as obs_time,
-  round(sum(0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) * hour(b.t)), 10) as value
-  from o a join o b on a.loc = b.loc and a.t::date = b.t::date group by 1, 2""")
-def mdm_product(spark, sf_dir):
-    rows = _hours(spark, sf_dir).withColumn("value", F.hour("obs_time").cast("double"))
-    out = inversion.mdm_product(rows, 0.011, "2.8h", False)
-    return out.select("obs_location", "obs_time", F.round("value", 10).alias("value"))
-
-
-# The two queries above take the first days of events, as their SQL does; the two below take all days.
-_ALL_DAYS = """o as (select distinct event_type as loc, date_trunc('hour', ts)::timestamp as t from events)"""
-
-
-def _all_hours(spark, sf_dir):
     return (
         read(spark, sf_dir, "events")
         .select(F.col("event_type").alias("obs_location"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time"))
@@ -452,23 +426,33 @@ def _all_hours(spark, sf_dir):
     )
 
 
-@query(f"""with {_ALL_DAYS}, p as (select a.loc, a.t as ti, b.t as tj, 0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) as v
+@query(f"""with {_DAYS}, p as (select a.loc, a.t as ti, b.t as tj, 0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) as v
     from o a join o b on a.loc = b.loc and a.t::date = b.t::date)
   select loc as obs_location, ti as time_i, tj as time_j, round(v, 12) as value from p""")
-def mdm_block_cov_all_days(spark, sf_dir):
-    out = inversion.mdm_entries(_all_hours(spark, sf_dir), 0.011, True, "2.8h", False)
+def mdm_block_cov(spark, sf_dir):
+    out = inversion.mdm_entries(_hours(spark, sf_dir), 0.011, True, "2.8h", False)
     return out.select("obs_location", "time_i", "time_j", F.round("value", 12).alias("value"))
 
 
-@query(f"""with {_ALL_DAYS} select a.loc as obs_location, a.t as obs_time,
+@query(f"""with {_DAYS} select a.loc as obs_location, a.t as obs_time,
   round(sum(0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (2.8 * 3600e6)) * hour(b.t)), 10) as value
   from o a join o b on a.loc = b.loc and a.t::date = b.t::date group by 1, 2""")
-def mdm_product_all_days(spark, sf_dir):
-    rows = _all_hours(spark, sf_dir).withColumn("value", F.hour("obs_time").cast("double"))
+def mdm_product(spark, sf_dir):
+    rows = _hours(spark, sf_dir).withColumn("value", F.hour("obs_time").cast("double"))
     out = inversion.mdm_product(rows, 0.011, "2.8h", False)
     return out.select("obs_location", "obs_time", F.round("value", 10).alias("value"))
 
 
+@query(f"""with {_DAYS} select a.loc as obs_location, a.t as obs_time,
+  round(sum(0.011 * 0.011 * exp(-abs(epoch_us(a.t) - epoch_us(b.t)) / (168 * 3600e6)) * hour(b.t)), 8) as value
+  from o a join o b on a.loc = b.loc group by 1, 2""")
+def mdm_product_interday(spark, sf_dir):
+    """The background component: its kernel spans the days of a location's whole record."""
+    rows = _hours(spark, sf_dir).withColumn("value", F.hour("obs_time").cast("double"))
+    out = inversion.mdm_product(rows, 0.011, "7d", True)
+    return out.select("obs_location", "obs_time", F.round("value", 8).alias("value"))
+
+
 @query("""with m as (select date_trunc('month', o_orderdate)::timestamp as time, o_custkey % 8 as j, avg(o_totalprice) as flux from orders group by 1, 2)
   select time, round(sum(flux * 6371008.8 * 6371008.8 * radians(0.05) * (sin(radians(40.45 + (j + 0.5) * 0.06 + 0.03)) - sin(radians(40.45 + (j + 0.5) * 0.06 - 0.03)))) / 1e9, 3) as total
   from m group by 1""")
@@ -520,16 +504,6 @@ def frobenius(spark, sf_dir):
     return inversion.frobenius(rows, ["l_returnflag"]).select("l_returnflag", F.round("norm", 4).alias("norm"))
 
 
-@query("""with p as (select p_partkey as cell, p_retailprice as v from part), q as (select l_partkey as cell, round(avg(l_extendedprice), 6) as v from lineitem where l_partkey % 3 = 0 group by 1)
-  select p.cell, coalesce(q.v, p.v) as value from p left join q using (cell)""")
-def reconstruct_prior(spark, sf_dir):
-    prior = read(spark, sf_dir, "part").selectExpr("p_partkey as cell", "p_retailprice as value")
-    post = read(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_partkey").alias("cell")).agg(F.round(F.avg("l_extendedprice"), 6).alias("value"))
-    return inversion.reconstruct(prior, post, ["cell"]).select("cell", "value")
-
-
-# reconstruct_prior and removed_cells take remainders of ids for retained cells, as their SQL does; the
-# queries named _by_coverage take the cells that coverage over all of lineitem retains.
 _RETAINED = f"""{COO}, n as (select count(distinct obs) as n from coo), c as (select cell, sum(abs(v)) / max(n) as cv from coo, n group by 1),
   kept as (select cell from c where cv >= (select quantile_cont(cv, 0.1) from c))"""
 
@@ -541,7 +515,7 @@ def _retained(spark, sf_dir):
 @query(f"""with {_RETAINED}, p as (select p_partkey as cell, p_retailprice as v from part),
   q as (select l_partkey as cell, round(avg(l_extendedprice), 6) as v from lineitem where l_partkey % 90 in (select cell from kept) group by 1)
   select p.cell, coalesce(q.v, p.v) as value from p left join q using (cell)""")
-def reconstruct_prior_by_coverage(spark, sf_dir):
+def reconstruct_prior(spark, sf_dir):
     prior = read(spark, sf_dir, "part").selectExpr("p_partkey as cell", "p_retailprice as value")
     rows = read(spark, sf_dir, "lineitem").withColumn("cell", F.col("l_partkey") % 90).join(_retained(spark, sf_dir), "cell", "left_semi")
     post = rows.groupBy(F.col("l_partkey").alias("cell")).agg(F.round(F.avg("l_extendedprice"), 6).alias("value"))
@@ -664,15 +638,8 @@ def cell_time_mean(spark, sf_dir):
     return report.time_mean(rows).select("lon", "lat", r6("value"))
 
 
-@query("""select distinct p_partkey % 90 as cell from part where p_partkey % 90 not in (select l_partkey % 90 from lineitem where l_quantity > 49 and l_orderkey % 40 = 0)""")
-def removed_cells(spark, sf_dir):
-    full = read(spark, sf_dir, "part").selectExpr("p_partkey % 90 as cell")
-    kept = read(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_orderkey % 40 = 0").selectExpr("l_partkey % 90 as cell")
-    return report.removed_cells(full, kept, ["cell"])
-
-
 @query(f"with {_RETAINED} select distinct p_partkey % 90 as cell from part where p_partkey % 90 not in (select cell from kept)")
-def removed_cells_by_coverage(spark, sf_dir):
+def removed_cells(spark, sf_dir):
     full = read(spark, sf_dir, "part").selectExpr("p_partkey % 90 as cell")
     return report.removed_cells(full, _retained(spark, sf_dir), ["cell"])
 
