@@ -145,6 +145,10 @@ def domain_total(fluxes: DataFrame, dlon: float, dlat: float, unit: float = 1.0)
     return fluxes.groupBy("time").agg(F.sum(amount).alias("total"))
 
 
-def numbered(df: DataFrame, order: list[str], every: int) -> DataFrame:
-    """Every n-th row in the given order (for wind barbs of one track)."""
-    return df.withColumn("__n", F.row_number().over(Window.orderBy(*order))).where(f"__n % {every} = 1 or {every} = 1").drop("__n")
+def numbered(df: DataFrame, keys: list[str], order: list[str], every: int) -> DataFrame:
+    """Every n-th row of each track (``keys``) in the given order, for wind barbs.
+
+    The rows of one track meet in a task: take a day with the platform as a key, as figures do."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__n", number).where((F.col("__n") - 1) % every == 0).drop("__n")
+

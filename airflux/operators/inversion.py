@@ -473,3 +473,24 @@ STEP_SECONDS = {"YS": 31_557_600, "QS": 7_889_400, "MS": 2_629_800, "2W": 1_209_
 
 def inventory_seconds(freq: str) -> int:
     return STEP_SECONDS[freq]
+
+
+def resample(fluxes: DataFrame, keys: list[str], have: str, want: str) -> DataFrame:
+    """Means of (time, keys, value) over longer steps; a step that is not longer leaves the table as it is."""
+    if inventory_seconds(want) <= inventory_seconds(have):
+        return fluxes
+    unit = {"YS": "YEAR", "QS": "QUARTER", "MS": "MONTH"}[want]
+    start = F.date_trunc(unit, "time").cast("timestamp_ntz").alias("time")
+    return fluxes.groupBy(start, *keys).agg(F.avg("value").alias("value"))
+
+
+#: Powers of ten from g/m2/s to a unit of mass.
+MASS = {"g": 0, "kg": -3, "Mg": -6, "Gg": -9, "Tg": -12}
+
+
+def in_units(fluxes: DataFrame, have: str, want: str) -> DataFrame:
+    """Values of mass per area and time in another unit of mass; area and time must agree ("Gg/m2/s")."""
+    (a, _, rest), (b, _, other) = have.partition("/"), want.partition("/")
+    if rest != other or a not in MASS or b not in MASS:
+        raise ValueError(f"cannot turn {have!r} into {want!r}")
+    return fluxes.withColumn("value", F.col("value") * F.lit(10.0 ** (MASS[b] - MASS[a])))

@@ -41,6 +41,24 @@ def route_points(routes: dict[str, Line], spacing: float = 2000.0) -> list[tuple
     return [(x, y, "".join(n)) for (x, y), n in names.items()]
 
 
+def shapes_of(given: dict[str, Line] | Line | None | bool, default):
+    """Routes or a polygon as given; None: the default; False: none.  True raises ValueError."""
+    if given is True:
+        raise ValueError("give the shapes, None for the default ones or False for none")
+    return None if given is False else default if given is None else given
+
+
+#: Routes and storage yards of platforms by the beginning of their site's name, where a caller has set some.
+DEFAULTS: dict[str, dict] = {"trx": {"routes": None, "storage": None, "buffer_m": 50.0}}
+
+
+def with_defaults(site: str, routes=None, storage=None) -> dict:
+    """Arguments of ``merge_with_gps`` for a site: its platform's defaults where None is given, none where False is."""
+    own = next((d for prefix, d in DEFAULTS.items() if site.startswith(prefix)), {})
+    out = {"routes": shapes_of(routes, own.get("routes")), "storage": shapes_of(storage, own.get("storage"))}
+    return out | {"buffer_m": own.get("buffer_m", 50.0)}
+
+
 def merge_with_gps(
     obs: DataFrame,
     gps: DataFrame,

@@ -40,3 +40,8 @@ def sensitivity(results: DataFrame, params: list[str], metric: str) -> DataFrame
 
 def heatmap(results: DataFrame, x: str, y: str, metric: str, values: list) -> DataFrame:
     return results.groupBy(y).pivot(x, values).agg(F.avg(metric))
+
+
+def best_row(results: DataFrame) -> DataFrame:
+    """The row whose chi2_distance is least: one row, or none."""
+    return results.orderBy(F.asc_nulls_last("chi2_distance"), "config_id").limit(1)

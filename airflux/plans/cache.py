@@ -21,7 +21,7 @@ DEPENDS["modeldata_mismatch"] = [*DEPENDS["obs"], "mdm_config", "min_obs_per_int
 DEPENDS["constant"] = [*DEPENDS["obs"], "background", "background_kwargs"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
     """The table was written to its end (the commit marker is there)."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -42,7 +42,7 @@ def cached(component: str, version: str = "1"):
                 return f(spark, config, *args)
             path = f"{config.cache}/{version}/{component}/{component_hash(config, DEPENDS[component])}"
             again = component in config.cache_overwrite or "all" in config.cache_overwrite
-            if again or not _exists(spark, path):
+            if again or not table_exists(spark, path):
                 f(spark, config, *args).write.mode("overwrite").parquet(path)
             return spark.read.parquet(path)
 

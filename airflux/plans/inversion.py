@@ -17,13 +17,17 @@ from .config import InversionConfig
 
 @dataclass
 class Inputs:
-    """obs, constant: (obs_location, obs_time, value); prior: (time, lon, lat, value); jacobian: their product's entries."""
+    """obs, constant: (obs_location, obs_time, value); prior: (time, lon, lat, value); jacobian: their product's entries.
+
+    bias: (time, grp, value) states with a deviation each of ``bias_std``; bias_jacobian: their entries."""
 
     obs: DataFrame
     prior: DataFrame
     jacobian: DataFrame
     constant: DataFrame
     obs_cov: Callable[[DataFrame], DataFrame]
+    bias: DataFrame | None = None
+    bias_jacobian: DataFrame | None = None
 
 
 @dataclass
@@ -31,6 +35,7 @@ class Result:
     posterior: DataFrame
     full_posterior: DataFrame
     metrics: dict[str, float]
+    bias: DataFrame | None = None
     seconds: dict[str, float] = field(default_factory=dict)
 
 
@@ -72,20 +77,38 @@ def run(inputs: Inputs, config: InversionConfig) -> Result:
         if max(len(rows), len(states)) >= limit:
             raise ValueError(f"over {inv.MOST_DENSE} observations or states")
         i = {(r["obs_location"], r["obs_time"]): k for k, r in enumerate(rows)}
+        biases = [] if inputs.bias is None else inputs.bias.select("time", "grp", "value").orderBy("time", "grp").limit(limit).collect()
+        if len(states) + len(biases) >= limit:
+            raise ValueError(f"over {inv.MOST_DENSE} states")
         j = {(r["time"], r["lon"], r["lat"]): k for k, r in enumerate(states)}
+        b = {(r["time"], r["grp"]): len(states) + k for k, r in enumerate(biases)}
+        states = [*states, *biases]
         h, cov = np.zeros((len(rows), len(states))), np.zeros((len(rows), len(rows)))
         keep = jac.join(z.select(*inv.OBS), inv.OBS, "left_semi").join(prior.select(*inv.STATE), inv.STATE, "left_semi")
         for r in keep.toLocalIterator():
             h[i[(r["obs_location"], r["obs_time"])], j[(r["time"], r["lon"], r["lat"])]] += r["value"]
+        if biases:
+            for r in inputs.bias_jacobian.join(z.select(*inv.OBS), inv.OBS, "left_semi").toLocalIterator():
+                h[i[(r["obs_location"], r["obs_time"])], b[(r["time"], r["grp"])]] += r["value"]
         for r in inputs.obs_cov(z).toLocalIterator():
             cov[i[(r["obs_location"], r["time_i"])], i[(r["obs_location"], r["time_j"])]] += r["value"]
-        return rows, states, h, cov
-
-    rows, states, h, cov = timed("gather", gather)
-    s0 = np.array([r["value"] for r in states])
-    out = timed("solve", lambda: inv.solve_dense(h, np.array([r["value"] for r in rows]), s0, prior_covariance(states, config), cov, config.gamma))
+        return rows, states, len(biases), h, cov
+
+    rows, states, n_bias, h, cov = timed("gather", gather)
+    n_flux = len(states) - n_bias
+    s0, before = np.array([r["value"] for r in states]), np.zeros((len(states), len(states)))
+    before[:n_flux, :n_flux] = prior_covariance(states[:n_flux], config)
+    if n_bias:
+        if not config.bias_std:
+            raise ValueError("bias states need bias_std")
+        before[n_flux:, n_flux:] = np.eye(n_bias) * config.bias_std**2
+    out = timed("solve", lambda: inv.solve_dense(h, np.array([r["value"] for r in rows]), s0, before, cov, config.gamma))
     spark = inputs.obs.sparkSession
-    table = [(r["time"], r["lon"], r["lat"], float(v)) for r, v in zip(states, out["posterior"])]
+    table = [(r["time"], r["lon"], r["lat"], float(v)) for r, v in zip(states[:n_flux], out["posterior"])]
     posterior = spark.createDataFrame(table, "time timestamp_ntz, lon double, lat double, value double")
     metrics = {k: out[k] for k in ("reduced_chi2", "R2", "RMSE", "DOFS", "uncertainty_reduction")}
-    return Result(posterior, inv.reconstruct(inputs.prior, posterior), metrics, seconds)
+    bias = None
+    if n_bias:
+        found = [(r["time"], r["grp"], float(v)) for r, v in zip(states[n_flux:], out["posterior"][n_flux:])]
+        bias = spark.createDataFrame(found, "time timestamp_ntz, grp string, value double")
+    return Result(posterior, inv.reconstruct(inputs.prior, posterior), metrics, bias, seconds)

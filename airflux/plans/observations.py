@@ -50,7 +50,8 @@ def observation_vector(
     hourly = aggregate_obs(
         rows, freq="1h", mobile_points=points, stationary_min_percent=min_percent, mobile_min_count=mobile_count, expected=expected, place=place
     )
-    return hourly.select(qa.obs_location().alias("obs_location"), F.col("Time_UTC").alias("obs_time"), "CH4")
+    place_name = qa.obs_location() if "is_mobile" in hourly.columns else F.col("site")
+    return hourly.select(place_name.alias("obs_location"), F.col("Time_UTC").alias("obs_time"), "CH4")
 
 
 def background(kind: str, obs: DataFrame, daily: DataFrame | None = None, **kwargs) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import itertools
 import json
+import os
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -68,10 +69,8 @@ def run(
     if jobs == 0:
         return spark.createDataFrame([], ROW)
     rows = f"{path}/rows"
-    try:
-        done = {r[0] for r in spark.read.parquet(rows).select("config_id").collect()}
-    except Exception:
-        done = set()
+    there = has_files(spark, rows)  # a path that is there but cannot be read raises
+    done = {r[0] for r in spark.read.schema(ROW).parquet(rows).select("config_id").collect()} if there else set()
     pending = [c for c in configs if config_id(c) not in done and (only is None or config_id(c) in only)]
 
     # Solves run side by side; the rows are appended by one thread, so that writers never meet.
@@ -81,6 +80,30 @@ def run(
     return results(spark, path)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """The folder exists and holds a file of rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(f.getPath().getName().startswith("part-") for f in fs.listStatus(at))
+
+
+def run_index(spark: SparkSession, path: str, solve: Callable[[InversionConfig], dict[str, float]], index: int | None = None) -> DataFrame:
+    """Run the configuration of one index of a stored grid, for arrays of jobs; what is done already is left.
+
+    Without ``index`` it is $AIRFLUX_TASK.  No grid: FileNotFoundError; an index out of range: IndexError.
+    """
+    index = int(os.environ["AIRFLUX_TASK"]) if index is None else index
+    if not has_files(spark, f"{path}/grid"):
+        raise FileNotFoundError(f"no grid under {path}; run with jobs=0 first")
+    row = spark.read.schema("index int, config_id string, config string").json(f"{path}/grid").where(F.col("index") == index).first()
+    if row is None:
+        raise IndexError(f"the grid has no index {index}")
+    rows = f"{path}/rows"
+    if not has_files(spark, rows) or spark.read.schema(ROW).parquet(rows).where(F.col("config_id") == row["config_id"]).isEmpty():
+        spark.createDataFrame([run_one(from_row(row), solve)], ROW).coalesce(1).write.mode("append").parquet(rows)
+    return results(spark, path)
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Result rows with their reduced chi2 and its distance from 1."""
     table = spark.read.schema(ROW).parquet(f"{path}/rows")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import geo, timeutil
 from .operators import aggregate, inversion, joins, mobile, qa, report, results, windows
+from .plans import forward
 from .plans import observations as plan
+from .plans.concentrations import load_concentrations
 from .plans.config import InversionConfig, config_id
 from .plans.inversion import enough
 from .scratch import written
@@ -173,12 +175,17 @@ def event_exclusion(spark, sf_dir):
     return joins.exclude_events(read(spark, sf_dir, "events"), EVENTS, "ts").select("event_id", "event_type")
 
 
-@query(f"""with {OBS} select event_id, strftime("Time_UTC", '%Y%m%d%H%M') || '_' || site || '_' || instrument as sim_id,
-  case when is_mobile then 'mobile' else site end as obs_location from obs""")
+@query(f"""with {OBS} select event_id, strftime("Time_UTC", '%Y%m%d%H%M') as minute, case when is_mobile then printf('%.2f', longitude) || '_' || printf('%.2f', latitude) || '_' || height::int else site end as obs_location from obs""")
 def sim_id(spark, sf_dir):
-    key = F.concat_ws("_", F.date_format("Time_UTC", "yyyyMMddHHmm"), "site", "instrument")
-    place = F.when(F.col("is_mobile"), F.lit("mobile")).otherwise(F.col("site"))
-    return obs(spark, sf_dir).select("event_id", key.alias("sim_id"), place.alias("obs_location"))
+    """Location keys, and the first part of the receptors' simulation ids."""
+    rows = obs(spark, sf_dir)
+    place = qa.obs_location()
+    ids = writers.receptors(rows.withColumn("site", F.col("event_id").cast("string"))).select(F.col("site").cast("long").alias("event_id"), F.split("sim_id", "_")[0].alias("minute"))
+    two = lambda k: F.format_string("%.2f", F.split("p", "_")[k].cast("double"))
+    named = rows.withColumn("p", place).select(
+        "event_id", F.when(F.col("is_mobile"), F.concat_ws("_", two(0), two(1), F.split("p", "_")[2])).otherwise(F.col("p")).alias("obs_location")
+    )
+    return named.join(ids, "event_id")
 
 
 @query(f"""with {OBS} select site, round(latitude, 5) as lati, round(longitude, 5) as long, height as zagl, "Time_UTC" as time from obs""")
@@ -347,14 +354,21 @@ def flux_bins(spark, sf_dir):
     return _bins(spark)
 
 
+def _order_bins(spark, sf_dir):
+    """Months from the first to the last order."""
+    span = read(spark, sf_dir, "orders").agg(F.date_trunc("MONTH", F.min("o_orderdate")), F.add_months(F.date_trunc("MONTH", F.max("o_orderdate")), 1)).first()
+    return timeutil.flux_bins(spark, str(span[0]), str(span[1]), "MS")
+
+
 def _bias(spark, sf_dir, grouping):
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderpriority as obs_location", "o_orderdate as obs_time")
     orgs = {"1-URGENT": "UATAQ", "2-HIGH": "UATAQ", "3-MEDIUM": "DAQ"}
-    jac = inversion.bias_jacobian(rows, _bins(spark), grouping, orgs)
+    jac = inversion.bias_jacobian(rows, _order_bins(spark, sf_dir), grouping, orgs)
     return jac.groupBy("time", *["grp"] * (grouping is not None)).agg(F.sum("value").alias("total"), F.count_distinct("obs_location").alias("places"))
 
 
-_BIAS = f"with {_BINS_SQL}, j as (select o_orderpriority as loc, o_orderdate as t, b.bin_start as time from orders join bins b on b.bin_start <= o_orderdate and o_orderdate < b.bin_start + interval 1 month)"
+_ORDER_BINS = """bins as (select unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month))::timestamp as bin_start from orders)"""
+_BIAS = f"with {_ORDER_BINS}, j as (select o_orderpriority as loc, o_orderdate as t, b.bin_start as time from orders join bins b on b.bin_start <= o_orderdate and o_orderdate < b.bin_start + interval 1 month)"
 
 
 @query(f"{_BIAS} select time, count(*)::double as total, count(distinct loc) as places from j group by 1")
@@ -464,8 +478,9 @@ def domain_total(spark, sf_dir):
 
 @query("""select date_trunc('month', o_orderdate)::timestamp as month, o_orderpriority, round(avg(o_totalprice), 6) as mean from orders group by 1, 2""")
 def resample_month(spark, sf_dir):
-    m = timeutil.floor_period(F.col("o_orderdate"), "M").alias("month")
-    return read(spark, sf_dir, "orders").groupBy(m, "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 6).alias("mean"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("time"), "o_orderpriority", F.col("o_totalprice").alias("value"))
+    out = inversion.resample(rows, ["o_orderpriority"], "D", "MS")
+    return out.select(F.col("time").alias("month"), "o_orderpriority", r6("value", "mean"))
 
 
 @query("""with y as (select o_orderpriority as p, year(o_orderdate) + (dayofyear(o_orderdate) - 1) / (case when dayofyear(make_date(year(o_orderdate), 12, 31)) = 366 then 366 else 365 end) as x, o_totalprice as y from orders)
@@ -525,9 +540,9 @@ def reconstruct_prior(spark, sf_dir):
 @query(f"""with {COO} select (obs % 1000) as row_bin, cell, round(sum(v) / max(n), 6) as value from coo join (select obs % 1000 as b, count(distinct obs) as n from coo group by 1) k on k.b = obs % 1000 group by 1, 2""")
 def obs_space_mean(spark, sf_dir):
     jac = coo(spark, sf_dir).withColumn("row_bin", F.col("obs") % 1000)
-    n = jac.groupBy("row_bin").agg(F.count_distinct("obs").alias("n"))
-    out = jac.groupBy("row_bin", "cell").agg(F.sum("value").alias("s")).join(n, "row_bin")
-    return out.select("row_bin", "cell", F.round(F.col("s") / F.col("n"), 6).alias("value"))
+    n = jac.groupBy("row_bin").agg(F.count_distinct("obs").alias("__n"))
+    rows = jac.join(n, "row_bin").withColumn("obs_time", F.lit("2024-01-01").cast("timestamp_ntz"))
+    return inversion.aggregate_space(rows, ["row_bin"], "DAY", ["cell"]).select("row_bin", "cell", r6("value"))
 
 
 @query()
@@ -571,11 +586,14 @@ def best_configs(spark, sf_dir):
     return results.best(results.with_distance(_results(spark, sf_dir))).select("config_id", r6("chi2_distance"))
 
 
-@query("""select c_nationkey as cfg_nation, round(avg(case when c_mktsegment = 'BUILDING' then c_acctbal end), 6) as building,
-  round(avg(case when c_mktsegment = 'MACHINERY' then c_acctbal end), 6) as machinery from customer group by 1""")
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_SEGMENT_SQL = ", ".join(f"round(avg(case when c_mktsegment = '{x}' then c_acctbal end), 6) as {x.lower()}" for x in _SEGMENTS)
+
+
+@query(f"select c_nationkey as cfg_nation, {_SEGMENT_SQL} from customer group by 1")
 def heatmap(spark, sf_dir):
-    out = results.heatmap(_results(spark, sf_dir), "cfg_segment", "cfg_nation", "metric", ["BUILDING", "MACHINERY"])
-    return out.select("cfg_nation", r6("BUILDING", "building"), r6("MACHINERY", "machinery"))
+    out = results.heatmap(_results(spark, sf_dir), "cfg_segment", "cfg_nation", "metric", _SEGMENTS)
+    return out.select("cfg_nation", *(r6(x, x.lower()) for x in _SEGMENTS))
 
 
 @query("""select event_type as site, date_trunc('hour', ts)::timestamp as hour, round(avg(value), 6) as mean, count(value) as n from events group by 1, 2""")
@@ -587,12 +605,32 @@ def hourly_stream(spark, sf_dir):
 # --- registries and geometry ---------------------------------------------------------------------
 
 
-@query()
+def _values(rows: list[tuple], columns: str) -> str:
+    def text(v):
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return str(v).lower()
+        return f"'{v}'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v)
+
+    return f"(values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) as t({columns})"
+
+
+_SITE_VALUES = _values(registry.SITES, "stid, name, organization, type, active, latitude, longitude, height_agl, instruments")
+
+
+@query(f"select * exclude (instruments), array_to_string(string_split(instruments, ' '), '+') as instruments from {_SITE_VALUES}")
 def site_table(spark, sf_dir):
-    return registry.sites(spark)
+    return registry.sites(spark).withColumn("instruments", F.array_join("instruments", "+"))
 
 
-@query()
+_COLUMN_VALUES = _values(
+    [(name, "calibrated" if cal else "qaqc", pol, col) for name, _, _, _, cal, cols in registry.INSTRUMENTS for pol, col in cols.items()],
+    'instrument, "level", pollutant, "column"',
+)
+
+
+@query(f"select * from {_COLUMN_VALUES}")
 def instrument_table(spark, sf_dir):
     return registry.instrument_columns(spark)
 
@@ -623,10 +661,23 @@ def wind_vectors(spark, sf_dir):
     return obs(spark, sf_dir).select("event_id", (F.round(u, 6) + F.lit(0.0)).alias("u"), (F.round(v, 6) + F.lit(0.0)).alias("v"))
 
 
-@query()
+# The projection in SQL: Krueger's series to the sixth power of the third flattening would be long; the
+# fourth is below a tenth of a millimetre here.
+_UTM = f"""with {OBS}, c as (select 6378137.0::double as a, 1 / 298.257223563::double as f, 0.9996::double as k0, radians(-111.0) as lon0),
+  n as (select *, f / (2 - f) as n from c),
+  k as (select *, a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) as r, sqrt(f * (2 - f)) as e,
+    n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 as a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 as a2,
+    61 * n ** 3 / 240 - 103 * n ** 4 / 140 as a3, 49561 * n ** 4 / 161280 as a4 from n),
+  t as (select event_id, k.*, sinh(atanh(sin(radians(latitude))) - e * atanh(e * sin(radians(latitude)))) as t, radians(longitude) - lon0 as dl from obs, k),
+  x as (select *, atan2(t, cos(dl)) as xi, atanh(sin(dl) / sqrt(1 + t * t)) as eta from t)
+  select event_id, round(500000 + k0 * r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 2) as easting,
+    round(k0 * r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 2) as northing from x"""
+
+
+@query(_UTM)
 def utm_positions(spark, sf_dir):
     e, n = geo.utm(F.col("latitude"), F.col("longitude"))
-    return obs(spark, sf_dir).select("event_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+    return obs(spark, sf_dir).select("event_id", F.round(e, 2).alias("easting"), F.round(n, 2).alias("northing"))
 
 
 # --- tables behind figures -------------------------------------------------------------------------
@@ -684,3 +735,218 @@ def enough_per_interval(spark, sf_dir):
 def rolling_background(spark, sf_dir):
     hourly_ = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("site"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).agg(F.avg("value").alias("CH4"))
     return plan.background("rolling", hourly_, window="1d", min_periods=6).select("obs_time", r6("background"))
+
+
+# --- concentrations, point sources, forward operator -----------------------------------------------
+
+_PLACES = ["wbb", "hw", "bv", "zz", "hdp"]
+_ARCHIVE_SQL = f"""arch as (select ts, ['{"', '".join(_PLACES)}'][user_id % 5 + 1] as site, value as v, event_id % 4 - 1 as flag,
+  case when event_id % 10 = 0 then -9 else -10 end as id from events)"""
+
+
+def _archive(spark, sf_dir):
+    """Events as an archive of raw readings at five sites."""
+    site = F.get(F.array(*map(F.lit, _PLACES)), (F.col("user_id") % 5).cast("int"))
+    rows = read(spark, sf_dir, "events").withColumn("site", site)
+    daq = F.col("site").isin("hw", "bv", "zz")
+    return rows.select(
+        "site",
+        F.when(daq, "picarro_g2307").otherwise("lgr_ugga").alias("instrument"),
+        F.lit("calibrated").alias("lvl"),
+        F.col("ts").alias("Time_UTC"),
+        F.when(F.col("event_id") % 10 == 0, -9).otherwise(-10).alias("ID_CH4"),
+        (F.col("event_id") % 4 - 1).alias("QAQC_Flag"),
+        F.col("value").alias("CH4d_ppm_cal"),
+        F.when(~daq, F.col("value") * 100).alias("CO2d_ppm_cal"),
+    )
+
+
+@query(f"""with {_ARCHIVE_SQL}, s as (select * from {_SITE_VALUES}),
+  ok as (select arch.*, case when id = -10 and flag in (-140, -64, 0, 1, 2) and v between 1.7 and 300 then v end as ch4,
+    case when site in ('wbb', 'hdp') and flag in (-140, -64, 0, 1, 2) and v * 100 between 350 and 5000 then v * 100 end as co2 from arch)
+  select ts as "Time_UTC", ts - interval 7 hour as "Time_MST", site, organization as org, case when site in ('wbb', 'hdp') then 'lgr_ugga' else 'picarro_g2307' end as instrument,
+    ch4 as "CH4", co2 as "CO2", latitude, longitude, height_agl as height
+  from ok join s on s.stid = ok.site where (ch4 is not null or co2 is not null) and hour(ts - interval 7 hour) between 8 and 19""")
+def concentrations(spark, sf_dir):
+    return load_concentrations(
+        _archive(spark, sf_dir), ["CH4", "CO2"], sites=[x.upper() for x in _PLACES], include_location=True, hours=list(range(8, 20))
+    )
+
+
+_POINT_VALUES = _values(registry.POINT_SOURCES, "category, name, longitude, latitude")
+
+
+@query(f"select category, name, longitude, latitude from {_POINT_VALUES}")
+def point_sources(spark, sf_dir):
+    return registry.point_sources(spark)
+
+
+@query(f"""with p as (select * from {_POINT_VALUES} where category = 'landfill'), {OBS}
+  select name, count(*) as n, round(avg("CH4"), 6) as ch4 from obs join p on abs(obs.latitude - p.latitude) <= 0.05 and abs(obs.longitude - p.longitude) <= 0.05 group by 1""")
+def near_landfills(spark, sf_dir):
+    """Readings within a twentieth of a degree of each landfill: a bounded list, so an expression, not a join."""
+    fills = [r for r in registry.POINT_SOURCES if r[0] == "landfill"]
+    near = F.array_compact(
+        F.array(*(F.when((F.abs(F.col("latitude") - y) <= 0.05) & (F.abs(F.col("longitude") - x) <= 0.05), F.lit(n)) for _, n, x, y in fills))
+    )
+    return obs(spark, sf_dir).select(F.explode(near).alias("name"), "CH4").groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("CH4"), 6).alias("ch4"))
+
+
+_FOOT_SQL = """foot as (select 'loc' || (l_suppkey % 4) as lid, o_orderdate as t, l_shipdate as ft,
+  -112.2 + (l_partkey % 45) * 0.01 + 0.003 as x, 40.45 + (l_suppkey % 48) * 0.01 + 0.003 as y, l_quantity / 1000 as v,
+  case when l_linenumber = 1 then 'coarse' else 'fine' end as fp from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+def _footprints(spark, sf_dir):
+    """Line items as footprint values of simulations at four locations."""
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(
+        F.concat(F.lit("loc"), (F.col("l_suppkey") % 4).cast("string")).alias("location_id"),
+        (F.col("o_orderdate") + F.make_dt_interval(hours=F.pmod("l_orderkey", F.lit(24)).cast("int"))).alias("run_time"),
+        F.col("l_shipdate").alias("foot_time"),
+        (F.lit(-112.2) + (F.col("l_partkey") % 45) * 0.01 + 0.003).alias("lon"),
+        (F.lit(40.45) + (F.col("l_suppkey") % 48) * 0.01 + 0.003).alias("lat"),
+        (F.col("l_quantity") / 1000).alias("foot"),
+        F.when(F.col("l_linenumber") == 1, "coarse").otherwise("fine").alias("footprint"),
+    )
+
+
+@query(f"""with {_FOOT_SQL.replace("o_orderdate as t", "o_orderdate + to_hours((l_orderkey % 24)::int) as t")}
+  select case lid when 'loc1' then 'wbb' when 'loc2' then 'hw' else lid end as obs_location, t::timestamp as obs_time, date_trunc('month', ft)::timestamp as time,
+    round(-112.2 + (floor((x + 112.2) / 0.05 + 1e-9) + 0.5) * 0.05, 9) as lon, round(40.45 + (floor((y - 40.45) / 0.05 + 1e-9) + 0.5) * 0.05, 9) as lat, round(sum(v), 9) as value
+  from foot where fp = 'fine' and lid in ('loc0', 'loc1', 'loc2') and hour(t) in (19, 20, 21, 22, 23) group by 1, 2, 3, 4, 5""")
+def footprint_jacobian(spark, sf_dir):
+    """Finest footprints of the simulations that observations need, at the receptors' hours, on grid and flux bins."""
+    config = InversionConfig(location_site_map={"loc1": "wbb", "loc2": "hw"})
+    foot = forward.relevant(
+        _footprints(spark, sf_dir), ["wbb", "hw", "loc0"], config.location_site_map, config.subset_hours_utc, forward.finest({"coarse": 0.1, "fine": 0.01})
+    )
+    out = inversion.footprint_jacobian(foot, config.dx, config.dy, config.xmin, config.ymin)
+    return out.withColumn("value", F.round("value", 9))
+
+
+@query(f"""with {COO}, o as (select coo.obs as obs, cell, v, 'p' || (obs % 5) as loc, o_orderdate as t from coo join orders on o_orderkey = obs),
+  n as (select loc, date_trunc('month', t)::timestamp as m, count(distinct obs) as n from o group by 1, 2)
+  select o.loc as obs_location, m as obs_time, cell, round(sum(v) / max(n), 9) as value from o join n on n.loc = o.loc and n.m = date_trunc('month', o.t) group by 1, 2, 3""")
+def operator_by_month(spark, sf_dir):
+    """Operator rows averaged over the observations of a place and month; absent entries count as 0."""
+    when = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs"), F.col("o_orderdate").alias("obs_time"))
+    rows = coo(spark, sf_dir).join(when, "obs").withColumn("obs_location", F.concat(F.lit("p"), (F.col("obs") % 5).cast("string")))
+    month = F.date_trunc("MONTH", "obs_time")
+    n = rows.groupBy("obs_location", month.alias("m")).agg(F.count_distinct("obs").alias("__n"))
+    rows = rows.withColumn("m", month).join(n, ["obs_location", "m"]).drop("m")
+    out = inversion.aggregate_space(rows, inversion.OBS, "MONTH", ["cell"])
+    return out.select(*inversion.OBS, "cell", F.round("value", 9).alias("value"))
+
+
+_MDM_SITES = {"bv": "DAQ", "ed": "DAQ", "hw": "DAQ", "rb": "DAQ", "wbb": "UATAQ"}
+_MDM_OBS = f"""o as (select distinct ['{"', '".join(_MDM_SITES)}'][user_id % 5 + 1] as loc, date_trunc('hour', ts)::timestamp as t from events),
+  q as (select *, case loc when 'wbb' then 0.0033 else 0.0099 end as instr, case when month(t) in (12, 1, 2) then 1 when month(t) in (6, 7, 8) then 2 when month(t) in (3, 4, 5) then 3 else 4 end as k from o)"""
+_WIND = "case loc " + " ".join(
+    f"when '{s}' then [{', '.join(str(inversion.MDM['transport_wind']['std'][s][k]) for k in ('DJF', 'JJA', 'MAM', 'SON'))}][k]" for s in _MDM_SITES
+) + " end"
+
+
+@query(f"""with {_MDM_OBS}, w as (select loc, t, instr, ({_WIND})::double as wind from q),
+  p as (select a.loc, a.t as ti, b.t as tj, a.t = b.t as own, a.t::date = b.t::date as day, a.instr as instr, a.wind * b.wind as wind, abs(epoch_us(a.t) - epoch_us(b.t)) / 3600e6 as h
+    from w a join w b on a.loc = b.loc)
+  select loc as obs_location, date_trunc('day', ti)::timestamp as day, count(*) as n, round(sum(case when own then 0.000765 ** 2 + instr ** 2 else 0 end + case when day then 0.0257 ** 2 else 0 end
+    + 0.011 ** 2 * exp(-h / 168) + case when day then (wind + 0.00771 ** 2) * exp(-h / 2.8) else 0 end), 9) as total from p group by 1, 2""")
+def mdm_matrix(spark, sf_dir):
+    """All six components of the model-data mismatch over every hour of events, summed by location and day of the row."""
+    place = F.get(F.array(*map(F.lit, _MDM_SITES)), (F.col("user_id") % 5).cast("int"))
+    rows = read(spark, sf_dir, "events").select(place.alias("obs_location"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).distinct()
+    entries = inversion.mdm_matrix(rows, inversion.mdm_components({}), _MDM_SITES)
+    return entries.groupBy("obs_location", F.date_trunc("DAY", "time_i").cast("timestamp_ntz").alias("day")).agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 9).alias("total")
+    )
+
+
+_FIELD_SQL = """inv as (select date_trunc('quarter', l_shipdate)::timestamp as time, -112.15 + (l_partkey % 8) * 0.1 as lon, 40.5 + (l_suppkey % 6) * 0.1 as lat, 's' || (l_linenumber % 3) as sector,
+  sum(l_quantity) as value from lineitem group by 1, 2, 3, 4)"""
+
+
+def _inventory(spark, sf_dir):
+    """Line items as an inventory by quarter, cell and sector."""
+    return (
+        read(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.date_trunc("QUARTER", "l_shipdate").cast("timestamp_ntz").alias("time"),
+            (F.lit(-112.15) + (F.col("l_partkey") % 8) * 0.1).alias("lon"),
+            (F.lit(40.5) + (F.col("l_suppkey") % 6) * 0.1).alias("lat"),
+            F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("sector"),
+        )
+        .agg(F.sum("l_quantity").alias("value"))
+    )
+
+
+@query(f"""with {_FIELD_SQL}, s as (select time, lon, lat, sum(value) as v from inv group by 1, 2, 3),
+  g as (select *, -112.2 + i * 0.15 as x0, 40.45 + j * 0.15 as y0 from s, range(7) a(i), range(6) b(j)),
+  w as (select *, greatest(0, least(lon + 0.05, x0 + 0.15) - greatest(lon - 0.05, x0)) as dx,
+    greatest(0, sin(radians(least(lat + 0.05, y0 + 0.15))) - sin(radians(greatest(lat - 0.05, y0)))) as dy from g)
+  select time, round(x0 + 0.075, 9) as lon, round(y0 + 0.075, 9) as lat, round(sum(v * dx * dy / (0.15 * (sin(radians(y0 + 0.15)) - sin(radians(y0))))), 6) as value
+  from w where dx > 1e-7 and dy > 1e-9 group by 1, 2, 3""")
+def regrid(spark, sf_dir):
+    """Sectors summed and regridded, mass kept."""
+    out = inversion.regrid(inversion.sector_sum(_inventory(spark, sf_dir)), (0.1, 0.1), (0.15, 0.15), (-112.2, 40.45))
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {_FIELD_SQL}, s as (select time, lon, lat, sum(value) as v from inv group by 1, 2, 3), {_BINS_SQL},
+  q as (select distinct time from s), n as (select bin_start, arg_min(time, abs(epoch_us(time) - epoch_us(bin_start)) * 2 + case when time > bin_start then 1 else 0 end) as time from bins, q group by 1)
+  select bin_start as time, round(lon, 6) as lon, round(lat, 6) as lat, v as value from s join n using (time)""")
+def nearest_time(spark, sf_dir):
+    times = _bins(spark).select(F.col("bin_start").alias("time"))
+    out = inversion.nearest_time(inversion.sector_sum(_inventory(spark, sf_dir)), times, inversion.CELL)
+    return out.select("time", r6("lon"), r6("lat"), "value")
+
+
+@query(f"""with y as (select date_trunc('year', o_orderdate)::timestamp as t, o_orderpriority as sector, sum(o_totalprice) as value from orders group by 1, 2), {_BINS_SQL}
+  select bin_start as time, sector, round(value, 2) as value from bins asof join y on bin_start >= t cross join (select 1)""".replace(" cross join (select 1)", "").replace(
+    "bins asof join y on bin_start >= t", "(select bin_start, sector from bins, (select distinct sector from y)) b asof join y on b.sector = y.sector and b.bin_start >= y.t"
+).replace("bin_start as time, sector,", "b.bin_start as time, b.sector,"))
+def filled_forward(spark, sf_dir):
+    year = F.date_trunc("YEAR", "o_orderdate").cast("timestamp_ntz").alias("time")
+    annual = read(spark, sf_dir, "orders").groupBy(year, F.col("o_orderpriority").alias("sector")).agg(F.sum("o_totalprice").alias("value"))
+    out = inversion.filled_forward(annual, _bins(spark).select(F.col("bin_start").alias("time")), ["sector"])
+    return out.select("time", "sector", F.round("value", 2).alias("value"))
+
+
+@query(f"""with {_BINS_SQL} select bin_start as time, grp, 0.0::double as value from bins, (values ('UATAQ'), ('DAQ'), ('unknown')) g(grp)""")
+def bias_states(spark, sf_dir):
+    sites = ["wbb", "hw", "bv", "elsewhere"]
+    return inversion.bias_states(_bins(spark), "site_group", sites, {"wbb": "UATAQ", "hw": "DAQ", "bv": "DAQ"})
+
+
+_SOUND_SQL = """snd as (select user_id % 7 as id, ts::date as day, 1200 + (event_id % 40) * 30 as z, avg(280 + value / 10) as theta from events group by 1, 2, 3)"""
+
+
+def _soundings(spark, sf_dir):
+    return (
+        read(spark, sf_dir, "events")
+        .groupBy((F.col("user_id") % 7).alias("id"), F.to_date("ts").alias("day"), (F.lit(1200) + (F.col("event_id") % 40) * 30).alias("z"))
+        .agg(F.avg(F.lit(280) + F.col("value") / 10).alias("theta"))
+        .withColumn("rho", F.lit(1.1))
+    )
+
+
+@query(f"""with {_SOUND_SQL}, b as (select * from snd where z <= 2200), t as (select id, day, arg_max(theta, z) as top from b group by 1, 2),
+  d as (select b.id, b.day, z, 1005.0 * 1.1 * (top - theta) as d from b join t on t.id = b.id and t.day = b.day),
+  s as (select *, (z - lag(z) over w) * (d + lag(d) over w) / 2 as step from d window w as (partition by id, day order by z))
+  select id, day::varchar as day, round(sum(step) / 1e6, 6) as heat_deficit from s group by 1, 2""")
+def heat_deficit(spark, sf_dir):
+    out = windows.heat_deficit(_soundings(spark, sf_dir), ["id", "day"])
+    return out.select("id", F.col("day").cast("string").alias("day"), r6("heat_deficit"))
+
+
+@query("""select o_orderkey as id, round(0.019 + 0.5 * o_totalprice, 6) as sigma from orders""")
+def prior_sigma(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    return inversion.prior_sigma(rows).select("id", r6("sigma"))
+
+
+@query(f"with {_BINS_SQL} select a.bin_start as key_i, b.bin_start as key_j, round(exp(-abs(epoch_us(a.bin_start) - epoch_us(b.bin_start)) / (32 * 86400e6)), 9) as k from bins a, bins b")
+def time_kernel(spark, sf_dir):
+    """Correlation between the months of a state; a bounded list of times."""
+    out = inversion.kernel_table(_bins(spark), "bin_start", 32 * 86400e6)
+    return out.withColumn("k", F.round("k", 9))

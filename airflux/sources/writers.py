@@ -27,3 +27,22 @@ def write_csv(df: DataFrame, path: str) -> None:
 def append_rows(df: DataFrame, path: str) -> None:
     """Result rows with a fixed schema; each write adds files, so writers do not meet."""
     df.write.mode("append").parquet(path)
+
+
+def write_sorted(df: DataFrame, path: str, order: list[str] = ("Time_UTC", "site")) -> None:
+    """Parquet in the order of the columns: ranges of it are sorted side by side, nothing meets in one task."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_points_geojson(df: DataFrame, path: str, lon: str = "longitude", lat: str = "latitude") -> None:
+    """One GeoJSON feature a line: a point, with the other columns as properties."""
+    others = [c for c in df.columns if c not in (lon, lat)]
+    shape = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+    rows = df.select(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*others).alias("properties"))
+    rows.write.mode("overwrite").json(path)
+
+
+def log_errors(results: DataFrame, path: str) -> None:
+    """The failed rows of a sweep, appended as lines "id: error"."""
+    failed = results.where("error is not null").select(F.concat_ws(": ", "config_id", "error").alias("value"))
+    failed.write.mode("append").text(path)

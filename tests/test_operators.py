@@ -378,11 +378,6 @@ def test_readers(spark, tmp_path, monkeypatch):
     gas.write_text("Time Stamp,CH4 (ppm),C2H6 (ppb),R,C2/C1\n01/02/2024 03:04:05.5,2.0,1,0.9,0.1\nbad,1,1,1,1\n")
     got = readers.read_gas_csv(spark, str(gas)).collect()
     assert len(got) == 1 and got[0]["CH4_ppb"] == 2000.0 and got[0]["Time_UTC"] == datetime(2024, 1, 2, 3, 4, 5, 500000)
-    met = tmp_path / "met.csv"
-    good = ",".join(["2024", "1", "2", "30405", *map(str, range(10))])
-    met.write_text("a\nb\nc\n" + good + "\nshort,line\n" + good.replace("2024", "year") + "\n")
-    rows = readers.read_met_csv(spark, str(met)).collect()
-    assert len(rows) == 1 and rows[0]["Time_UTC"] == datetime(2024, 1, 2, 3, 4, 5) and rows[0]["wind_dir"] == 9.0
     folder = tmp_path / "hw" / "x"
     folder.mkdir(parents=True)
     (folder / "a.dat").write_text("Time_UTC,ID,CH4d_ppm_cal\n2024-01-01 00:00:00,-10,2.0\n2024-02-01 00:00:00,-10,2.0\n")
