@@ -168,10 +168,14 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     keyed = labelled.select(F.xxhash64("doc_id").alias("hash"), "text", "lang")
-    # One row a language: the hash up to which its sample goes.  No task passes on more than `sample`
-    # hashes of a language.
+    # One row a language: the hash up to which its sample goes.  Of its documents only the share of
+    # hashes that holds the sample, with six standard deviations to spare, meets in a task.
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    spare = F.lit(sample + 6 * sample**0.5 + 20)
+    near = keyed.select("lang", "hash").join(F.broadcast(sizes), "lang")
+    near = near.where((F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("n") <= spare)
     order = Window.partitionBy("lang").orderBy("hash")
-    firsts = keyed.select("lang", "hash").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    firsts = near.select("lang", "hash").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     bounds = firsts.groupBy("lang").agg(F.max("hash").alias("most"))
     chosen = keyed.join(F.broadcast(bounds), "lang").where("hash <= most")
 
