@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -80,34 +81,73 @@ BOUNDS = np.array([b for b, _ in SCRIPTS])
 SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 
+#: Kind of each code point that was met: 0 white space, 1 neither, 2 + s a letter of script s; -1 not met yet.
+KIND = np.full(0x110000, -1, np.int8)
+
+
+class Words(NamedTuple):
+    """Words end to end: the code points of their letters, and the number of letters of each."""
+
+    letters: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Words:
+        return cls(code_points(words), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def script_of(points: np.ndarray) -> np.ndarray:
+    return SCRIPT_OF[np.searchsorted(BOUNDS, points, side="right") - 1]
+
+
+def kinds(points: np.ndarray) -> np.ndarray:
+    """Kind of each code point, by the table ``KIND``, which learns those it has not met."""
+    found = KIND[points]
+    if found.min(initial=0) < 0:
+        new = np.unique(points[found < 0])
+        chars = list(map(chr, new))
+        letter = np.array([LETTERS.match(c) is not None for c in chars])
+        white = np.array([c.isspace() for c in chars])
+        KIND[new] = np.where(white, 0, np.where(letter, 2 + script_of(new), 1))
+        found = KIND[points]
+    return found
+
+
+def words_of_pieces(pieces: list[bytes]) -> tuple[Words, np.ndarray]:
+    """The words of all pieces, and how many each piece has: the letters between white spaces, cut where the script changes."""
+    texts = [p.decode("utf-8", "replace") for p in pieces]
+    points = code_points(texts)
+    kind = kinds(points)
+    at = np.flatnonzero(kind > 1)
+    part = np.cumsum(kind == 0, dtype=np.int32)[at]
+    piece = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))[at]
+    script = kind[at]
+    head = np.ones(len(at), bool)
+    head[1:] = (part[1:] != part[:-1]) | (piece[1:] != piece[:-1]) | (script[1:] != script[:-1])
+    starts = np.flatnonzero(head)
+    return Words(points[at], np.diff(np.append(starts, len(at)))), np.bincount(piece[starts], minlength=len(texts))
+
+
 def words_of_piece(piece: str) -> list[str]:
-    """The letters of each word of a piece of text, cut where the script changes."""
-    out = []
-    for part in piece.split():
-        word = "".join(LETTERS.findall(part))
-        if word.isascii():
-            out += [word] * bool(word)
-            continue
-        script = script_numbers(word)
-        cut = [0, *(np.flatnonzero(script[1:] != script[:-1]) + 1).tolist(), len(word)]
-        out += [word[a:b] for a, b in zip(cut, cut[1:]) if a < b]
-    return out
-
-
-def words_of_pieces(pieces: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """The words of all pieces end to end, and how many each piece has."""
-    found = [words_of_piece(p.decode("utf-8", "replace")) for p in pieces]
-    return [w for ws in found for w in ws], np.fromiter(map(len, found), np.int64, len(found))
-
-
-def word_grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a piece of text as strings."""
+    words, _ = words_of_pieces([piece.encode()])
+    text, ends = words.letters.tobytes().decode("utf-32-le"), np.cumsum(words.n).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def word_grams(words: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the words end to end, and the number of n-grams of each word (3 * letters + 3)."""
-    if not words:
+    n = words.n
+    if not len(n):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    joined = np.frombuffer(("  " + "  ".join(words) + "  ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    mul = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    n = np.fromiter(map(len, words), np.int64, len(words))
     start = np.cumsum(n + 2) - n  # of the first letter
+    joined = np.full(int(n.sum()) + 2 * len(n) + 2, 0x20, np.uint64)
+    joined[ranges(start, n)] = words.letters
+    mul = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
     at = ranges(start, n + 1)  # each letter, and the blank behind the word
     one = joined[at] * mul[0]
     two = one + joined[at - 1] * mul[1] + np.uint64(1)
@@ -117,10 +157,9 @@ def word_grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return grams, 3 * (n + 1)
 
 
-def script_numbers(words: list[str] | str) -> np.ndarray:
-    """Script of each word (of one script; that of its first letter), or of each letter of one word."""
-    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
-    return SCRIPT_OF[np.searchsorted(BOUNDS, first, side="right") - 1]
+def script_numbers(words: Words) -> np.ndarray:
+    """Script of each word: that of its first letter, as of the others."""
+    return script_of(words.letters[np.cumsum(words.n) - words.n])
 
 
 def words_in(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -147,13 +186,14 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.allowed = share >= 0.01  # [script, language]
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, words: Words | list[str]) -> np.ndarray:
         """[word, language]; 0 for scripts that no language has."""
+        words = words if isinstance(words, Words) else Words.of(words)
         grams, n = word_grams(words, len(self.logp))
         ends = np.cumsum(n)
-        sums = np.zeros((len(words), len(self.langs)), np.float64)
-        for lo in range(0, len(words), 65536):
-            hi = min(len(words), lo + 65536)
+        sums = np.zeros((len(n), len(self.langs)), np.float64)
+        for lo in range(0, len(n), 65536):
+            hi = min(len(n), lo + 65536)
             a, b = (ends[lo] - n[lo]), ends[hi - 1]
             sums[lo:hi] = np.add.reduceat(self.logp[grams[a:b]], ends[lo:hi] - n[lo:hi] - a, axis=0, dtype=np.float64)
         allowed = self.allowed[script_numbers(words)]
@@ -276,9 +316,9 @@ class WordScores:
             self.counts = np.append(self.counts, count)
             base = len(self.number)
             self.number.update(zip(new, range(base, base + len(new))))
-            if words:
+            if len(words.n):
                 self.scores = np.vstack([self.scores, self.model.scores(words)])
-                self.letters = np.append(self.letters, np.fromiter(map(len, words), np.int64, len(words)))
+                self.letters = np.append(self.letters, words.n)
         at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         return self.starts[at], self.counts[at]
 
