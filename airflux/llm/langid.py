@@ -256,6 +256,36 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Mode
     return Model(langs, flat[:buckets], flat[buckets:])
 
 
+def settled(scores: np.ndarray, penalty: float) -> int:
+    """The label of all words of a document where no switch can pay, else -1.
+
+    Gains are those of another label over the best single one, b, in a stretch of words.  A run of m
+    stretches of other labels that b borders pays m switches at least, so it loses where every gain is
+    under the penalty.  A path of m > 1 stretches without b pays m - 1: it loses where, besides, the
+    most that a first and the most that a last stretch gain are together under the penalty.
+    """
+    by_label = np.ascontiguousarray(scores.T, np.float64)
+    total = by_label.sum(axis=1)
+    best = int(total.argmax())
+    if (np.delete(total, best) > total[best] - 1e-3).any():
+        return -1
+    gain = np.cumsum(by_label - by_label[best], axis=1)
+    low = np.minimum.accumulate(np.hstack([np.zeros((len(total), 1)), gain[:, :-1]]), axis=1)
+    most, ends = (gain - low).max(), max(gain.max(), 0.0) + max((gain[:, -1] - low[:, -1]).max(), 0.0)
+    return best if max(most, ends) < penalty - 1e-3 else -1
+
+
+def best_labels(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """Labels of ``viterbi``, which runs for those documents only in which a switch might pay."""
+    n = np.diff(first)
+    single = np.array([settled(scores[a:b], penalty) if b > a else 0 for a, b in zip(first, first[1:])], np.int16)
+    label = np.repeat(single, n)
+    words = np.flatnonzero(label < 0)
+    if len(words):
+        label[words] = viterbi(scores[words], np.append(0, np.cumsum(n[single < 0])), penalty)
+    return label
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word; rows of ``scores`` are words, ``first`` the documents' offsets in them.
 
@@ -348,7 +378,7 @@ def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY,
         if not langs:
             begin, rows, scores, letters = np.zeros_like(begin), np.zeros_like(rows), scores[:0], letters[:0]
         row = np.repeat(np.arange(n), rows)
-        label = viterbi(scores, begin, penalty)
+        label = best_labels(scores, begin, penalty)
         size = max(1, len(langs))
         by = np.bincount(row * size + label, weights=letters, minlength=n * size).reshape(n, size)
         total = by.sum(axis=1)

@@ -538,6 +538,21 @@ def test_viterbi_by_brute_force():
             assert value(got[a:b]) == pytest.approx(best, abs=1e-5)
 
 
+def test_single_labels_are_those_of_viterbi():
+    rng = np.random.default_rng(1)
+    single = 0
+    for _ in range(300):
+        n = rng.integers(0, 12, 5)
+        first = np.append(0, np.cumsum(n))
+        scores = rng.normal(size=(first[-1], 3)).astype(np.float32) + np.float32([0.5, 0, 0])
+        single += sum(langid.settled(scores[a:b], 2.0) >= 0 for a, b in zip(first, first[1:]) if b > a)
+        assert (langid.best_labels(scores, first, 2.0) == langid.viterbi(scores, first, 2.0)).all()
+    assert 100 < single < 1400
+    assert langid.settled(np.zeros((4, 2), np.float32), 2.0) == -1  # a tie is left to Viterbi
+    assert langid.settled(np.ones((4, 1), np.float32), 2.0) == 0
+    assert len(langid.best_labels(np.zeros((0, 3), np.float32), np.zeros(3, np.int64), 2.0)) == 0
+
+
 def test_language_spans(spark):
     rng = random.Random(3)
     kinds = {"en": ["the", "ing", "tion", "wh", "ea"], "fr": ["eau", "que", "oi", "ment", "ai"], "ru": ["про", "ста", "ени", "ого", "ва"]}
