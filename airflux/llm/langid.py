@@ -275,14 +275,50 @@ def settled(scores: np.ndarray, penalty: float) -> int:
     return best if max(most, ends) < penalty - 1e-3 else -1
 
 
+def stretches(scores: np.ndarray, penalty: float, most: int = 512) -> list[tuple[int, int, int]]:
+    """Stretches (from, own, to) of a document of which Viterbi labels the words own to ``to`` as it does in the whole.
+
+    Where all words of a run favour one label, by more than two penalties together, every best path is
+    at that label at the run's end, whatever lies before and behind: a path that misses the run's label
+    could pay for the way there and back.  A stretch of some ``most`` words or more ends there, and the
+    next one reads the run once more, so that it starts from that label.  A document without such runs is one stretch.
+    """
+    n, k = scores.shape
+    if n <= most or k < 2 or penalty < 0:
+        return [(0, 0, n)]
+    best = scores.argmax(axis=1)
+    two = np.partition(scores, k - 2, axis=1)[:, k - 2 :].astype(np.float64)
+    lead = np.append(0.0, np.cumsum(two[:, 1] - two[:, 0]))
+    run = np.append(True, best[1:] != best[:-1])
+    start = np.flatnonzero(run)[np.cumsum(run) - 1]  # of the run of each word
+    sure = np.flatnonzero(lead[1:] - lead[start] > 2 * penalty + 1e-3)
+    out, begin, own = [], 0, 0
+    while True:
+        at = np.searchsorted(sure, own + most)
+        if at == len(sure) or sure[at] + 1 == n:
+            return [*out, (begin, own, n)]
+        end = int(sure[at])
+        out.append((begin, own, end + 1))
+        begin = int(np.searchsorted(lead, lead[end + 1] - 2 * penalty - 1e-3, side="left")) - 1
+        begin, own = max(begin, int(start[end])), end + 1
+
+
 def best_labels(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels of ``viterbi``, which runs for those documents only in which a switch might pay."""
+    """Labels of ``viterbi``, which runs for those documents only in which a switch might pay, long ones by stretches."""
     n = np.diff(first)
     single = np.array([settled(scores[a:b], penalty) if b > a else 0 for a, b in zip(first, first[1:])], np.int16)
     label = np.repeat(single, n)
-    words = np.flatnonzero(label < 0)
-    if len(words):
-        label[words] = viterbi(scores[words], np.append(0, np.cumsum(n[single < 0])), penalty)
+    parts = [
+        (first[d] + a, first[d] + own, first[d] + b)
+        for d in np.flatnonzero(single < 0)
+        for a, own, b in stretches(scores[first[d] : first[d + 1]], penalty)
+    ]
+    if parts:
+        begin, own, end = np.array(parts, np.int64).T
+        size = end - begin
+        at = np.cumsum(size) - size
+        found = viterbi(scores[ranges(begin, size)], np.append(at, size.sum()), penalty)
+        label[ranges(own, end - own)] = found[ranges(at + own - begin, end - own)]
     return label
 
 

@@ -553,6 +553,22 @@ def test_single_labels_are_those_of_viterbi():
     assert len(langid.best_labels(np.zeros((0, 3), np.float32), np.zeros(3, np.int64), 2.0)) == 0
 
 
+def test_stretches_of_long_documents_are_labelled_as_the_whole():
+    rng = np.random.default_rng(2)
+    parts = 0
+    for n in (0, 1, 511, 513, 3000, 9001):
+        lead = np.eye(4)[np.repeat(rng.integers(0, 4, n // 40 + 1), 40)[:n]]  # 40 words of one language, then of another
+        for strength in (0.0, 0.7, 3.0):
+            scores = (rng.normal(size=(n, 4)) + strength * lead).astype(np.float32)
+            first = np.array([0, n // 3, n // 3, n])
+            assert (langid.best_labels(scores, first, 2.0) == langid.viterbi(scores, first, 2.0)).all()
+            cut = langid.stretches(scores, 2.0)
+            assert [own for _, own, _ in cut] == [0, *(to for _, _, to in cut[:-1])] and cut[-1][2] == n
+            parts += len(cut)
+    assert parts > 40
+    assert langid.stretches(np.zeros((5000, 3), np.float32), 2.0) == [(0, 0, 5000)]  # nothing is sure: one stretch
+
+
 def test_language_spans(spark):
     rng = random.Random(3)
     kinds = {"en": ["the", "ing", "tion", "wh", "ea"], "fr": ["eau", "que", "oi", "ment", "ai"], "ru": ["про", "ста", "ени", "ого", "ва"]}
