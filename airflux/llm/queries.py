@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, hyperminhash, langid, ogg, oracle, packing, pieces, quality, repeats, urls
+from . import exact, hilbert, hyperminhash, langid, merkle, ogg, oracle, packing, pieces, quality, repeats, search, urls
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_check(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,10 +82,16 @@ QUERIES = {
         op8_best_fit_packing,
         op9_ogg_media,
         op10_language_spans,
+        op11_merkle_manifest,
+        op12_exact_copies,
+        op13_ranked_search,
     )
 }
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": oracle.NEAR_DUPLICATES,
     "op5_url_list_join": urls.ORACLE_SQL,
     "op7_repeated_strings": oracle.REPEATED_STRINGS,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_exact_copies": exact.ORACLE_SQL,
+    "op13_ranked_search": search.ORACLE_SQL,
 }
