@@ -4,8 +4,8 @@
    and the counts of those of its terms that some query asks for.  Corpus figures (documents, terms, documents
    of a term) come from all rows.
 2. Index: documents, ``SHARD`` at a time as they lie in the files, form a shard.  A shard holds each
-   document's postings as scores, and for every term a tree of maxima over ranges of 8, 64, 512 and all of its
-   documents: a node bounds what the term can add to any document below it.
+   document's postings as gains (scores but for the term's weight), and for every term a tree of maxima over
+   ranges of 8, 64 and all of its documents: weight and node bound what the term can add to any document below.
 3. First look: the summed bounds at the roots name the most promising shard of each query; its ten best
    scores give a threshold that already holds for the whole corpus.
 4. Every shard is searched for every query: if the sum at its root reaches the threshold, best first.  The open node
@@ -18,7 +18,7 @@ Queries are gathered ``QUERY_TERMS`` terms at a time, and a task's dense trees h
 time; more of either are more rounds, not fewer results.
 
 Scores are 64-bit integers: a term's weight is floor(1000 ln((2N + 2) / (2 df + 1))), and a document adds
-weight * (10^9 tf div (1000 tf + 8 m)) with m = 10 + 90 n N div L.
+weight * gain, gain = 10^9 tf div (1000 tf + 8 m), m = 10 + 90 n N div L.
 
 Edge cases: a null or empty text and one without a term are in no result and no count; a query without known
 terms has no rows; a null item_id or doc_id is a value like any other (doc_id null last among ties); rows
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import buffer_of, distinct_pieces, ranges, slices
-from .common import written
+from .common import shared_dir, written
 
-TOP, SHARD, FAN = 10, 4096, 8
+TOP, SHARD, FAN = 10, 512, 8
 QUERY_TERMS = 1 << 18  # terms of queries in a round over the corpus
 LOCAL_TERMS = 1 << 13  # terms of the dense trees of a shard
 NO_ID = np.iinfo(np.int64).max
@@ -110,30 +111,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
 # --- index -----------------------------------------------------------------------------------------
 
 
-def scores_of(tf: np.ndarray, n: np.ndarray, weight: np.ndarray, all_docs: int, all_terms: int) -> np.ndarray:
+def gains_of(tf: np.ndarray, n: np.ndarray, all_docs: int, all_terms: int) -> np.ndarray:
+    """What a term adds to a document, but for its weight; below 10^6."""
     m = 10 + (90 * n * all_docs) // all_terms
-    return weight * ((1_000_000_000 * tf) // (1000 * tf + 8 * m))
+    return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
 def weights_of(df: np.ndarray, all_docs: int) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((2 * all_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
 
 
-def maxima(term: np.ndarray, node: np.ndarray, score: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells term * width + node, rising, and the greatest score of each."""
+def maxima(term: np.ndarray, node: np.ndarray, gain: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells term * width + node, rising, and the greatest gain of each."""
     cell = term * width + node
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
     first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-    return cell[first], np.maximum.reduceat(score[order], first) if len(cell) else score
+    return cell[first], np.maximum.reduceat(gain[order], first) if len(cell) else gain
 
 
-#: Nodes of each level of a shard: ranges of 8, 64, 512 documents and the whole shard.
-WIDTHS = [SHARD // FAN, SHARD // FAN**2, SHARD // FAN**3, 1]
-INDEX = "shard long, doc_ids array<long>, at array<int>, terms array<int>, scores array<long>, " + ", ".join(f"cells{k} array<int>, most{k} array<long>" for k in range(4))
+#: Nodes of each level of a shard: ranges of 8 and 64 documents, and the whole shard.
+WIDTHS = [SHARD // FAN, SHARD // FAN**2, 1]
+ROOT = len(WIDTHS) - 1
+INDEX = "shard long, doc_ids array<long>, at array<int>, terms array<int>, gains array<int>, " + ", ".join(f"cells{k} array<int>, most{k} array<int>" for k in range(ROOT + 1))
+ROW_GROUP = 16 << 20  # bytes: a shard is a row of about a megabyte, and readers hold a row group
 
 
-def index(rows: DataFrame, weight: np.ndarray, all_docs: int, all_terms: int) -> DataFrame:
+def index(rows: DataFrame, all_docs: int, all_terms: int) -> DataFrame:
     """Shards with their postings and trees; ``rows`` as ``counted`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,16 +154,17 @@ def index(rows: DataFrame, weight: np.ndarray, all_docs: int, all_terms: int) ->
                 at = at - at[0]
                 doc = np.repeat(np.arange(part.num_rows), np.diff(at))
                 n = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                score = scores_of(tf, n[doc], weight[term], all_docs, all_terms)
-                made, cells, most = [], term * SHARD + doc, score
+                gain = gains_of(tf, n[doc], all_docs, all_terms)
+                ints = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
+                made, cells, most = [], term * SHARD + doc, gain
                 node = doc
                 for width in WIDTHS:
                     node = (cells % (width * FAN)) // FAN
                     cells, most = maxima(cells // (width * FAN), node, most, width)
-                    made += [pa.array([cells.astype(np.int32)], pa.list_(pa.int32())), pa.array([most], pa.list_(pa.int64()))]
+                    made += [ints(cells), ints(most)]
                 ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([term.astype(np.int32)], pa.list_(pa.int32())), pa.array([score], pa.list_(pa.int64())), *made],
+                    [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), ints(at), ints(term), ints(gain), *made],
                     names=[x.split()[0] for x in INDEX.split(", ")],
                 )
                 name += 1
@@ -173,19 +178,19 @@ def index(rows: DataFrame, weight: np.ndarray, all_docs: int, all_terms: int) ->
 class Shard:
     """One shard's arrays; dense trees of a block of terms at a time."""
 
-    def __init__(self, batch: pa.RecordBatch, k: int):
+    def __init__(self, batch: pa.RecordBatch, k: int, weight: np.ndarray):
         get = lambda name: batch.column(batch.schema.get_field_index(name))[k].values.to_numpy(zero_copy_only=False)
-        self.ids, self.at, self.terms, self.scores = get("doc_ids"), get("at").astype(np.int64), get("terms"), get("scores")
-        self.levels = [(get(f"cells{j}").astype(np.int64), get(f"most{j}")) for j in range(4)]
+        self.ids, self.at, self.terms, self.gains = get("doc_ids"), get("at"), get("terms"), get("gains")
+        self.levels, self.weight = [(get(f"cells{j}"), get(f"most{j}")) for j in range(ROOT + 1)], weight
 
-    def dense(self, block: np.ndarray, known: int) -> None:
+    def dense(self, block: np.ndarray) -> None:
         """Trees of the terms in ``block`` (rising), as matrices of term by node."""
-        self.place = np.full(known + 1, -1, np.int64)
+        self.place = np.full(len(self.weight) + 1, -1, np.int64)
         self.place[block] = np.arange(len(block))
         self.trees = []
         for (cells, most), width in zip(self.levels, WIDTHS):
             own = self.place[cells // width]
-            tree = np.zeros((len(block), width), np.int64)
+            tree = np.zeros((len(block), width), np.int32)
             some = own >= 0
             tree[own[some], (cells % width)[some]] = most[some]
             self.trees.append(tree)
@@ -194,12 +199,12 @@ class Shard:
         """Put this shard's documents among ``found``, a heap of at most ``top`` (score, -doc_id, n), best first.
 
         ``least`` is a score that the last of the best has at least; equal scores are kept for ties."""
-        own = self.place[terms]
-        wanted = np.zeros(len(self.place), bool)
-        wanted[terms] = True
+        own, weight = self.place[terms], self.weight[terms]
         bar = lambda: max(least, found[0][0] if len(found) == top else 0, 1)
-        root = int(self.trees[3][own, 0].sum())
-        heap = [(-root, 3, 0)] if root >= bar() else []
+        root = int(weight @ self.trees[ROOT][own, 0])
+        heap = [(-root, ROOT, 0)] if root >= bar() else []
+        worth = np.zeros(len(self.weight) + 1, np.int64)
+        worth[terms] = weight
         while heap:
             bound, level, node = heapq.heappop(heap)
             if -bound < bar():
@@ -208,16 +213,14 @@ class Shard:
                 seen.append((-bound, level, node))
             if level:
                 lo = node * FAN
-                sums = self.trees[level - 1][own, lo : lo + FAN].sum(axis=0)
+                sums = weight @ self.trees[level - 1][own, lo : lo + FAN]
                 for k in np.flatnonzero(sums >= bar()).tolist():
                     heapq.heappush(heap, (-int(sums[k]), level - 1, lo + k))
                 continue
             lo, hi = node * FAN, min(node * FAN + FAN, len(self.ids))
             a, b = self.at[lo], self.at[hi]
-            used = wanted[self.terms[a:b]]
-            doc = np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1]))[used]
-            sums = np.zeros(hi - lo, np.int64)
-            np.add.at(sums, doc, self.scores[a:b][used])
+            parts = np.append(0, np.cumsum(worth[self.terms[a:b]] * self.gains[a:b]))[self.at[lo : hi + 1] - a]
+            sums = np.diff(parts)
             for k in np.flatnonzero(sums >= bar()).tolist():
                 entry = (int(sums[k]), -int(self.ids[lo + k]), 0)
                 if len(found) < top:
@@ -239,7 +242,7 @@ def blocks_of(items: list[np.ndarray]) -> list[tuple[list[int], np.ndarray]]:
     return [*out, (own, terms)] if own else []
 
 
-def root_bounds(shards: DataFrame, items: list[np.ndarray], known: int) -> DataFrame:
+def root_bounds(shards: DataFrame, items: list[np.ndarray], weight: np.ndarray) -> DataFrame:
     """(item, shard): for each query the shard with the highest sum at the root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,19 +250,19 @@ def root_bounds(shards: DataFrame, items: list[np.ndarray], known: int) -> DataF
         flat, at = np.concatenate(items), np.append(0, np.cumsum([len(t) for t in items]))[:-1]
         for batch in batches:
             for k in range(batch.num_rows):
-                root = np.zeros(known, np.int64)
+                root = np.zeros(len(weight), np.int64)
                 root[batch.column(1)[k].values.to_numpy(zero_copy_only=False)] = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
-                sums = np.add.reduceat(root[flat], at)
+                sums = np.add.reduceat((root * weight)[flat], at)
                 more = sums > best
                 best[more], where[more] = sums[more], batch.column(0)[k].as_py()
         some = np.flatnonzero(best)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(best[some]), pa.array(where[some])], names=["item", "bound", "shard"])
 
-    bounds = shards.select("shard", "cells3", "most3").mapInArrow(run, "item long, bound long, shard long")
+    bounds = shards.select("shard", f"cells{ROOT}", f"most{ROOT}").mapInArrow(run, "item long, bound long, shard long")
     return bounds.groupBy("item").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
 
 
-def searched(shards: DataFrame, items: list[np.ndarray], known: int, least: np.ndarray, top: int, only: bool = False) -> DataFrame:
+def searched(shards: DataFrame, items: list[np.ndarray], weight: np.ndarray, least: np.ndarray, top: int, only: bool = False) -> DataFrame:
     """(item, score, doc_id): each task's best for every query (``only``: for the queries in column ``wanted``)."""
     blocks = blocks_of(items)
 
@@ -267,12 +270,12 @@ def searched(shards: DataFrame, items: list[np.ndarray], known: int, least: np.n
         found: list[list] = [[] for _ in items]
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = Shard(batch, k)
+                shard = Shard(batch, k, weight)
                 wanted = set(batch.column(batch.num_columns - 1)[k].as_py()) if only else None
                 for own, terms in blocks:
                     some = own if wanted is None else [q for q in own if q in wanted]
                     if some:
-                        shard.dense(terms, known)
+                        shard.dense(terms)
                     for q in some:
                         shard.best(items[q], found[q], int(least[q]), top)
         rows = [(q, score, -less) for q, heap in enumerate(found) for score, less, _ in heap]
@@ -322,13 +325,16 @@ def _round(docs: DataFrame, asked: list[tuple[object, list[bytes]]], top: int) -
     df = np.zeros(known, np.int64)
     for x in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a query term
         df[x["t"]] = x["count"]
-    shards = written(index(rows, weights_of(df, sums["docs"]), int(sums["docs"]), int(sums["terms"])), "shards")
-    first = root_bounds(shards, items, known).groupBy("shard").agg(F.collect_list("item").alias("wanted"))
-    look = searched(shards.join(F.broadcast(first), "shard"), items, known, np.zeros(len(items), np.int64), top, only=True)
+    weight = weights_of(df, sums["docs"])
+    folder = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    index(rows, int(sums["docs"]), int(sums["terms"])).write.option("parquet.block.size", ROW_GROUP).parquet(folder)
+    shards = docs.sparkSession.read.schema(INDEX).parquet(folder)
+    first = root_bounds(shards, items, weight).groupBy("shard").agg(F.collect_list("item").alias("wanted"))
+    look = searched(shards.join(F.broadcast(first), "shard"), items, weight, np.zeros(len(items), np.int64), top, only=True)
     least = np.zeros(len(items), np.int64)
     for x in best_of(look, top).where(f"rank = {top}").select("item", "score").collect():  # a row a query
         least[x["item"]] = x["score"]
-    return best_of(searched(shards, items, known, least, top), top), [i for i, _ in asked]
+    return best_of(searched(shards, items, weight, least, top), top), [i for i, _ in asked]
 
 
 ORACLE_SQL = r"""
