@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, written
 
-FAN, TIER = 8, 5
+FAN, TIER = 8, 4
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -273,7 +273,8 @@ def merkle_manifest(docs: DataFrame, altered: Column | None = None, tier: int =
     columns = [F.col("doc_id").cast("long"), *map(F.col, FIELDS[1:])]
     again = leaf(columns) if altered is None else leaf([*columns[:-1], altered])
     rows = docs.select(key_of("lang").alias("key"), F.col("doc_id").cast("long"), leaf(columns).alias("hash"), again.alias("altered"))
-    leaves = written(leaf_runs(rows, ["doc_id", "hash", "altered"]), "leaves")
+    # Written first: the sampling for the ranges then reads digests, not texts.
+    leaves = written(leaf_runs(written(rows, "hashed"), ["doc_id", "hash", "altered"]), "leaves")
     folder, top = node_store(leaves)
     subroots = roots_of(spark, folder).select(F.lit("").alias("key"), F.col("key").alias("name"), "hash")
     upper = written(leaf_runs(subroots, ["name"]), "subroots")
