@@ -20,8 +20,10 @@ joins can be split.  Texts travel compressed, and only those in surviving pairs
 
 Edge cases: null and blank texts have no shingles and are linked with nothing; texts with fewer
 words than a shingle are one shingle; texts of any length are read whole; repeated rows each get
-a row (and one component); an empty table gives an empty result; doc_id null stays null and is
-its own component; other columns, whatever their names, are not read.
+a row (and one component); an empty table gives an empty result; a row with doc_id null is linked like any
+other, has the least doc_id of its component (null if that has none) and is kept by ``near_duplicates``, which
+knows rows by doc_id (``one_of_each`` keeps one row of each group whatever the doc_ids); rows that share a doc_id
+are compared by their own texts; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -240,31 +242,37 @@ def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def checked_set(raw: bytes, vertex: int, width: int) -> np.ndarray | None:
-    """The text's shingle set, if it is that of ``vertex`` (else another text has the same doc_id)."""
+    """The text's shingle set, if it is that of ``vertex``."""
     h, _ = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width)
     return h if mix(mix(h + U(BASE)).sum(dtype=U)[None]).view(np.int64)[0] == vertex else None
 
 
 def needed_texts(needed: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(vertex, z): a compressed text of each of the vertices, from the document with the least doc_id."""
+    """(vertex, z): a compressed text of each of the vertices, from the first of its rows by doc_id (null last)
+    and text hash; so a vertex has a text whatever its rows' doc_ids are."""
     import zstandard
 
-    where = (
-        signed.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).join(needed, "vertex")
-    )
+    name = lambda i, h: F.xxhash64(i.isNull(), i, h).alias("at")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r")
+    where = signed.where("vertex is not null").groupBy("vertex").agg(first).join(needed, "vertex")
+    where = where.select("vertex", name(F.col("r.doc_id"), F.col("r.text_hash")))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
+            _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(once))  # repeated rows leave a batch once
             for part in slices(batch):
                 raw, offs = buffer_of(part)
                 data, at = memoryview(raw), offs.tolist()
                 packed = [pack(data[a:b]) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["at", "z"])
 
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    texts = texts.mapInArrow(squeeze, "doc_id long, z binary")
-    return written(where.hint("shuffle_hash").join(texts, "doc_id").select("vertex", "z"), "texts")
+    texts = docs.where("text is not null").select(name(F.col("doc_id").cast("long"), F.xxhash64("text")), "text")
+    texts = texts.mapInArrow(squeeze, "at long, z binary")
+    # The rows of a name are together after the join: what is left of repeated rows goes without a shuffle.
+    found = where.hint("shuffle_hash").join(texts, "at").groupBy("at").agg(F.any_value("vertex").alias("vertex"), F.any_value("z").alias("z"))
+    return written(found.select("vertex", "z"), "texts")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:

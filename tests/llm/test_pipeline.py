@@ -137,3 +137,14 @@ def test_no_rows_and_other_columns(spark, folder, stages):
         assert stage(spark, more, folder).columns == docs.columns, name
     assert corpus_pipeline.best_fit_packing(spark, more.limit(0), folder).count() == 0
     assert key(corpus_pipeline.near_duplicates(spark, more, folder).collect()) == key(corpus_pipeline.near_duplicates(spark, docs, folder).collect())
+
+
+def test_near_pairs_without_own_ids(spark, folder):
+    """Near texts of rows with null doc_ids, with one doc_id, and repeated: one of each group stays."""
+    base = lambda k: " ".join(f"{k}w{j}" for j in range(200))
+    rows = [(None, base(1)), (None, base(1) + " more"), (7, base(2)), (7, base(2) + " more"), (7, base(2) + " else"), (None, base(3)), (4, base(3) + " more"), (9, "alone here"), (None, base(4)), (None, base(4)), (None, base(4) + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
+    groups = sorted(t.split()[0] for _, t in got)
+    assert groups == ["1w0", "2w0", "3w0", "4w0", "alone"]
+    assert (4, base(3) + " more") in got and (9, "alone here") in got
