@@ -260,56 +260,60 @@ def mdm_matrix(obs: DataFrame, components: list[dict], orgs=None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("obs_location", "time_i", "time_j").agg(F.sum("value").alias("value"))
 
 
-def mdm_product(obs: DataFrame, std, scale: str, interday: bool = False, orgs=None) -> DataFrame:
+def mdm_product(obs: DataFrame, std, scale: str, interday: bool = False, orgs=None, carry: list[str] = ()) -> DataFrame:
     """Component x vector ``value`` without its matrix: the exponential kernel is a recurrence over time.
 
     A task scans the rows of one location and day in both directions; with ``interday`` what the days
     before and behind add is carried from day to day, over one short row a day.  The cost is linear in
-    the rows.  Rows with a null key or value are left out.
+    the rows.  Rows with a null key or value are left out.  ``carry`` names further keys: vectors side by side.
     """
-    tau = float(duration_us(scale))
+    tau, carry = float(duration_us(scale)), list(carry)
+    also = "".join(f"{c} {dict(obs.dtypes)[c]}, " for c in carry)
+
+    def apart(pdf: pd.DataFrame) -> np.ndarray:
+        """Where a row begins another vector than the one before: nothing is carried over."""
+        return pdf[carry].ne(pdf[carry].shift()).any(axis=1).to_numpy()[1:] if carry else np.zeros(max(len(pdf) - 1, 0), bool)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", ignore_index=True)
+        pdf = pdf.sort_values([*carry, "us"], ignore_index=True)
         x = (pdf["s"] * pdf["value"]).to_numpy(np.float64)
-        decay = np.exp(-np.diff(pdf["us"].to_numpy(np.float64)) / tau)
+        decay = np.exp(-np.abs(np.diff(pdf["us"].to_numpy(np.float64))) / tau) * ~apart(pdf)
         left, right = x.copy(), x.copy()
         for i in range(1, len(x)):
             left[i] += decay[i - 1] * left[i - 1]
             right[-1 - i] += decay[-i] * right[-i]
         pdf["left"], pdf["right"] = left, right
         pdf["value"] = pdf["s"] * (left + right - x)
-        return pdf[["obs_location", "obs_time", "us", "s", "left", "right", "value"]]
+        return pdf[[*carry, "obs_location", "obs_time", "us", "s", "left", "right", "value"]]
 
-    rows = obs.select(*OBS, F.col("value").cast("double").alias("value")).dropna()
+    rows = obs.select(*carry, *OBS, F.col("value").cast("double").alias("value")).dropna()
     rows = rows.withColumns({"s": sigma(std, orgs), "us": micros(F.col("obs_time")), "day": F.to_date("obs_time")})
-    kind = "obs_location string, obs_time timestamp_ntz, us long, s double, left double, right double, value double"
+    kind = f"{also}obs_location string, obs_time timestamp_ntz, us long, s double, left double, right double, value double"
     within = rows.groupBy("obs_location", "day").applyInPandas(scan, kind)
     if not interday:
-        return within.select(*OBS, "value")
+        return within.select(*carry, *OBS, "value")
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day", ignore_index=True)
-        first, last = pdf["first"].to_numpy(np.float64), pdf["last"].to_numpy(np.float64)
+    def over_days(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*carry, "day"], ignore_index=True)
+        first, last, left, right = (pdf[c].to_numpy(np.float64) for c in ("first", "last", "left", "right"))
         before, behind = np.zeros(len(pdf)), np.zeros(len(pdf))  # as seen from a day's first and last row
+        across, gap = np.exp((first - last) / tau), np.exp(-np.abs(first[1:] - last[:-1]) / tau) * ~apart(pdf)
         for i in range(1, len(pdf)):
-            own = pdf["left"][i - 1] + before[i - 1] * np.exp((first[i - 1] - last[i - 1]) / tau)
-            before[i] = own * np.exp((last[i - 1] - first[i]) / tau)
+            before[i] = (left[i - 1] + before[i - 1] * across[i - 1]) * gap[i - 1]
             k = len(pdf) - 1 - i
-            own = pdf["right"][k + 1] + behind[k + 1] * np.exp((first[k + 1] - last[k + 1]) / tau)
-            behind[k] = own * np.exp((last[k] - first[k + 1]) / tau)
+            behind[k] = (right[k + 1] + behind[k + 1] * across[k + 1]) * gap[k]
         pdf["before"], pdf["behind"] = before, behind
-        return pdf[["obs_location", "day", "first", "last", "before", "behind"]]
+        return pdf[[*carry, "obs_location", "day", "first", "last", "before", "behind"]]
 
     within = within.withColumn("day", F.to_date("obs_time"))
-    days = within.groupBy("obs_location", "day").agg(
+    days = within.groupBy(*carry, "obs_location", "day").agg(
         F.min("us").alias("first"), F.max("us").alias("last"), F.max_by("left", "us").alias("left"), F.min_by("right", "us").alias("right")
     )
-    kind = "obs_location string, day date, first long, last long, before double, behind double"
-    carried = days.groupBy("obs_location").applyInPandas(carry, kind)
+    kind = f"{also}obs_location string, day date, first long, last long, before double, behind double"
+    carried = days.groupBy("obs_location").applyInPandas(over_days, kind)
     decayed = lambda c, a, b: F.col(c) * F.exp((F.col(a) - F.col(b)) / F.lit(tau))
     more = F.col("s") * (decayed("before", "first", "us") + decayed("behind", "us", "last"))
-    return within.join(carried, ["obs_location", "day"]).select(*OBS, (F.col("value") + more).alias("value"))
+    return within.join(carried, [*carry, "obs_location", "day"]).select(*carry, *OBS, (F.col("value") + more).alias("value"))
 
 
 def prior_sigma(prior: DataFrame, base_std: float = 0.019, std_frac: float = 0.5) -> DataFrame:
@@ -332,10 +336,10 @@ def kernel_table(left: DataFrame, key: str, scale_us: float) -> DataFrame:
 def solve_dense(h: np.ndarray, z: np.ndarray, s0: np.ndarray, prior_cov: np.ndarray, obs_cov: np.ndarray, gamma: float | None = None) -> dict:
     """Posterior of the linear Gaussian problem z = H s + e (Rodgers 2000), on the driver.
 
-    For problems of at most ``MOST_DENSE`` observations and states; larger ones: ``solve_cg``.
+    For problems of at most ``MOST_DENSE`` observations and states; larger ones: ``solvers.solve``.
     """
     if max(h.shape) > MOST_DENSE:
-        raise ValueError(f"over {MOST_DENSE} rows or columns; use solve_cg")
+        raise ValueError(f"over {MOST_DENSE} rows or columns; use solvers.solve")
     obs_cov = obs_cov / gamma if gamma else obs_cov
     hs = h @ prior_cov
     inner = hs @ h.T + obs_cov
@@ -358,58 +362,6 @@ def solve_dense(h: np.ndarray, z: np.ndarray, s0: np.ndarray, prior_cov: np.ndar
     }
 
 
-def solve_cg(jacobian: DataFrame, obs: DataFrame, prior: DataFrame, obs_var: DataFrame, write, steps: int = 1000, tol: float = 1e-8) -> DataFrame:
-    """Posterior for diagonal covariances and any number of observations: conjugate gradients on
-    (H S0 Ht + Sz) y = z - H s0, preconditioned by the diagonal, then s0 + S0 Ht y.
-
-    jacobian (OBS, STATE, value); obs (OBS, value); prior (STATE, value, sigma); obs_var (OBS, value).
-    ``write(df, name)`` stores a table in the shared folder and returns it; each step is stored, a few
-    numbers a step reach the driver.  Ends when the residual, computed anew, is at most ``tol`` of
-    z - H s0; raises ArithmeticError if it is not after ``steps`` steps.
-    """
-    s_var = prior.select(*STATE, (F.col("sigma") * F.col("sigma")).alias("__s"))
-
-    def product(x: DataFrame) -> DataFrame:
-        back = spmv(jacobian, x, OBS, STATE).join(s_var, STATE).withColumn("value", F.col("value") * F.col("__s")).drop("__s")
-        through = spmv(jacobian, back, STATE, OBS, "__hx")
-        own = obs_var.select(*OBS, F.col("value").alias("__v"))
-        total = F.coalesce("__hx", F.lit(0.0)) + F.col("__v") * F.col("value")
-        return x.select(*OBS, "value").join(own, OBS).join(through, OBS, "left").select(*OBS, total.alias("ax"))
-
-    def dot(df: DataFrame, *pairs: tuple[str, str]) -> list[float]:
-        return [x or 0.0 for x in df.agg(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).first()]
-
-    fit = spmv(jacobian, prior, STATE, OBS, "__fit")
-    spread = jacobian.join(s_var, STATE).groupBy(*OBS).agg(F.sum(F.col("value") * F.col("value") * F.col("__s")).alias("__d"))
-    diagonal = obs_var.join(spread, OBS, "left").select(*OBS, (F.col("value") + F.coalesce("__d", F.lit(0.0))).alias("d"))
-    b = obs.join(fit, OBS, "left").select(*OBS, (F.col("value") - F.coalesce("__fit", F.lit(0.0))).alias("b"))
-    state = b.join(diagonal, OBS).select(*OBS, "b", "d", F.lit(0.0).alias("y"), F.col("b").alias("r"), (F.col("b") / F.col("d")).alias("z"))
-    state = write(state.withColumn("p", F.col("z")), "cg")
-    (rr, rz), done = dot(state, ("r", "r"), ("r", "z")), 0
-    bound = tol**2 * rr
-    while rr > bound:
-        while rr > bound:
-            if done == steps:
-                raise ArithmeticError(f"conjugate gradients: residual {math.sqrt(rr / bound) * tol:.3g} of the first after {steps} steps, not {tol:g}")
-            ax = product(state.select(*OBS, F.col("p").alias("value")))
-            joined = write(state.join(ax, OBS), "cg")
-            alpha = rz / dot(joined, ("p", "ax"))[0]
-            r = F.col("r") - alpha * F.col("ax")
-            moved = joined.withColumns({"y": F.col("y") + alpha * F.col("p"), "r": r, "z": r / F.col("d")}).drop("ax")
-            rr, new = dot(moved, ("r", "r"), ("r", "z"))
-            state = moved.withColumn("p", F.col("z") + (new / rz) * F.col("p"))
-            rz, done = new, done + 1
-        # r is carried from step to step; what was lost by rounding shows only against b, and is solved for again.
-        r = F.col("b") - F.col("ax")
-        again = state.join(product(state.select(*OBS, F.col("y").alias("value"))), OBS).withColumns({"r": r, "z": r / F.col("d"), "p": r / F.col("d")})
-        state = write(again.drop("ax"), "cg")
-        rr, rz = dot(state, ("r", "r"), ("r", "z"))
-    back = spmv(jacobian, state.select(*OBS, F.col("y").alias("value")), OBS, STATE, "__d")
-    return prior.join(back, STATE, "left").join(s_var, STATE).select(
-        *STATE, (F.col("value") + F.coalesce("__d", F.lit(0.0)) * F.col("__s")).alias("value")
-    )
-
-
 # --- diagnostics ---------------------------------------------------------------------------------
 
 

@@ -57,7 +57,7 @@ def prior_covariance(prior: list, config: InversionConfig) -> np.ndarray:
 
 
 def run(inputs: Inputs, config: InversionConfig) -> Result:
-    """Posterior of a problem that fits the dense bound (larger ones: ``inversion.solve_cg``)."""
+    """Posterior of a problem that fits the dense bound (larger ones: ``solvers.solve_cg``)."""
     seconds: dict[str, float] = {}
 
     def timed(name: str, work):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, timeutil
-from .operators import aggregate, inversion, joins, mobile, qa, report, results, windows
+from .operators import aggregate, covariance, inversion, joins, mobile, qa, report, results, solvers, windows
 from .plans import forward
 from .plans import observations as plan
 from .plans.concentrations import load_concentrations
@@ -554,10 +554,49 @@ def cg_posterior(spark, sf_dir):
     h = jac.selectExpr(*row, *at, "cast(value as double) as value")
     z = read(spark, sf_dir, "orders").selectExpr("o_orderkey as obs", "o_totalprice / 1000 as value").selectExpr(*row, "value")
     prior = jac.select("cell").distinct().selectExpr(*at, "1.0D as value", "0.5D as sigma")
-    out = inversion.solve_cg(h, z, prior, z.withColumn("value", F.lit(1e5)), written)
+    out = solvers.solve_cg(h, z, prior, z.withColumn("value", F.lit(1e5)), written)
     return out.select(F.col("lon").cast("long").alias("cell"), r6("value"))
 
 
+def _yearly_problem(spark, sf_dir):
+    """All of lineitem as operator from a grid of 90 cells and the years of shipping to the orders: operator, observations, prior."""
+    year = F.date_trunc("YEAR", "l_shipdate").cast("timestamp_ntz").alias("time")
+    cell = F.col("l_partkey") % 90
+    lon, lat = F.round(F.lit(-112.2) + (cell % 10) * 0.05, 6).alias("lon"), F.round(F.lit(40.45) + F.floor(cell / 10) * 0.05, 6).alias("lat")
+    place = F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("obs_location")
+    when = F.lit("2024-01-01").cast("timestamp_ntz").alias("obs_time")
+    rows = read(spark, sf_dir, "lineitem").groupBy(place, when, year, lon, lat).agg((F.sum("l_quantity") / 100).alias("value"))
+    h = written(rows, "operator")
+    z = read(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("obs_location"), when, (F.col("o_totalprice") / 1e5).alias("value"))
+    z = z.join(h.select("obs_location").distinct(), "obs_location", "left_semi")
+    prior = h.select("time", "lon", "lat").distinct().withColumns({"value": F.lit(1.0), "sigma": F.lit(0.2)})
+    return h, z, prior
+
+
+def _solved(spark, sf_dir, probes=0):
+    """Prior states correlated over years (2 years) and cells (10 km); the observations' errors have variance 25."""
+    h, z, prior = _yearly_problem(spark, sf_dir)
+    prior = written(prior, "prior")
+    times = written(inversion.kernel_table(prior, "time", 730 * 86400e6), "times")
+    cells = written(covariance.spatial_kernel(prior, 10.0), "cells")
+    c = lambda x: covariance.kronecker_product(x, prior, times, cells, ["probe"])
+    return solvers.solve(h, z, prior, z.withColumn("value", F.lit(25.0)), written, prior_product=c, probes=probes)
+
+
+@query()
+def kronecker_posterior(spark, sf_dir):
+    """Posterior with a prior correlated in space and time, whose covariance is never written."""
+    out = _solved(spark, sf_dir).posterior
+    return out.select("time", "lon", "lat", r6("value"))
+
+
+@query()
+def posterior_information(spark, sf_dir):
+    """Chi-square (exact) and degrees of freedom (eight probes, with their standard error) of the same problem."""
+    f = _solved(spark, sf_dir, probes=8).figures
+    return spark.createDataFrame([(f["n_obs"], f["reduced_chi2"], f["DOFS"], f["DOFS_error"])], "n_obs long, reduced_chi2 double, dofs double, dofs_error double")
+
+
 # --- sweep results -----------------------------------------------------------------------------------
 
 
@@ -853,15 +892,47 @@ _WIND = "case loc " + " ".join(
   select loc as obs_location, date_trunc('day', ti)::timestamp as day, count(*) as n, round(sum(case when own then 0.000765 ** 2 + instr ** 2 else 0 end + case when day then 0.0257 ** 2 else 0 end
     + 0.011 ** 2 * exp(-h / 168) + case when day then (wind + 0.00771 ** 2) * exp(-h / 2.8) else 0 end), 9) as total from p group by 1, 2""")
 def mdm_matrix(spark, sf_dir):
-    """All six components of the model-data mismatch over every hour of events, summed by location and day of the row."""
-    place = F.get(F.array(*map(F.lit, _MDM_SITES)), (F.col("user_id") % 5).cast("int"))
-    rows = read(spark, sf_dir, "events").select(place.alias("obs_location"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).distinct()
-    entries = inversion.mdm_matrix(rows, inversion.mdm_components({}), _MDM_SITES)
-    return entries.groupBy("obs_location", F.date_trunc("DAY", "time_i").cast("timestamp_ntz").alias("day")).agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 9).alias("total")
+    """All six components of the model-data mismatch over every hour of events, summed by location and day of the
+    row: row sums from linear scans, the matrix is not written."""
+    sums = covariance.mismatch_row_sums(_mdm_hours(spark, sf_dir), inversion.mdm_components({}), _MDM_SITES)
+    return sums.groupBy("obs_location", F.date_trunc("DAY", "obs_time").cast("timestamp_ntz").alias("day")).agg(
+        F.sum("n").alias("n"), F.round(F.sum("value"), 9).alias("total")
     )
 
 
+def _mdm_hours(spark, sf_dir):
+    place = F.get(F.array(*map(F.lit, _MDM_SITES)), (F.col("user_id") % 5).cast("int"))
+    return read(spark, sf_dir, "events").select(place.alias("obs_location"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).distinct()
+
+
+def _aggregated(unit: str) -> str:
+    return f"""with {_MDM_OBS}, w as (select loc, t, date_trunc('{unit}', t)::timestamp as bin, instr, ({_WIND})::double as wind from q),
+  n as (select loc, bin, count(*) as n from w group by 1, 2),
+  p as (select a.loc, a.bin as ti, b.bin as tj, a.t = b.t as own, a.t::date = b.t::date as day, a.instr as instr, a.wind * b.wind as wind, abs(epoch_us(a.t) - epoch_us(b.t)) / 3600e6 as h
+    from w a join w b on a.loc = b.loc),
+  s as (select loc, ti, tj, sum(case when own then 0.000765 ** 2 + instr ** 2 else 0 end + case when day then 0.0257 ** 2 else 0 end
+    + 0.011 ** 2 * exp(-h / 168) + case when day then (wind + 0.00771 ** 2) * exp(-h / 2.8) else 0 end) as v from p group by 1, 2, 3)
+  select s.loc as obs_location, ti as time_i, tj as time_j, round(v / (a.n * b.n), 12) as value
+  from s join n a on a.loc = s.loc and a.bin = s.ti join n b on b.loc = s.loc and b.bin = s.tj"""
+
+
+def _aggregated_query(spark, sf_dir, unit):
+    out = covariance.aggregated_mismatch(_mdm_hours(spark, sf_dir), inversion.mdm_components({}), unit, _MDM_SITES)
+    return out.withColumn("value", F.round("value", 12))
+
+
+@query(_aggregated("day"))
+def mdm_daily_means(spark, sf_dir):
+    """W S W' for daily means of every hour of events: within-day sums by recurrence, days linked by factors."""
+    return _aggregated_query(spark, sf_dir, "DAY")
+
+
+@query(_aggregated("week"))
+def mdm_weekly_means(spark, sf_dir):
+    """The same for weekly means: components of a day add up within the week."""
+    return _aggregated_query(spark, sf_dir, "WEEK")
+
+
 _FIELD_SQL = """inv as (select date_trunc('quarter', l_shipdate)::timestamp as time, -112.15 + (l_partkey % 8) * 0.1 as lon, 40.5 + (l_suppkey % 6) * 0.1 as lat, 's' || (l_linenumber % 3) as sector,
   sum(l_quantity) as value from lineitem group by 1, 2, 3, 4)"""
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airflux import queries
-from airflux.operators import inversion
+from airflux.operators import solvers
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,7 @@ def test_step_bound_raises(spark, tmp_path):
     obs = spark.createDataFrame([(str(i), t, float(i)) for i in range(6)], "obs_location string, obs_time timestamp_ntz, value double")
     prior = spark.createDataFrame([(t, float(j), 0.0, 1.0, 1.0) for j in range(6)], "time timestamp_ntz, lon double, lat double, value double, sigma double")
     with pytest.raises(ArithmeticError):
-        inversion.solve_cg(jac, obs, prior, obs.withColumn("value", F.lit(0.01)), written, steps=1)
+        solvers.solve_cg(jac, obs, prior, obs.withColumn("value", F.lit(0.01)), written, steps=1)
 
 
 def test_whole_operator_against_normal_equations(spark):

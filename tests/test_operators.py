@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from airflux.operators import aggregate, curvefit, inversion, joins, qa, results, windows
+from airflux.operators import aggregate, curvefit, inversion, joins, qa, results, solvers, windows
 from airflux.plans import sweep
 from airflux.plans.cache import cached
 from airflux.plans.config import InversionConfig, component_hash, config_id
@@ -242,7 +242,7 @@ def test_solvers_agree(spark, tmp_path):
     np.testing.assert_allclose(dense["posterior"], s0 + k @ (z - h @ s0), atol=1e-10)
     assert abs(dense["DOFS"] - np.trace(k @ h)) < 1e-10 and 0 < dense["uncertainty_reduction"] < 1
     obs_df = spark.createDataFrame([(*o, float(v)) for o, v in zip(obs, z)], "obs_location string, obs_time timestamp_ntz, value double")
-    got = inversion.solve_cg(jac, obs_df, prior.withColumn("sigma", F.lit(sigma)), obs_df.withColumn("value", F.lit(var)), written, steps=12)
+    got = solvers.solve_cg(jac, obs_df, prior.withColumn("sigma", F.lit(sigma)), obs_df.withColumn("value", F.lit(var)), written, steps=12)
     by = {(r["lon"], r["lat"]): r["value"] for r in got.collect()}
     np.testing.assert_allclose([by[c[1:]] for c in cells], dense["posterior"], atol=1e-6)
 
