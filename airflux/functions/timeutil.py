@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def floor_period(ts: Column, freq: str) -> Column:
     return F.date_trunc(PERIOD_UNITS[unit.lower()], ts).cast("timestamp_ntz")
 
 
+def week_start(ts: Column, start: str, weeks: int) -> Column:
+    """Start of the bin of ``weeks`` weeks that holds ``ts``, as ``flux_bins`` lays them from the first Sunday on or after ``start``."""
+    day = datetime.fromisoformat(str(start)).date()
+    first = day + timedelta(days=(6 - day.weekday()) % 7)
+    width, origin = weeks * 604_800 * US, F.lit((first - date(1970, 1, 1)).days * 86_400 * US)
+    return F.timestamp_micros(micros(ts) - F.pmod(micros(ts) - origin, F.lit(width))).cast("timestamp_ntz")
+
+
+def truncated(unit: str | Callable[[Column], Column], ts: Column) -> Column:
+    """Start of the period of ``ts``: a calendar unit, or whatever a function makes of it."""
+    return (F.date_trunc(unit, ts) if isinstance(unit, str) else unit(ts)).cast("timestamp_ntz")
+
+
 def tumbling(ts: Column, freq: str) -> Column:
     """Start of the fixed window of full length ``freq`` (the multiplier counts here)."""
     width = duration_us(freq)

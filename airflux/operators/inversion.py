@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_area_m2
-from ..functions.timeutil import duration_us, micros, season
+from ..functions.timeutil import duration_us, micros, season, truncated
 
 MOST_DENSE = 5000  # observations or states of a dense solve on the driver
 MOST_TIMES = 100_000  # distinct times matched on the driver
@@ -133,7 +133,7 @@ def footprint_jacobian(foot: DataFrame, dx: float, dy: float, xmin: float, ymin:
     """Footprint cells summed to grid cells and flux bins, by receptor."""
     snap = lambda c, o, d: F.round(F.lit(o) + (F.floor((F.col(c) - o) / d + 1e-9) + 0.5) * d, 9)
     rows = foot.select(
-        *OBS, F.date_trunc(bin_unit, "foot_time").cast("timestamp_ntz").alias("time"), snap("lon", xmin, dx).alias("lon"), snap("lat", ymin, dy).alias("lat"), "foot"
+        *OBS, truncated(bin_unit, F.col("foot_time")).alias("time"), snap("lon", xmin, dx).alias("lon"), snap("lat", ymin, dy).alias("lat"), "foot"
     )
     return rows.groupBy(*OBS, *STATE).agg(F.sum("foot").alias("value"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import flux_bins
+from ..functions.timeutil import flux_bins, truncated, week_start
+from ..operators import covariance
 from ..operators import inversion as inv
 from ..operators import qa
 from ..sources import registry
@@ -19,6 +21,16 @@ from .inversion import Inputs, Result, enough, run
 UNITS = {"MS": "MONTH", "QS": "QUARTER", "YS": "YEAR", "D": "DAY"}
 
 
+def unit_of(config: InversionConfig):
+    """Period of the flux bins: a calendar unit, or a function for bins of weeks; others raise ValueError."""
+    if config.flux_freq in UNITS:
+        return UNITS[config.flux_freq]
+    weeks = re.fullmatch(r"(\d*)W", config.flux_freq)
+    if not weeks:
+        raise ValueError(f"not a flux frequency: {config.flux_freq!r}")
+    return lambda ts: week_start(ts, config.tstart, int(weeks[1] or 1))
+
+
 @dataclass
 class Tables:
     """readings: raw observations (Time_UTC, site, instrument, CH4, ...); foot: footprints by simulation.
@@ -55,11 +67,11 @@ def prior_of(spark: SparkSession, tables: Tables, config: InversionConfig) -> Da
 def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, write: Callable[[DataFrame, str], DataFrame]) -> Inputs:
     """Observations, prior, operator, constant, covariances and, with ``bias_std``, the bias block.
 
-    Observations are those of the configuration's range and hours, outside its events and spike days,
+    Observations are those of the configuration's sites, range and hours (at its offset from UTC), outside its events and spike days,
     with a background, of bins with enough observations and simulations; the operator has rows for
     these.  ``write(df, name)`` stores a table that several of them read.
     """
-    unit, orgs = UNITS[config.flux_freq], tables.orgs or {r[0]: r[2] for r in registry.SITES}
+    unit, orgs = unit_of(config), tables.orgs or {r[0]: r[2] for r in registry.SITES}
     vector = observations.observation_vector(
         tables.readings,
         hours=list(config.subset_hours),
@@ -67,6 +79,8 @@ def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, writ
         spike_percentile=config.spike_percentile if config.filter_spikes else None,
         expected=tables.expected,
         place=[],
+        utc_offset=config.utc_offset,
+        sites=list(config.sites),
     )
     vector = qa.trim(vector, config.tstart, config.tend, "obs_time")
     background = observations.background(config.background, vector, tables.daily, **config.background_kwargs)
@@ -76,9 +90,10 @@ def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, writ
     foot = forward.relevant(tables.foot, places, config.location_site_map, config.subset_hours_utc, footprint)
     both = enough(both, config.min_obs_per_interval, unit)
     bins = forward.enough_simulations(foot, config.min_sims_per_interval, unit).withColumnRenamed("bin", "__bin")
-    both = both.withColumn("__bin", F.date_trunc(unit, "obs_time")).join(F.broadcast(bins), "__bin", "left_semi").drop("__bin")
+    both = both.withColumn("__bin", truncated(unit, F.col("obs_time"))).join(F.broadcast(bins), "__bin", "left_semi").drop("__bin")
     if config.aggregate_obs:
-        step = {True: "DAY", "D": "DAY", "1D": "DAY"}[config.aggregate_obs]
+        both = write(both, "hours")
+        hours, step = both.select(*inv.OBS), {True: "DAY", "D": "DAY", "1D": "DAY"}[config.aggregate_obs]
         means = both.withColumn("obs_time", F.date_trunc(step, "obs_time").cast("timestamp_ntz"))
         n = means.groupBy(*inv.OBS).agg(F.count("*").alias("__n"))
         foot = foot.join(both.select(*inv.OBS), inv.OBS, "left_semi")
@@ -98,7 +113,15 @@ def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, writ
         if "grp" not in bias.columns:
             bias, entries = (t.withColumn("grp", F.lit("all")) for t in (bias, entries))
     value = lambda c: both.select(*inv.OBS, F.col(c).alias("value"))
-    mismatch = lambda z: inv.mdm_matrix(z, config.mdm, orgs)
+
+    def mismatch(z: DataFrame) -> DataFrame:
+        """Covariance of the observations ``z``: of means, where they are means, W S W' of the hours behind them."""
+        if not config.aggregate_obs:
+            return inv.mdm_matrix(z, config.mdm, orgs)
+        own = hours.withColumn("__mean", F.date_trunc(step, "obs_time").cast("timestamp_ntz"))
+        own = own.join(z.select("obs_location", F.col("obs_time").alias("__mean")), ["obs_location", "__mean"], "left_semi")
+        return covariance.aggregated_mismatch(own.select(*inv.OBS), config.mdm, step, orgs)
+
     return Inputs(value("CH4"), prior, jac, value("background"), mismatch, bias, entries)
 
 

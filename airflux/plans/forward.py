@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import truncated
+
 
 def finest(resolutions: dict[str, float]) -> str:
     """The footprint with the smallest cell width of those configured; none: ValueError."""
@@ -52,4 +54,4 @@ def relevant(
 def enough_simulations(foot: DataFrame, least: int, unit: str = "MONTH") -> DataFrame:
     """Bins (bin) that ``least`` or more simulations of ``relevant`` rows fall into."""
     sims = foot.select("obs_location", "obs_time").distinct()
-    return sims.groupBy(F.date_trunc(unit, "obs_time").alias("bin")).agg(F.count("*").alias("n")).where(f"n >= {least}").select("bin")
+    return sims.groupBy(truncated(unit, F.col("obs_time")).alias("bin")).agg(F.count("*").alias("n")).where(f"n >= {least}").select("bin")

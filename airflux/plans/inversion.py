@@ -10,11 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import duration_us
+from ..functions.timeutil import duration_us, truncated
 from ..operators import inversion as inv
 from .config import InversionConfig
 
 
+Unit = str | Callable  # of a period: a calendar unit, or a function from times to their period's start
+
+
 @dataclass
 class Inputs:
     """obs, constant: (obs_location, obs_time, value); prior: (time, lon, lat, value); jacobian: their product's entries.
@@ -39,9 +42,9 @@ class Result:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def enough(obs: DataFrame, least: int, unit: str = "MONTH") -> DataFrame:
+def enough(obs: DataFrame, least: int, unit: Unit = "MONTH") -> DataFrame:
     """Observations of intervals that hold ``least`` or more."""
-    rows = obs.withColumn("__bin", F.date_trunc(unit, "obs_time"))
+    rows = obs.withColumn("__bin", truncated(unit, F.col("obs_time")))
     kept = rows.groupBy("__bin").agg(F.count("*").alias("n")).where(f"n >= {least}").select("__bin")
     return rows.join(kept, "__bin", "left_semi").drop("__bin")
 

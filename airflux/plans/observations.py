@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import UTC_OFFSET
 from ..operators import qa
 from ..operators.aggregate import aggregate_obs
 from ..operators.joins import daily_join, exclude_events
@@ -38,11 +39,16 @@ def observation_vector(
     mobile_count: int | None = 10,
     expected: dict[str, float] | None = None,
     place: list[str] | None = None,
+    utc_offset: int = UTC_OFFSET,
+    sites: list[str] = (),
 ) -> DataFrame:
-    """(obs_location, obs_time, CH4): checked, filtered, hourly, completeness-gated, keyed by location."""
-    rows = qa.with_valid(obs, ["CH4"])
+    """(obs_location, obs_time, CH4): checked, filtered, hourly, completeness-gated, keyed by location.
+
+    ``hours`` are local ones at ``utc_offset``; with ``sites`` the readings of others are left out, as are those
+    whose site is null."""
+    rows = qa.with_valid(obs.where(F.col("site").isin(list(sites))) if sites else obs, ["CH4"])
     if hours:
-        rows = qa.local_hours(rows, hours)
+        rows = qa.local_hours(rows, hours, utc_offset)
     if events:
         rows = exclude_events(rows, list(events))
     if spike_percentile is not None:

@@ -149,6 +149,29 @@ def test_assembly(spark, tmp_path):
     assert daily.bias is None and 0 < daily.obs.count() < made.obs.count() / 3
     whole, part = (x.jacobian.agg(F.sum("value")).first()[0] / x.obs.count() for x in (made, daily))
     assert abs(whole - part) < 0.05 * whole
+    # The covariance of daily means is W S W' of the hourly one.
+    entries = {tuple(r)[:3]: r["value"] for r in made.obs_cov(made.obs).collect()}
+    days = {}
+    for place, t in keys:
+        days.setdefault((place, t.replace(hour=0)), []).append(t)
+    got = {(r["obs_location"], r["time_i"], r["time_j"]): r["value"] for r in daily.obs_cov(daily.obs).collect()}
+    assert len(got) == len(days) ** 2
+    for (p, a), left in days.items():
+        for (_, b), right in days.items():
+            want = sum(entries.get((p, t, u), 0.0) for t in left for u in right) / (len(left) * len(right))
+            assert abs(got[p, a, b] - want) < 1e-12
+    # Sites and the offset from UTC count: another site's readings go, other hours stay.
+    more = dataclasses.replace(tables, readings=tables.readings.unionByName(tables.readings.withColumn("site", F.lit("hw"))))
+    assert {tuple(r) for r in assembly.assembled(spark, more, config, write).obs.select("obs_location", "obs_time").collect()} == keys
+    shifted = assembly.assembled(spark, tables, dataclasses.replace(config, utc_offset=-5, subset_hours=(14, 15), min_obs_per_interval=5, min_sims_per_interval=5), write)
+    assert {r["obs_time"].hour for r in shifted.obs.collect()} == {19, 20} and shifted.jacobian.select("obs_time").distinct().count() == shifted.obs.count()
+    # Bins of two weeks.
+    weekly = assembly.assembled(spark, tables, dataclasses.replace(config, flux_freq="2W", min_obs_per_interval=5, min_sims_per_interval=5), write)
+    starts = {r[0] for r in weekly.prior.select("time").distinct().collect()}
+    assert starts == {datetime(2024, 1, 7), datetime(2024, 1, 21), datetime(2024, 2, 4)}
+    assert {r[0] for r in weekly.jacobian.select("time").distinct().collect()} <= starts and weekly.jacobian.count() > 0
+    with pytest.raises(ValueError):
+        assembly.unit_of(dataclasses.replace(config, flux_freq="3D"))
     few = assembly.assembled(spark, tables, dataclasses.replace(config, min_sims_per_interval=10_000), write)
     assert few.obs.count() == 0
     with pytest.raises(ValueError):
