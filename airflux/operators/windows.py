@@ -7,10 +7,18 @@ not by key alone, and a long record is worked on in parallel.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.timeutil import duration_us, micros
+from ..scratch import written
 
 
 def stretched(df: DataFrame, time: str, before_us: int, after_us: int = 0, least_us: int = 86_400_000_000) -> DataFrame:
@@ -24,39 +32,143 @@ def stretched(df: DataFrame, time: str, before_us: int, after_us: int = 0, least
     return out.withColumn("__own", F.col("__stretch") == F.col("__at")).drop("__at")
 
 
-def rolling(df: DataFrame, keys: list[str], time: str, before_us: int, after_us: int, outs) -> DataFrame:
-    """``df`` plus columns over the rows in [t - before, t + after] of each row; ``outs(window)`` makes them."""
-    rows = stretched(df, time, before_us, after_us)
-    window = Window.partitionBy(*keys, "__stretch").orderBy("__us").rangeBetween(-before_us, after_us)
-    return rows.withColumns(outs(window)).where("__own").drop("__us", "__stretch", "__own")
+def rolling(df: DataFrame, keys: list[str], time: str, before_us: int, after_us: int, columns: list[Column], name: str, evaluate) -> DataFrame:
+    """``df`` plus the double ``name`` over the rows in [t - before, t + after] of each row.
+
+    ``evaluate(values, first, stop, at)`` gets the ``columns`` as arrays (null: nan) in the order of time, and for
+    each distinct time the rows first..stop of its window; ``at`` maps rows to distinct times.  It works on one
+    stretch of one key in an Arrow batch, in linear or n log n time.  Rows with a null time are left out; rows with
+    equal times have equal windows; null keys are a key; an empty table gives an empty one."""
+    inputs = [f"__in{k}" for k in range(len(columns))]
+    rows = stretched(df.withColumns(dict(zip(inputs, (c.cast("double") for c in columns)))), time, before_us, after_us)
+    names = df.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["__us"]))
+        us = table["__us"].to_numpy()
+        moments, at = np.unique(us, return_inverse=True)
+        values = [pc.fill_null(table[c], np.nan).to_numpy() for c in inputs]
+        first, stop = np.searchsorted(us, moments - before_us), np.searchsorted(us, moments + after_us, side="right")
+        out = evaluate(values, first, stop, at)
+        made = table.select(names).append_column(name, pa.array(out[at], pa.float64(), mask=np.isnan(out[at])))
+        return made.filter(table["__own"])
+
+    kind = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    return rows.groupBy(*keys, "__stretch").applyInArrow(run, kind)
+
+
+class Ranks:
+    """Counts by rank in a Fenwick tree: add, remove and find the k-th smallest in O(log n)."""
+
+    def __init__(self, size: int):
+        self.size, self.tree, self.top = size, [0] * (size + 1), 1 << max(size.bit_length() - 1, 0)
+
+    def add(self, rank: int, by: int) -> None:
+        tree, i = self.tree, rank + 1
+        while i <= self.size:
+            tree[i] += by
+            i += i & -i
+
+    def smallest(self, k: int) -> int:
+        """Rank of the k-th smallest, k from 0."""
+        tree, i, step, left = self.tree, 0, self.top, k + 1
+        while step:
+            j = i + step
+            if j <= self.size and tree[j] < left:
+                i, left = j, left - tree[j]
+            step >>= 1
+        return i
+
+
+def sliding_percentile(q: float, least: int):
+    """Exact percentile (between neighbours by share) of each window with ``least`` or more values."""
+
+    def evaluate(values, first, stop, at) -> np.ndarray:
+        (v,) = values
+        some = ~np.isnan(v)
+        ranked, rank = np.unique(v[some], return_inverse=True)
+        place = np.full(len(v), -1, np.int64)
+        place[some] = rank
+        places, ranks, out = place.tolist(), Ranks(len(ranked)), np.full(len(first), np.nan)
+        lo = hi = n = 0
+        for k, (a, b) in enumerate(zip(first.tolist(), stop.tolist())):
+            for r in places[hi:b]:
+                if r >= 0:
+                    ranks.add(r, 1)
+                    n += 1
+            for r in places[lo:a]:
+                if r >= 0:
+                    ranks.add(r, -1)
+                    n -= 1
+            lo, hi = a, b
+            if n and n >= least:
+                x = q * (n - 1)
+                low, share = int(x), x - int(x)
+                below = ranked[ranks.smallest(low)]
+                out[k] = below if share == 0 else below * (1 - share) + ranked[ranks.smallest(low + 1)] * share
+        return out
+
+    return evaluate
+
+
+def _sums(x: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Sums of the windows, by differences of running sums in extended precision."""
+    run = np.append(np.longdouble(0), np.cumsum(x.astype(np.longdouble)))
+    return run[stop] - run[first]
+
+
+def _centred(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return np.where(some, x - (x[some].mean() if some.any() else 0.0), 0.0)
+
+
+def sliding_mean(values, first, stop, at) -> np.ndarray:
+    (v,) = values
+    some = ~np.isnan(v)
+    n, middle = _sums(some, first, stop), v[some].mean() if some.any() else 0.0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n > 0, _sums(_centred(v, some), first, stop) / n + middle, np.nan).astype(np.float64)
+
+
+def sliding_corr(values, first, stop, at) -> np.ndarray:
+    """Correlation of each window; nan where a column has one value in it."""
+    some = ~np.isnan(values[0]) & ~np.isnan(values[1])
+    x, y = (_centred(v, some) for v in values)
+    n, sx, sy, sxy, sxx, syy = (_sums(c, first, stop) for c in (some, x, y, x * y, x * x, y * y))
+    kept = np.flatnonzero(some)
+    # How often a value differs from the one before, among rows with both: none within a window, and it is constant.
+    lo, hi = np.searchsorted(kept, first), np.searchsorted(kept, stop)
+    varies = n > 1
+    for v in values:
+        changes = np.append(0, np.cumsum(np.append(0, v[kept][1:] != v[kept][:-1]))) if len(kept) else np.zeros(1, np.int64)
+        varies &= changes[hi] > changes[np.minimum(lo + 1, len(kept))]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        out = np.where(varies, (sxy - sx * sy / n) / np.sqrt(vx * vy), np.nan).astype(np.float64)
+    # Where larger values elsewhere in the stretch have taken the digits of a window, it is summed by itself.
+    total = lambda c: np.append(0, np.cumsum(c.astype(np.longdouble)))[stop]
+    weak = varies & ((vx < 1e-9 * total(x * x)) | (vy < 1e-9 * total(y * y)))
+    for k in np.flatnonzero(weak):
+        u, w = (v[first[k] : stop[k]][some[first[k] : stop[k]]] for v in values)
+        u, w = u - u.mean(), w - w.mean()
+        spread = np.sqrt((u @ u) * (w @ w))
+        out[k] = u @ w / spread if spread > 0 else np.nan
+    return out
 
 
 def rolling_baseline(df: DataFrame, keys: list[str], time: str, value: str, window: str = "14d", q: float = 0.01, min_periods: int = 84, name: str = "baseline") -> DataFrame:
     """Exact low percentile of the trailing window (t - w, t]; null where it has fewer than ``min_periods`` values."""
-    width = duration_us(window)
-    made = lambda w: {
-        name: F.when(F.count(value).over(w) >= min_periods, F.percentile(value, F.lit(q)).over(w))
-    }
-    return rolling(df, keys, time, width - 1, 0, made)
+    return rolling(df, keys, time, duration_us(window) - 1, 0, [F.col(value)], name, sliding_percentile(q, min_periods))
 
 
 def rolling_corr(df: DataFrame, keys: list[str], time: str, a: str, b: str, window: str = "30s", name: str = "r") -> DataFrame:
     """Correlation over (t - w, t]; null where either column is constant there."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-
-    def made(w) -> dict:
-        spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
-        varies = (F.min(x).over(w) < F.max(x).over(w)) & (F.min(y).over(w) < F.max(y).over(w))
-        return {name: F.when(varies, F.try_divide(F.covar_pop(x, y).over(w), spread))}
-
-    return rolling(df, keys, time, duration_us(window) - 1, 0, made)
+    return rolling(df, keys, time, duration_us(window) - 1, 0, [F.col(a), F.col(b)], name, sliding_corr)
 
 
 def centered_mean(df: DataFrame, keys: list[str], time: str, value: str, window: str = "30d", name: str = "smooth") -> DataFrame:
     """Mean over (t - w/2, t + w/2]."""
     half = duration_us(window) // 2
-    return rolling(df, keys, time, half - 1, half, lambda w: {name: F.avg(value).over(w)})
+    return rolling(df, keys, time, half - 1, half, [F.col(value)], name, sliding_mean)
 
 
 def enhancement(value: str, baseline: str) -> Column:
@@ -75,19 +187,70 @@ def gaps(df: DataFrame, keys: list[str], time: str, longer: str = "7d") -> DataF
     return rows.where(micros(F.col(time)) - micros(F.col("gap_start")) > duration_us(longer)).select(*keys, "gap_start", F.col(time).alias("gap_end"))
 
 
+STRETCH, MERGED = "30d", 64  # of islands: time of a first stretch, and stretches merged at a time
+
+
 def islands(df: DataFrame, keys: list[str], time: str, flag: Column, least: int = 3) -> DataFrame:
-    """Runs of ``least`` or more successive rows with ``flag``: (keys, start, end, n).  Null is not flagged."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    rows = df.withColumn("__f", F.coalesce(flag, F.lit(False)))
-    run = F.row_number().over(w) - F.sum(F.col("__f").cast("int")).over(w)
-    return (
-        rows.withColumn("__run", run)
-        .where("__f")
-        .groupBy(*keys, "__run")
-        .agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
-        .where(f"n >= {least}")
-        .drop("__run")
+    """Runs of ``least`` or more successive rows with ``flag``: (keys, start, end, n).  Null is not flagged.
+
+    Runs are found within stretches of time, then stretches are merged by 64: only the runs at their ends
+    can go on, so a stretch is one row and no key is one task.  Rows with a null time are left out; a null key is
+    a key; the order of rows with equal times is not defined."""
+    names = [f"k{k}" for k in range(len(keys))]
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    span = duration_us(STRETCH)
+    rows = df.where(F.col(time).isNotNull()).select(
+        *(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(time).alias("time"), F.coalesce(flag, F.lit(False)).alias("flag"), F.floor(micros(F.col(time)) / span).cast("long").alias("at")
     )
+    ends = ["n", "start", "end"]
+    cols = [*names, "at", "done", "solid", *(f"{side}_{c}" for side in "lr" for c in ends)]
+    run_kind = lambda side: f"{side}_n long, {side}_start {kind[time]}, {side}_end {kind[time]}"
+    out_kind = ", ".join([*(f"{n} {kind[k]}" for k, n in zip(keys, names)), "at long, done boolean, solid boolean", run_kind("l"), run_kind("r")])
+    none = (0, None, None)
+
+    def table(pdf: pd.DataFrame, made: list[tuple]) -> pd.DataFrame:
+        head = tuple(pdf[n].iloc[0] for n in names)
+        out = pd.DataFrame([(*head, int(pdf["at"].iloc[0]), *row) for row in made], columns=cols)
+        return out.astype({c: "datetime64[us]" for c in cols if c.endswith(("_start", "_end"))})
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time", kind="stable", ignore_index=True)
+        on, when = pdf["flag"].to_numpy(bool), pdf["time"]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
+        runs = [(b - a, when[a], when[b - 1], a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        left = next((r[:3] for r in runs if r[3] == 0), none)
+        right = next((r[:3] for r in runs if r[4] == len(on)), none)
+        inner = [(True, False, *r[:3], *none) for r in runs if r[3] > 0 and r[4] < len(on)]
+        return table(pdf, [(False, bool(on.all()), *left, *right), *inner])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("before", ignore_index=True)
+        join = lambda a, b: (a[0] + b[0], a[1] if a[0] else b[1], b[2] if b[0] else a[2])
+        left, run, inner = None, none, []
+        for solid, *row in pdf[["solid", *cols[-6:]]].itertuples(index=False):
+            run = join(run, tuple(row[:3]))
+            if not solid:
+                if left is None:
+                    left = run
+                elif run[0]:
+                    inner.append((True, False, *run, *none))
+                run = tuple(row[3:])
+        whole = (False, True, *run, *run) if left is None else (False, False, *left, *run)
+        return table(pdf, [whole, *inner])
+
+    span_of = rows.agg(F.min("at"), F.max("at")).first()
+    parts = rows.groupBy(*names, "at").applyInPandas(found, out_kind)
+    parts = [parts] if span_of[0] is None else [written(parts, "runs")]
+    low, high = span_of[0] or 0, span_of[1] or 0
+    while low != high:
+        low, high = low // MERGED, high // MERGED
+        ends_ = parts[-1].where("not done").withColumn("before", F.col("at")).withColumn("at", F.floor(F.col("at") / MERGED).cast("long"))
+        parts.append(written(ends_.groupBy(*names, "at").applyInPandas(merged, out_kind), "runs"))
+    pick = lambda df, side: df.select(*names, *(F.col(f"{side}_{c}").alias(c) for c in ends))
+    done = reduce(DataFrame.unionByName, [pick(p.where("done"), "l") for p in parts])
+    last = parts[-1].where("not done")
+    done = done.unionByName(pick(last, "l")).unionByName(pick(last.where("not solid"), "r"))
+    return done.where(f"n >= {least}").select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "start", "end", "n")
 
 
 def heat_deficit(soundings: DataFrame, keys: list[str], z: str = "z", theta: str = "theta", density: str = "rho", top: float = 2200.0) -> DataFrame:
