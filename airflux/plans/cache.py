@@ -11,14 +11,18 @@ from .config import InversionConfig, component_hash
 
 #: Fields that each component depends on.
 SPACE = ["tstart", "tend", "flux_freq"]
+HOURS = ["tstart", "tend", "subset_hours", "utc_offset", "sites", "filter_pcaps", "filter_spikes", "spike_percentile"]
+#: What decides which observations stay: those with a background, in bins with enough of them and of simulations.
+CHOSEN = [*HOURS, "flux_freq", "background", "background_kwargs", "min_obs_per_interval", "min_sims_per_interval", "location_site_map", "footprint_path", "aggregate_obs"]
+GRID = [*SPACE, "xmin", "xmax", "ymin", "ymax", "dx", "dy", "prior", "prior_kwargs", "output_units"]
 DEPENDS = {
-    "obs": ["tstart", "tend", "subset_hours", "utc_offset", "sites", "filter_pcaps", "filter_spikes", "spike_percentile"],
-    "prior": [*SPACE, "xmin", "xmax", "ymin", "ymax", "dx", "dy", "prior", "prior_kwargs", "bias_std", "bias_grouping"],
+    "obs": CHOSEN,
+    "constant": CHOSEN,
+    "prior": [*GRID, "bias_std", "bias_grouping"],
+    "modeldata_mismatch": [*CHOSEN, "mdm_config"],
 }
-DEPENDS["forward_operator"] = sorted({*DEPENDS["obs"], *DEPENDS["prior"], "location_site_map"})
+DEPENDS["forward_operator"] = sorted({*CHOSEN, *DEPENDS["prior"]})
 DEPENDS["prior_error"] = [*DEPENDS["prior"], "prior_base_std", "prior_std_frac", "prior_time_scale", "prior_spatial_scale"]
-DEPENDS["modeldata_mismatch"] = [*DEPENDS["obs"], "mdm_config", "min_obs_per_interval", "min_sims_per_interval"]
-DEPENDS["constant"] = [*DEPENDS["obs"], "background", "background_kwargs"]
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

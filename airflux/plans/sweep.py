@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import InversionConfig, config_id, plain
+from .config import InversionConfig, config_id
 
 ROW = "config_id string, error string, runtime_seconds double, metrics map<string,double>, cfg map<string,string>"
 
@@ -31,7 +31,7 @@ def build_grid(base: InversionConfig, grid: dict[str, list], known: list[Inversi
 
 
 def grid_table(spark: SparkSession, configs: list[InversionConfig]) -> DataFrame:
-    rows = [(k, config_id(c), json.dumps(plain(dataclasses.asdict(c)), sort_keys=True)) for k, c in enumerate(configs)]
+    rows = [(k, config_id(c), json.dumps(dataclasses.asdict(c), sort_keys=True, default=str)) for k, c in enumerate(configs)]
     return spark.createDataFrame(rows, "index int, config_id string, config string")
 
 
@@ -45,7 +45,7 @@ def from_row(row) -> InversionConfig:
 def run_one(config: InversionConfig, solve: Callable[[InversionConfig], dict[str, float]]) -> tuple:
     """One result row; an error is a row of the same shape."""
     began = time.time()
-    cfg = {f.name: json.dumps(plain(getattr(config, f.name))) for f in dataclasses.fields(config)}
+    cfg = {f.name: json.dumps(getattr(config, f.name), sort_keys=True, default=str) for f in dataclasses.fields(config)}
     try:
         metrics, error = {k: None if v is None else float(v) for k, v in solve(config).items()}, None
     except Exception as problem:  # a failed configuration must not end the sweep

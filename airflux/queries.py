@@ -207,7 +207,7 @@ def json_props(spark, sf_dir):
 
 @query("""select sha256(o_orderpriority || '|' || o_orderstatus)[1:12] as hash, count(*) as n from orders group by 1""")
 def config_hash(spark, sf_dir):
-    key = F.substring(F.sha2(F.concat_ws("|", "o_orderpriority", "o_orderstatus"), 256), 1, 12)
+    key = writers.row_hash(["o_orderpriority", "o_orderstatus"], 12)
     return read(spark, sf_dir, "orders").groupBy(key.alias("hash")).agg(F.count("*").alias("n"))
 
 
@@ -287,6 +287,13 @@ def rolling_baseline(spark, sf_dir):
     return out.select("event_id", "site", r6("baseline"))
 
 
+@query(f"""with {OBS} select event_id, site, round(case when count("CH4") over w >= 84 then quantile_cont("CH4", 0.01) over w end, 6) as baseline from obs
+  window w as (partition by site order by "Time_UTC" range between interval '13 days 23:59:59.999999' preceding and current row)""")
+def rolling_baseline_14d(spark, sf_dir):
+    """The operator's own window and least count."""
+    return windows.rolling_baseline(obs(spark, sf_dir), ["site"], "Time_UTC", "CH4").select("event_id", "site", r6("baseline"))
+
+
 @query(f"""with {OBS} select event_id, round("CH4" - case when count("CH4") over w >= 3 then quantile_cont("CH4", 0.01) over w end, 6) as ex,
   round("CH4" / nullif("QAQC_Flag", 0), 6) as ratio from obs
   window w as (partition by site order by "Time_UTC" range between interval '05:59:59.999999' preceding and current row)""")
@@ -342,16 +349,13 @@ def site_mean(spark, sf_dir):
 # --- grids, operators, covariances -----------------------------------------------------------------
 
 
-def _bins(spark):
-    return timeutil.flux_bins(spark, "1995-01-15", "1998-03-10", "MS")
-
-
-_BINS_SQL = """bins as (select unnest(generate_series(timestamp '1995-02-01', timestamp '1998-02-01', interval 1 month)) as bin_start)"""
+_ORDER_BINS = """bins as (select unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month))::timestamp as bin_start from orders)"""
 
 
-@query(f"with {_BINS_SQL} select bin_start, bin_start + interval 1 month as bin_end from bins")
+@query(f"with {_ORDER_BINS} select bin_start, bin_start + interval 1 month as bin_end from bins")
 def flux_bins(spark, sf_dir):
-    return _bins(spark)
+    """Months of the orders."""
+    return _order_bins(spark, sf_dir)
 
 
 def _order_bins(spark, sf_dir):
@@ -367,7 +371,6 @@ def _bias(spark, sf_dir, grouping):
     return jac.groupBy("time", *["grp"] * (grouping is not None)).agg(F.sum("value").alias("total"), F.count_distinct("obs_location").alias("places"))
 
 
-_ORDER_BINS = """bins as (select unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month))::timestamp as bin_start from orders)"""
 _BIAS = f"with {_ORDER_BINS}, j as (select o_orderpriority as loc, o_orderdate as t, b.bin_start as time from orders join bins b on b.bin_start <= o_orderdate and o_orderdate < b.bin_start + interval 1 month)"
 
 
@@ -387,16 +390,22 @@ def bias_jacobian_group(spark, sf_dir):
     return _bias(spark, sf_dir, "site_group")
 
 
-@query("""select round(-112.2 + (i + 0.5) * 0.05, 9) as lon, round(40.45 + (j + 0.5) * 0.06, 9) as lat from range(9) a(i), range(8) b(j)""")
+@query(f"""with {OBS}, g as (select i, j, round(-112.2 + (i + 0.5) * 0.05, 9) as lon, round(40.45 + (j + 0.5) * 0.06, 9) as lat from range(9) a(i), range(8) b(j)),
+  n as (select floor((longitude + 112.2) / 0.05 + 1e-9)::int as i, floor((latitude - 40.45) / 0.06 + 1e-9)::int as j, count(*) as n from obs group by 1, 2)
+  select lon, lat, coalesce(n, 0) as n from g left join n using (i, j)""")
 def grid_cells(spark, sf_dir):
-    return inversion.regular_grid(spark, -112.2, -111.75, 40.45, 40.93, 0.05, 0.06)
+    """Cells of the grid with the number of readings in each, none included."""
+    grid = inversion.regular_grid(spark, -112.2, -111.75, 40.45, 40.93, 0.05, 0.06)
+    at = lambda c, o, d: F.round(F.lit(o) + (F.floor((F.col(c) - o) / d + 1e-9) + 0.5) * d, 9)
+    n = obs(spark, sf_dir).groupBy(at("longitude", -112.2, 0.05).alias("lon"), at("latitude", 40.45, 0.06).alias("lat")).agg(F.count("*").alias("n"))
+    return grid.join(n, ["lon", "lat"], "left").fillna(0, ["n"])
 
 
-@query(f"""with {_BINS_SQL} select bin_start as time, round(-112.2 + (i + 0.5) * 0.15, 9) as lon, round(40.45 + (j + 0.5) * 0.16, 9) as lat, 0.02::double as value
+@query(f"""with {_ORDER_BINS} select bin_start as time, round(-112.2 + (i + 0.5) * 0.15, 9) as lon, round(40.45 + (j + 0.5) * 0.16, 9) as lat, 0.02::double as value
   from range(3) a(i), range(3) b(j), bins""")
 def constant_prior(spark, sf_dir):
     grid = inversion.regular_grid(spark, -112.2, -111.75, 40.45, 40.93, 0.15, 0.16)
-    return inversion.constant_prior(grid, _bins(spark), 0.02)
+    return inversion.constant_prior(grid, _order_bins(spark, sf_dir), 0.02)
 
 
 @query(f"""with {COO}, n as (select count(distinct obs) as n from coo), c as (select cell, sum(abs(v)) / max(n) as coverage from coo, n group by 1)
@@ -658,9 +667,15 @@ def _values(rows: list[tuple], columns: str) -> str:
 _SITE_VALUES = _values(registry.SITES, "stid, name, organization, type, active, latitude, longitude, height_agl, instruments")
 
 
-@query(f"select * exclude (instruments), array_to_string(string_split(instruments, ' '), '+') as instruments from {_SITE_VALUES}")
+_PLACES = ["wbb", "hw", "bv", "zz", "hdp"]
+_PLACE_COUNTS = f"""n as (select ['{"', '".join(_PLACES)}'][user_id % 5 + 1] as stid, count(*) as n from events group by 1)"""
+
+
+@query(f"with {_PLACE_COUNTS} select s.* exclude (instruments), array_to_string(string_split(instruments, ' '), '+') as instruments, coalesce(n, 0) as n from (select * from {_SITE_VALUES}) s left join n using (stid)")
 def site_table(spark, sf_dir):
-    return registry.sites(spark).withColumn("instruments", F.array_join("instruments", "+"))
+    """The sites, with the number of their readings in the archive."""
+    n = _archive(spark, sf_dir).groupBy(F.col("site").alias("stid")).agg(F.count("*").alias("n"))
+    return registry.sites(spark).withColumn("instruments", F.array_join("instruments", "+")).join(n, "stid", "left").fillna(0, ["n"])
 
 
 _COLUMN_VALUES = _values(
@@ -669,15 +684,21 @@ _COLUMN_VALUES = _values(
 )
 
 
-@query(f"select * from {_COLUMN_VALUES}")
+@query(f"""with {_PLACE_COUNTS}, i as (select case when stid in ('hw', 'bv', 'zz') then 'picarro_g2307' else 'lgr_ugga' end as instrument, sum(n)::bigint as n from n group by 1)
+  select c.*, coalesce(n, 0) as n from (select * from {_COLUMN_VALUES}) c left join i using (instrument)""")
 def instrument_table(spark, sf_dir):
-    return registry.instrument_columns(spark)
+    """The instruments' columns, with the number of their readings in the archive."""
+    n = _archive(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n"))
+    return registry.instrument_columns(spark).join(n, "instrument", "left").fillna(0, ["n"])
 
 
 @query()
 def config_identity(spark, sf_dir):
-    configs = [InversionConfig(), dataclasses.replace(InversionConfig(), prior_base_std=0.02)]
-    return spark.createDataFrame([(config_id(c), c.resolution) for c in configs], "config_id string, resolution string")
+    """One configuration for each nation of the customers (a bounded list), and its customers."""
+    nations = [r[0] for r in read(spark, sf_dir, "nation").select("n_nationkey").distinct().orderBy("n_nationkey").collect()]
+    configs = [(k, dataclasses.replace(InversionConfig(), prior_base_std=0.01 * (k + 1))) for k in nations]
+    ids = spark.createDataFrame([(k, config_id(c), c.resolution) for k, c in configs], "c_nationkey int, config_id string, resolution string")
+    return read(spark, sf_dir, "customer").join(F.broadcast(ids), "c_nationkey").groupBy("config_id", "resolution").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {OBS} select event_id, round(2 * 6371.0088 * asin(sqrt(least(1.0, sin(radians(40.766189 - latitude) / 2) ** 2
@@ -778,7 +799,6 @@ def rolling_background(spark, sf_dir):
 
 # --- concentrations, point sources, forward operator -----------------------------------------------
 
-_PLACES = ["wbb", "hw", "bv", "zz", "hdp"]
 _ARCHIVE_SQL = f"""arch as (select ts, ['{"', '".join(_PLACES)}'][user_id % 5 + 1] as site, value as v, event_id % 4 - 1 as flag,
   case when event_id % 10 = 0 then -9 else -10 end as id from events)"""
 
@@ -815,9 +835,15 @@ def concentrations(spark, sf_dir):
 _POINT_VALUES = _values(registry.POINT_SOURCES, "category, name, longitude, latitude")
 
 
-@query(f"select category, name, longitude, latitude from {_POINT_VALUES}")
+@query(f"""with {OBS}, p as (select * from {_POINT_VALUES}), n as (select name, p.longitude, p.latitude, count(*) as n from p join obs on abs(obs.latitude - p.latitude) <= 0.02 and abs(obs.longitude - p.longitude) <= 0.02 group by 1, 2, 3)
+  select category, p.name, p.longitude, p.latitude, coalesce(n, 0) as n from p left join n on n.name = p.name and n.longitude = p.longitude and n.latitude = p.latitude""")
 def point_sources(spark, sf_dir):
-    return registry.point_sources(spark)
+    """The point sources, with the number of readings within a fiftieth of a degree of each (a bounded list: an expression)."""
+    near = F.array_compact(F.array(*(F.when((F.abs(F.col("latitude") - r[3]) <= 0.02) & (F.abs(F.col("longitude") - r[2]) <= 0.02), F.lit(k)) for k, r in enumerate(registry.POINT_SOURCES))))
+    n = obs(spark, sf_dir).select(F.explode(near).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    names = spark.createDataFrame([(k, r[1], float(r[2]), float(r[3])) for k, r in enumerate(registry.POINT_SOURCES)], "k int, name string, longitude double, latitude double")
+    n = n.join(F.broadcast(names), "k").drop("k")
+    return registry.point_sources(spark).join(n, ["name", "longitude", "latitude"], "left").fillna(0, ["n"]).select("category", "name", "longitude", "latitude", "n")
 
 
 @query(f"""with p as (select * from {_POINT_VALUES} where category = 'landfill'), {OBS}
@@ -963,30 +989,30 @@ def regrid(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
-@query(f"""with {_FIELD_SQL}, s as (select time, lon, lat, sum(value) as v from inv group by 1, 2, 3), {_BINS_SQL},
+@query(f"""with {_FIELD_SQL}, s as (select time, lon, lat, sum(value) as v from inv group by 1, 2, 3), {_ORDER_BINS},
   q as (select distinct time from s), n as (select bin_start, arg_min(time, abs(epoch_us(time) - epoch_us(bin_start)) * 2 + case when time > bin_start then 1 else 0 end) as time from bins, q group by 1)
   select bin_start as time, round(lon, 6) as lon, round(lat, 6) as lat, v as value from s join n using (time)""")
 def nearest_time(spark, sf_dir):
-    times = _bins(spark).select(F.col("bin_start").alias("time"))
+    times = _order_bins(spark, sf_dir).select(F.col("bin_start").alias("time"))
     out = inversion.nearest_time(inversion.sector_sum(_inventory(spark, sf_dir)), times, inversion.CELL)
     return out.select("time", r6("lon"), r6("lat"), "value")
 
 
-@query(f"""with y as (select date_trunc('year', o_orderdate)::timestamp as t, o_orderpriority as sector, sum(o_totalprice) as value from orders group by 1, 2), {_BINS_SQL}
+@query(f"""with y as (select date_trunc('year', o_orderdate)::timestamp as t, o_orderpriority as sector, sum(o_totalprice) as value from orders group by 1, 2), {_ORDER_BINS}
   select bin_start as time, sector, round(value, 2) as value from bins asof join y on bin_start >= t cross join (select 1)""".replace(" cross join (select 1)", "").replace(
     "bins asof join y on bin_start >= t", "(select bin_start, sector from bins, (select distinct sector from y)) b asof join y on b.sector = y.sector and b.bin_start >= y.t"
 ).replace("bin_start as time, sector,", "b.bin_start as time, b.sector,"))
 def filled_forward(spark, sf_dir):
     year = F.date_trunc("YEAR", "o_orderdate").cast("timestamp_ntz").alias("time")
     annual = read(spark, sf_dir, "orders").groupBy(year, F.col("o_orderpriority").alias("sector")).agg(F.sum("o_totalprice").alias("value"))
-    out = inversion.filled_forward(annual, _bins(spark).select(F.col("bin_start").alias("time")), ["sector"])
+    out = inversion.filled_forward(annual, _order_bins(spark, sf_dir).select(F.col("bin_start").alias("time")), ["sector"])
     return out.select("time", "sector", F.round("value", 2).alias("value"))
 
 
-@query(f"""with {_BINS_SQL} select bin_start as time, grp, 0.0::double as value from bins, (values ('UATAQ'), ('DAQ'), ('unknown')) g(grp)""")
+@query(f"""with {_ORDER_BINS} select bin_start as time, grp, 0.0::double as value from bins, (values ('UATAQ'), ('DAQ'), ('unknown')) g(grp)""")
 def bias_states(spark, sf_dir):
     sites = ["wbb", "hw", "bv", "elsewhere"]
-    return inversion.bias_states(_bins(spark), "site_group", sites, {"wbb": "UATAQ", "hw": "DAQ", "bv": "DAQ"})
+    return inversion.bias_states(_order_bins(spark, sf_dir), "site_group", sites, {"wbb": "UATAQ", "hw": "DAQ", "bv": "DAQ"})
 
 
 _SOUND_SQL = """snd as (select user_id % 7 as id, ts::date as day, 1200 + (event_id % 40) * 30 as z, avg(280 + value / 10) as theta from events group by 1, 2, 3)"""
@@ -1016,8 +1042,8 @@ def prior_sigma(spark, sf_dir):
     return inversion.prior_sigma(rows).select("id", r6("sigma"))
 
 
-@query(f"with {_BINS_SQL} select a.bin_start as key_i, b.bin_start as key_j, round(exp(-abs(epoch_us(a.bin_start) - epoch_us(b.bin_start)) / (32 * 86400e6)), 9) as k from bins a, bins b")
+@query(f"with {_ORDER_BINS} select a.bin_start as key_i, b.bin_start as key_j, round(exp(-abs(epoch_us(a.bin_start) - epoch_us(b.bin_start)) / (32 * 86400e6)), 9) as k from bins a, bins b")
 def time_kernel(spark, sf_dir):
-    """Correlation between the months of a state; a bounded list of times."""
-    out = inversion.kernel_table(_bins(spark), "bin_start", 32 * 86400e6)
+    """Correlation between the months of the orders; a bounded list of times."""
+    out = inversion.kernel_table(_order_bins(spark, sf_dir), "bin_start", 32 * 86400e6)
     return out.withColumn("k", F.round("k", 9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,11 @@ def receptors(obs: DataFrame) -> DataFrame:
     )
 
 
+def row_hash(columns: list[str], digits: int = 12) -> Column:
+    """First hex digits of the SHA-256 of the columns as text, parted by bars; null columns are left out."""
+    return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, digits)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
