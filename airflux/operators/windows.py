@@ -124,9 +124,9 @@ def _centred(x: np.ndarray, some: np.ndarray) -> np.ndarray:
 def sliding_mean(values, first, stop, at) -> np.ndarray:
     (v,) = values
     some = ~np.isnan(v)
-    n, middle = _sums(some, first, stop), v[some].mean() if some.any() else 0.0
+    n = _sums(some, first, stop)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, _sums(_centred(v, some), first, stop) / n + middle, np.nan).astype(np.float64)
+        return np.where(n > 0, _sums(np.where(some, v, 0.0), first, stop) / n, np.nan).astype(np.float64)
 
 
 def sliding_corr(values, first, stop, at) -> np.ndarray:
