@@ -52,6 +52,34 @@ def utm(lat: Column, lon: Column, zone: int = 12) -> tuple[Column, Column]:
     return east + FALSE_EAST, north
 
 
+def utm_inverse(east: Column, north: Column, zone: int = 12) -> tuple[Column, Column]:
+    """Latitude and longitude of an easting and northing (Snyder 1987, northern hemisphere).
+
+    Within three degrees of the zone's meridian ``utm`` and back again moves a point by less than a millimetre."""
+    e2 = WGS_F * (2 - WGS_F)
+    ep2, root = e2 / (1 - e2), math.sqrt(1 - e2)
+    e1 = (1 - root) / (1 + root)
+    mu = north / F.lit(UTM_K0 * WGS_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = (
+        mu
+        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
+        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
+        + (151 * e1**3 / 96) * F.sin(6 * mu)
+        + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    )
+    c, t = ep2 * F.pow(F.cos(foot), 2), F.pow(F.tan(foot), 2)
+    w = 1 - e2 * F.pow(F.sin(foot), 2)
+    n, r = F.lit(WGS_A) / F.sqrt(w), F.lit(WGS_A * (1 - e2)) / F.pow(w, 1.5)
+    d = (east - FALSE_EAST) / (n * UTM_K0)
+    lat = foot - (n * F.tan(foot) / r) * (
+        F.pow(d, 2) / 2
+        - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24
+        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720
+    )
+    turn = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(foot)
+    return F.degrees(lat), F.degrees(turn) + F.lit(float(zone * 6 - 183))
+
+
 def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of the point from the segment a-b."""
     dx, dy = bx - ax, by - ay

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, timeutil
-from .operators import aggregate, covariance, inversion, joins, mobile, qa, report, results, solvers, windows
+from .operators import aggregate, covariance, inversion, joins, levels, mobile, qa, report, results, solvers, spatial, windows
 from .plans import forward
 from .plans import observations as plan
 from .plans.concentrations import load_concentrations
@@ -1047,3 +1047,92 @@ def time_kernel(spark, sf_dir):
     """Correlation between the months of the orders; a bounded list of times."""
     out = inversion.kernel_table(_order_bins(spark, sf_dir), "bin_start", 32 * 86400e6)
     return out.withColumn("k", F.round("k", 9))
+
+
+# --- large point and route sets ---------------------------------------------------------------------
+
+_FIXES = "f as (select event_id, (event_id * 15485863 % 50000)::double as x, (event_id * 32452843 % 50000)::double as y from events)"
+_PARTS = "p as (select p_partkey as k, (p_partkey * 7919 % 50021)::double as x, (p_partkey * 104729 % 49999)::double as y from part)"
+_LINES = """v as (select c_custkey as route, (c_custkey * 7919 % 50000)::double as x, (c_custkey * 104729 % 50000)::double as y,
+  ((c_custkey % 41 - 20) * 50)::double as dx, ((c_custkey % 37 - 18) * 50)::double as dy, ((c_custkey % 29 - 14) * 60)::double as ex,
+  ((c_custkey % 31 - 15) * 60)::double as ey from customer),
+  s as (select route, 0 as n, x as ax, y as ay, x + dx as zx, y + dy as zy from v
+  union all select route, 1, x + dx, y + dy, x + dx + ex, y + dy + ey from v)"""
+
+
+def fixes(spark, sf_dir):
+    """Every event as a position in metres."""
+    return read(spark, sf_dir, "events").selectExpr("event_id", "double(event_id * 15485863 % 50000) as x", "double(event_id * 32452843 % 50000) as y")
+
+
+def lines(spark, sf_dir):
+    """Every customer as a route of three vertices in metres."""
+    c = "c_custkey"
+    steps = [(0, "0", "0"), (1, f"({c} % 41 - 20) * 50", f"({c} % 37 - 18) * 50")]
+    steps.append((2, f"{steps[1][1]} + ({c} % 29 - 14) * 60", f"{steps[1][2]} + ({c} % 31 - 15) * 60"))
+    vertices = ", ".join(f"struct({n} as n, double({c} * 7919 % 50000 + {dx}) as x, double({c} * 104729 % 50000 + {dy}) as y)" for n, dx, dy in steps)
+    rows = read(spark, sf_dir, "customer").selectExpr(f"{c} as route", f"explode(array({vertices})) as v").select("route", "v.*")
+    return spatial.segments_of(rows)
+
+
+def _near_line(point: str, radius: float) -> str:
+    """SQL: pairs of ``point`` (x, y) and the segments within the radius."""
+    t = "greatest(0, least(1, case when dd > 0 then ((x - ax) * (zx - ax) + (y - ay) * (zy - ay)) / dd else 0 end))"
+    inner = f"select *, (zx - ax) * (zx - ax) + (zy - ay) * (zy - ay) as dd from {point}, s"
+    return f"select *, {t} as t from ({inner}) where sqrt((x - ax - {t} * (zx - ax)) ** 2 + (y - ay - {t} * (zy - ay)) ** 2) <= {radius}"
+
+
+@query(f"""with {_FIXES}, {_PARTS}, d as (select event_id, k, p.x as x, p.y as y, (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) as d from f, p),
+  m as (select event_id, min(d) as d from d group by 1) select event_id, min_by(k, k) as part, min_by(x, k) as x, min_by(y, k) as y
+  from d join m using (event_id, d) group by 1""")
+def nearest_part(spark, sf_dir):
+    """The nearest of all parts' places for every event."""
+    parts = read(spark, sf_dir, "part").selectExpr("p_partkey as part", "double(p_partkey * 7919 % 50021) as px", "double(p_partkey * 104729 % 49999) as py")
+    out = spatial.nearest(fixes(spark, sf_dir), parts, "x", "y", "px", "py", "part", "near_x", "near_y")
+    return out.select("event_id", "part", F.col("near_x").alias("x"), F.col("near_y").alias("y"))
+
+
+@query(f"""with {_FIXES}, {_LINES}, h as ({_near_line("f", 300.123)})
+  select event_id, count(distinct route) as n, string_agg(distinct route::varchar, ' ' order by route::varchar) as routes from h group by 1""")
+def routes_passed(spark, sf_dir):
+    """Events within 300.123 m of customers' routes, with the routes' names."""
+    out = spatial.routes_at(fixes(spark, sf_dir), lines(spark, sf_dir).withColumn("route", F.col("route").cast("string")), 300.123, "x", "y")
+    out = out.where(F.size("routes") > 0)
+    return out.select("event_id", F.size("routes").cast("long").alias("n"), F.array_join("routes", " ").alias("routes"))
+
+
+@query(f"""with {_LINES}, l as (select *, sqrt((zx - ax) * (zx - ax) + (zy - ay) * (zy - ay)) as len from s),
+  g as (select *, coalesce(sum(len) over (partition by route order by n rows between unbounded preceding and 1 preceding), 0) as start from l),
+  k as (select *, unnest(generate_series(ceil(start / 500.0)::bigint, floor((start + len) / 500.0)::bigint)) as k from g),
+  q as (select distinct round(ax + (zx - ax) * case when len > 0 then (k * 500.0::double - start) / len else 0 end) as x,
+    round(ay + (zy - ay) * case when len > 0 then (k * 500.0::double - start) / len else 0 end) as y from k),
+  h as ({_near_line("q", 250.0)}) select x, y, array_to_string(list_sort(list_distinct(list(route))), '') as routes from h group by 1, 2""")
+def route_points(spark, sf_dir):
+    """Points every 500 m along all customers' routes with the routes within 250 m of them."""
+    return spatial.route_points(lines(spark, sf_dir), 500.0)
+
+
+@query(f"with {OBS} select event_id, round(latitude, 8) as latitude, round(longitude, 8) as longitude from obs")
+def lat_lon_back(spark, sf_dir):
+    """Positions in metres projected back: the latitudes and longitudes they came from."""
+    e, n = geo.utm(F.col("latitude"), F.col("longitude"))
+    lat, lon = geo.utm_inverse(F.col("e"), F.col("n"))
+    rows = obs(spark, sf_dir).select("event_id", e.alias("e"), n.alias("n"))
+    return rows.select("event_id", F.round(lat, 8).alias("latitude"), F.round(lon, 8).alias("longitude"))
+
+
+_HYBRID = [(k, 20.0 * (k - 1) * (9 - k), (1 - (k - 1) / 8) ** 2) for k in range(1, 9)]
+_TARGETS = [100.0, 300.0, 500.0, 700.0, 850.0]
+
+
+@query(f"""with c(level, a, b) as (values {", ".join(f"({k}, {a}::double, {b}::double)" for k, a, b in _HYBRID)}),
+  m as (select c.level, (c.a + d.a) / 2 as a, (c.b + d.b) / 2 as b from c join c d on d.level = c.level + 1),
+  f as (select l_orderkey as k, m.a + m.b * (900 + l_orderkey % 200) as p, min(l_quantity::double) as v from lineitem join m on l_linenumber = m.level group by 1, 2),
+  w as (select *, lead(p) over o as q, lead(v) over o as w, row_number() over o as i from f window o as (partition by k order by p))
+  select k as order_key, t as target, round(case when t = p then v else v + (w - v) * ln(t / p) / ln(q / p) end, 6) as value
+  from w, (values {", ".join(f"({t}::double)" for t in _TARGETS)}) g(t) where t > p and t <= q or i = 1 and t = p""")
+def pressure_levels(spark, sf_dir):
+    """Orders as columns of a model whose lines are levels: quantities at given pressures."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as order_key", "l_linenumber as level", "double(900 + l_orderkey % 200) as surface", "double(l_quantity) as value")
+    rows = levels.with_pressure(rows, spark.createDataFrame(_HYBRID, "level long, a double, b double"))
+    return levels.at_pressures(rows, ["order_key"], _TARGETS).select("order_key", "target", r6("value"))
