@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.geo import grid_snap
 from ..functions.timeutil import floor_period, freq_hours
 from ..sources.registry import expected_per_hour
+from . import spatial
 from .joins import nearest_point
 
 #: Aggregates by name.
@@ -98,7 +99,8 @@ def aggregate_obs(
         moving = obs.where("is_mobile")
         keys, exclude = ["is_mobile", "height"], []
         if mobile_points is not None:
-            moving = nearest_point(moving, mobile_points, "agg_lon", "agg_lat")
+            of = spatial.nearest if isinstance(mobile_points, DataFrame) else nearest_point  # a table (point, x, y) of any size, or a list
+            moving = of(moving, mobile_points)
             keys += ["site", "agg_lat", "agg_lon"]
             exclude = ["latitude", "longitude", "point"]
         elif mobile_grid_res is not None:

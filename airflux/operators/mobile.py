@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_polygon, points_along, utm, within_line
+from . import spatial
 from .joins import asof_join
 from .qa import outliers_trimmed
 
@@ -18,9 +19,12 @@ def in_metres(gps: DataFrame, lon: str = "longitude", lat: str = "latitude") ->
     return gps.withColumns({"easting": east, "northing": north})
 
 
-def on_routes(gps: DataFrame, routes: dict[str, Line], buffer_m: float = 50.0, dedupe: bool = True) -> DataFrame:
+def on_routes(gps: DataFrame, routes: dict[str, Line] | DataFrame, buffer_m: float = 50.0, dedupe: bool = True) -> DataFrame:
     """Rows within ``buffer_m`` of a route (in metres).  Without ``dedupe`` a row appears for each route it lies on,
-    with the route's name."""
+    with the route's name.  Routes are a few lines, or a table of segments of any size (``spatial.routes_at``)."""
+    if isinstance(routes, DataFrame):
+        found = spatial.routes_at(gps, routes, buffer_m, out="__routes").where(F.size("__routes") > 0)
+        return found.drop("__routes") if dedupe else found.withColumn("route", F.explode("__routes")).drop("__routes")
     x, y = F.col("easting"), F.col("northing")
     hits = F.array_compact(F.array(*(F.when(within_line(x, y, line, buffer_m), F.lit(name)) for name, line in routes.items())))
     found = gps.withColumn("__routes", hits).where(F.size("__routes") > 0)
@@ -64,7 +68,7 @@ def merge_with_gps(
     gps: DataFrame,
     org: str,
     time: str = "Time_UTC",
-    routes: dict[str, Line] | None = None,
+    routes: dict[str, Line] | DataFrame | None = None,
     storage: Line | None = None,
     buffer_m: float = 50.0,
     tolerance_us: int = 60_000_000,
@@ -77,7 +81,7 @@ def merge_with_gps(
     if org != "UATAQ":
         raise ValueError(f"no GPS of organization {org!r}")
     track = outliers_trimmed(gps, "altitude")
-    if routes:
+    if routes is not None and (isinstance(routes, DataFrame) or routes):
         track = on_routes(in_metres(track), routes, buffer_m).drop("easting", "northing")
     if storage:
         track = outside(track, storage)

@@ -90,11 +90,17 @@ def nearest(
     sizes = {r["level"]: r for r in cells.groupBy("level").agg(F.max("n").alias("fullest"), F.count("*").alias("cells")).collect()}  # a row a level
     depth = next((k for k in range(1, LEVELS) if sizes[k]["fullest"] <= leaf), LEVELS)
 
-    here = _places(df, x, y).withColumns({"__cx": F.lit(0).cast("long"), "__cy": F.lit(0).cast("long")})
+    here = _places(df, x, y)
     for k in range(1, depth + 1):
         up = [F.shiftright(c, STEP).alias(c) for c in ("__cx", "__cy")]
         box = F.struct("x0", "x1", "y0", "y1", F.col("__cx").alias("cx"), F.col("__cy").alias("cy"))
-        kids = cells.where(F.col("level") == k).select(*up, box.alias("box")).groupBy("__cx", "__cy").agg(F.collect_list("box").alias("kids"))
+        level = cells.where(F.col("level") == k)
+        if k == 1:  # the root's children, 64 at most, are part of the expression
+            rows = level.select("x0", "x1", "y0", "y1", F.col("__cx").alias("cx"), F.col("__cy").alias("cy")).collect()
+            met = here.withColumn("kids", F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in rows)))
+        else:
+            kids = level.select(*up, box.alias("box")).groupBy("__cx", "__cy").agg(F.collect_list("box").alias("kids"))
+            met = here.join(_small(kids, sizes[k]["cells"]), ["__cx", "__cy"])
 
         def bounds(b: Column) -> Column:
             near_x, near_y = _gap(b["x0"], b["x1"], F.col("__x")), _gap(b["y0"], b["y1"], F.col("__y"))
@@ -102,7 +108,7 @@ def nearest(
             far_y = F.greatest(F.abs(b["y0"] - F.col("__y")), F.abs(b["y1"] - F.col("__y")))
             return F.struct((near_x * near_x + near_y * near_y).alias("low"), (far_x * far_x + far_y * far_y).alias("high"), b["cx"].alias("cx"), b["cy"].alias("cy"))
 
-        own = here.join(_small(kids, sizes[k]["cells"]), ["__cx", "__cy"]).select("__x", "__y", F.transform("kids", bounds).alias("kids"))
+        own = met.select("__x", "__y", F.transform("kids", bounds).alias("kids"))
         own = own.withColumn("high", F.array_min(F.transform("kids", lambda b: b["high"])))
         own = own.withColumn("kids", F.filter("kids", lambda b: b["low"] <= F.col("high")))
         own = own.groupBy("__x", "__y").agg(F.min("high").alias("high"), F.flatten(F.collect_list("kids")).alias("kids"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,9 @@ from ..functions.timeutil import flux_bins, truncated, week_start
 from ..operators import covariance
 from ..operators import inversion as inv
 from ..operators import qa
+from ..scratch import written
 from ..sources import registry
-from . import forward, observations
+from . import forward, graph, observations
 from .config import InversionConfig
 from .inversion import Inputs, Result, enough, run
 
@@ -36,7 +37,8 @@ class Tables:
     """readings: raw observations (Time_UTC, site, instrument, CH4, ...); foot: footprints by simulation.
 
     inventory (time, lon, lat, sector, value) for prior "inventory"; daily (day, background) for background
-    "ct_stilt"; events: cold-air pools to leave out; orgs: organization of each site."""
+    "ct_stilt"; events: cold-air pools to leave out; orgs: organization of each site; versions: a name of the
+    state of each of these tables, by which stored tables made from them are found again."""
 
     readings: DataFrame
     foot: DataFrame
@@ -46,6 +48,7 @@ class Tables:
     orgs: dict[str, str] | None = None
     expected: dict[str, float] | None = None
     resolutions: dict[str, float] | None = None
+    versions: dict[str, str] = field(default_factory=dict)
 
 
 def prior_of(spark: SparkSession, tables: Tables, config: InversionConfig) -> DataFrame:
@@ -125,6 +128,20 @@ def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, writ
     return Inputs(value("CH4"), prior, jac, value("background"), mismatch, bias, entries)
 
 
-def run_from(spark: SparkSession, tables: Tables, config: InversionConfig, write: Callable[[DataFrame, str], DataFrame]) -> Result:
-    """The whole run: inputs from the configuration, coverage filter, solve and metrics."""
-    return run(assembled(spark, tables, config, write), config)
+def store_of(spark: SparkSession, tables: Tables, config: InversionConfig) -> Callable[[DataFrame, str], DataFrame]:
+    """Where a run keeps its tables: in the configuration's cache, else in the shared folder.
+
+    With a cache every table needs a version, lest a stored one be taken for another's: ValueError."""
+    if not config.cache:
+        return written
+    there = [n for n in graph.RAW if getattr(tables, n) is not None]
+    if missing := [n for n in there if n not in tables.versions]:
+        raise ValueError(f"tables without a version: {missing}")
+    plain = {n: getattr(tables, n) for n in graph.PLAIN}
+    plain["events"] = [list(map(str, e)) for e in tables.events]
+    return graph.Store(spark, config, plain | {n: tables.versions[n] for n in there})
+
+
+def run_from(spark: SparkSession, tables: Tables, config: InversionConfig, write: Callable[[DataFrame, str], DataFrame] | None = None) -> Result:
+    """The whole run: inputs from the configuration, coverage filter, solve and metrics; tables go to ``store_of``, or to ``write``."""
+    return run(assembled(spark, tables, config, write or store_of(spark, tables, config)), config)

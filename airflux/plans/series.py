@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import utm_inverse
+from ..operators import spatial
 from ..operators.aggregate import hourly_with_gaps
 from ..operators.mobile import Line, route_points
 from ..operators.windows import heat_deficit, pcap_events, rolling_baseline
+from ..scratch import written
 from ..sources.writers import write_points_geojson
 from .cache import table_exists
 
@@ -30,7 +33,7 @@ class HourlySeries:
             hourly = hourly_with_gaps(self.load(site), self.time, self.value) if not base else self[site]
             if base:
                 hourly = rolling_baseline(hourly, [], "hour", self.value, name="baseline", **self.baseline).select("hour", "baseline")
-            self.known[key] = hourly.persist()
+            self.known[key] = written(hourly, "hourly")
         return self.known[key]
 
 
@@ -53,13 +56,24 @@ def event_list(events: DataFrame, most: int = 10_000) -> list[tuple[str, str]]:
     return [(str(r[0]), str(r[1])) for r in rows]
 
 
-def stored_route_points(spark: SparkSession, folder: str, routes: dict[str, Line], spacing: float = 2000.0) -> DataFrame:
-    """(longitude, latitude, routes) of points along routes, kept in ``folder`` by their spacing."""
-    path = f"{folder}/points_{spacing:g}"
+def stored_route_points(spark: SparkSession, folder: str, routes: dict[str, Line] | DataFrame, spacing: float = 2000.0, meters: bool = True) -> DataFrame:
+    """(longitude, latitude, routes) of points along routes, kept in ``folder`` by their spacing and kind.
+
+    ``routes``: a few lines by name, or a table of segments (``spatial.segments_of``) of any size, both in metres.
+    Without ``meters`` the points are in degrees, to five decimals; a point of a table of segments has
+    the routes within half the spacing of it, one of listed lines those that have that very point.
+    """
+    path = f"{folder}/points_{spacing:g}" + ("" if meters else "_degrees")
     if not table_exists(spark, path):
-        rows = [(float(x), float(y), names) for x, y, names in route_points(routes, spacing)]
-        table = spark.createDataFrame(rows, "longitude double, latitude double, routes string")
-        write_points_geojson(table.coalesce(1), path)
+        if isinstance(routes, DataFrame):
+            table = spatial.route_points(routes, spacing)
+        else:
+            rows = [(float(x), float(y), names) for x, y, names in route_points(routes, spacing)]
+            table = spark.createDataFrame(rows, "x double, y double, routes string").coalesce(1)
+        if not meters:
+            lat, lon = utm_inverse(F.col("x"), F.col("y"))
+            table = table.select(F.round(lon, 5).alias("x"), F.round(lat, 5).alias("y"), "routes")
+        write_points_geojson(table.select(F.col("x").alias("longitude"), F.col("y").alias("latitude"), "routes"), path)
     raw = spark.read.schema("geometry struct<coordinates:array<double>>, properties struct<routes:string>").json(path)
     at = F.col("geometry.coordinates")
     return raw.select(at[0].alias("longitude"), at[1].alias("latitude"), F.col("properties.routes").alias("routes"))
