@@ -359,24 +359,28 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 
 class WordScores:
-    """Scores and letter counts of the words of distinct pieces, worked out once while they are remembered."""
+    """Scores and letter counts of the words of distinct pieces, worked out once while they are remembered.
 
-    def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most = model, most
+    All is forgotten at a call that finds over ``most`` pieces, or over ``most_bytes`` of pieces and scores, remembered."""
+
+    def __init__(self, model: Model, most: int = 300_000, most_bytes: int = 128 << 20):
+        self.model, self.most, self.most_bytes = model, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.held = 0
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
         self.letters = np.zeros(0, np.int64)
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """First row in ``scores`` and ``letters``, and number of rows, of each piece's words."""
-        if len(self.number) > self.most:
+        if len(self.number) > self.most or self.held + self.scores.nbytes > self.most_bytes:
             self.clear()
         new = [p for p in pieces if p not in self.number]
         if new:
+            self.held += sum(map(len, new))
             words, count = words_of_pieces(new)
             self.starts = np.append(self.starts, len(self.letters) + np.cumsum(count) - count)
             self.counts = np.append(self.counts, count)

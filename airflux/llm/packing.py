@@ -45,14 +45,17 @@ class PieceEncoder:
     With ``sizes``, the bytes that each id stands for, new strings go to the tokenizer some at a time,
     end to end, and the ids are dealt to the strings again by their bytes.  Strings are joined only
     where such a tokenizer cuts anyway: before a blank or line feed that follows no white space.
+    All is forgotten at a call that finds over ``most`` strings, or over ``most_bytes`` of strings and ids, remembered:
+    texts without blanks, whose strings are whole lines, reach the second bound first.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], sizes: np.ndarray | None = None, most: int = 400_000):
-        self.encode_many, self.sizes, self.most = encode_many, sizes, most
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], sizes: np.ndarray | None = None, most: int = 400_000, most_bytes: int = 64 << 20):
+        self.encode_many, self.sizes, self.most, self.most_bytes = encode_many, sizes, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.held = 0
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -77,10 +80,11 @@ class PieceEncoder:
 
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start and length in ``pool`` of each piece's ids."""
-        if len(self.number) > self.most:
+        if len(self.number) > self.most or self.held + self.pool.nbytes > self.most_bytes:
             self.clear()
         new = [p for p in pieces if p not in self.number]
         if new:
+            self.held += sum(map(len, new))
             lengths, flat = self.encoded(new)
             base = len(self.number)
             self.number.update(zip(new, range(base, base + len(new))))
@@ -362,6 +366,8 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = 2048, window: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, held, rows = rank_encoder(path), [], 0
+        if len(encoder.sizes) > 65536:
+            raise ValueError("ids of 16 bits need a vocabulary of at most 65536")
 
         def flush() -> Iterator[pa.RecordBatch]:
             docs_, number, start, length, ids = zip(*held)
