@@ -100,6 +100,12 @@ def decimal_year(ts: Column) -> Column:
     return F.year(ts) + (F.dayofyear(ts) - 1) / days
 
 
+def exact_year(ts: Column) -> Column:
+    """Decimal year to the microsecond: the share of the year that has passed is counted from its first moment."""
+    start = lambda more: micros(F.make_date(F.year(ts) + more, F.lit(1), F.lit(1)).cast("timestamp_ntz"))
+    return F.year(ts) + (micros(ts) - start(0)) / (start(1) - start(0))
+
+
 def flux_bins(spark: SparkSession, start: str, end: str, freq: str = "MS") -> DataFrame:
     """(bin_start, bin_end) of the left-closed bins that lie wholly in [start, end]; partial edges go."""
     n, unit = _split(freq)

@@ -7,6 +7,7 @@ of non-zeros; covariances are kept as deviations and kernels and are not written
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -69,8 +70,17 @@ def regrid(field: DataFrame, src: tuple[float, float], dst: tuple[float, float],
     )
 
 
+def _few(df: DataFrame, column: str) -> list:
+    """The distinct values of a column, in order; more than ``MOST_TIMES`` raise ValueError, nulls are left out."""
+    rows = df.select(column).dropna().distinct().orderBy(column).limit(MOST_TIMES + 1).collect()
+    if len(rows) > MOST_TIMES:
+        raise ValueError(f"more than {MOST_TIMES} times")
+    return [r[0] for r in rows]
+
+
 def filled_forward(annual: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
-    """The annual value in force at each of the (few) times: the latest at or before it."""
+    """The annual value in force at each of the (few) times: the latest at or before it, by keys."""
+    _few(times, "time")
     listed = times.agg(F.array_sort(F.collect_set("time")).alias("t"))
     from pyspark.sql import Window
 
@@ -82,14 +92,36 @@ def filled_forward(annual: DataFrame, times: DataFrame, keys: list[str]) -> Data
 
 def nearest_time(field: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
     """Field values at each of the (few) times, taken from the nearest one there is; ties: the earlier."""
-    have, want = ([r[0] for r in x.select("time").distinct().orderBy("time").limit(MOST_TIMES + 1).collect()] for x in (field, times))
-    if max(len(have), len(want)) > MOST_TIMES:
-        raise ValueError(f"more than {MOST_TIMES} times")
-    pairs = [(t, min(have, key=lambda h: (abs((h - t).total_seconds()), h))) for t in want] if have else []
+    have = _few(field, "time")
+
+    def nearest(t):
+        near = have[max(bisect.bisect_left(have, t) - 1, 0) :][:2]
+        return min(near, key=lambda h: (abs((h - t).total_seconds()), h))
+
+    pairs = [(t, nearest(t)) for t in _few(times, "time")] if have else []
+    return _taken(field, pairs, keys)
+
+
+def _taken(field: DataFrame, pairs: list[tuple], keys: list[str]) -> DataFrame:
+    """Rows of ``field`` under other times: ``pairs`` of the time wanted and the one whose values it gets."""
     table = field.sparkSession.createDataFrame(pairs, "time timestamp_ntz, __have timestamp_ntz")
     return field.withColumnRenamed("time", "__have").join(F.broadcast(table), "__have").drop("__have").select("time", *keys, "value")
 
 
+def merged_inventory(annual: DataFrame, monthly: DataFrame) -> DataFrame:
+    """(time, lon, lat, sector, value) at the times of ``monthly``: its sectors, and those that only ``annual`` has.
+
+    The latter are taken, at each of the (few) times, from the latest annual time at or before it; times before the first
+    have them not, and a cell that an annual time lacks is lacking then, whatever earlier ones have.  Rows with
+    a null time or sector are left out; an empty monthly table gives an empty result."""
+    columns = ["time", *CELL, "sector", "value"]
+    monthly, annual = (df.select(*columns).dropna(subset=["time", "sector"]) for df in (monthly, annual))
+    alone = annual.join(monthly.select("sector").distinct(), "sector", "left_anti")
+    have = _few(alone, "time")
+    pairs = [(t, have[k - 1]) for t in _few(monthly, "time") if (k := bisect.bisect_right(have, t))]
+    return monthly.unionByName(_taken(alone, pairs, [*CELL, "sector"]))
+
+
 def state_blocks(flux: DataFrame, bias: DataFrame | None = None) -> DataFrame:
     """Flux and bias states under each other, with the name of their block."""
     out = flux.withColumn("block", F.lit("flux"))
@@ -111,7 +143,8 @@ def bias_states(bins: DataFrame, grouping: str | None = None, sites: list[str] =
 
 
 def bias_jacobian(obs: DataFrame, bins: DataFrame, grouping: str | None = None, orgs: dict[str, str] | None = None) -> DataFrame:
-    """One 1.0 per observation in its bin (and group); observations outside all bins have no row."""
+    """One 1.0 per observation in its (of few) bin (and group); observations outside all bins have no row."""
+    _few(bins, "bin_start")
     span = F.array_sort(F.collect_list(F.struct("bin_start", "bin_end"))).alias("bins")
     rows = obs.select(*OBS).join(F.broadcast(bins.agg(span)))
     hit = F.filter("bins", lambda b: (b["bin_start"] <= F.col("obs_time")) & (F.col("obs_time") < b["bin_end"]))
@@ -138,6 +171,12 @@ def footprint_jacobian(foot: DataFrame, dx: float, dy: float, xmin: float, ymin:
     return rows.groupBy(*OBS, *STATE).agg(F.sum("foot").alias("value"))
 
 
+def filled(entries: DataFrame, states: DataFrame, keys: list[str], value: float = 0.0) -> DataFrame:
+    """(keys, value) of every state, once each: its entry, or ``value`` where there is none; entries of no state are left out."""
+    have = entries.select(*keys, F.col("value").alias("__have"))
+    return states.select(*keys).distinct().join(have, keys, "left").select(*keys, F.coalesce("__have", F.lit(float(value))).alias("value"))
+
+
 def spmv(matrix: DataFrame, vector: DataFrame, on: list[str], rows: list[str], name: str = "value") -> DataFrame:
     """matrix x vector: join on the columns ``on``, summed by the columns ``rows``."""
     v = vector.select(*on, F.col("value").alias("__x"))
@@ -371,6 +410,17 @@ def desroziers(table: DataFrame, keys: list[str], prior: str = "prior_residual",
     return out.withColumn("ratio", F.try_divide("diagnosed", "specified"))
 
 
+def flux_metrics(prior: DataFrame, posterior: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Means of totals (keys, time, total) over time, deviation of the posterior (null for one time), change in percent.
+
+    The change is null where the prior's mean is 0 or there is none; a group that only one table has keeps nulls for the other."""
+    side = lambda df, a, b: df.select(*keys, F.col("total").cast("double").alias(a), F.lit(None).cast("double").alias(b))
+    both = side(prior, "p", "q").unionByName(side(posterior, "q", "p"))
+    out = both.groupBy(*keys).agg(F.avg("p").alias("prior_flux_mean"), F.avg("q").alias("posterior_flux_mean"), F.stddev_samp("q").alias("posterior_flux_std"))
+    change = F.col("posterior_flux_mean") - F.col("prior_flux_mean")
+    return out.withColumn("flux_change_pct", F.try_divide(change, "prior_flux_mean") * 100)
+
+
 def fit_metrics(table: DataFrame, keys: list[str] = ()) -> DataFrame:
     """RMSE, bias and number of prior and posterior residuals of (observed, prior, posterior)."""
     rp, rq = F.col("observed") - F.col("prior"), F.col("observed") - F.col("posterior")

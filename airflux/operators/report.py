@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,17 @@ def stations(table: DataFrame, status: str | None = None, networks: list[int] |
     return table.where(F.col("network").isin(networks)) if networks else table
 
 
+def aligned(parts: dict[str, DataFrame], keys: list[str], value: str = "value") -> DataFrame:
+    """One column for each part, aligned by the keys: all keys of any part, null where a part has none.
+
+    The parts are united and met in one shuffle.  A key that a part holds twice raises at run time; null keys are a key."""
+    names = list(parts)
+    column = lambda n, m: (F.col(value) if n == m else F.lit(None)).cast("double").alias(m)
+    rows = [df.select(*keys, F.lit(n).alias("__part"), *(column(n, m) for m in names)) for n, df in parts.items()]
+    one = lambda n: F.when(F.count_if(F.col("__part") == n) > 1, F.raise_error(F.lit(f"a key is twice in {n}")).cast("double")).otherwise(F.max(n))
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(*(one(n).alias(n) for n in names))
+
+
 def summary(prior: DataFrame, posterior: DataFrame) -> DataFrame:
     """Total, prior and posterior, by time, with the change in percent (null where the prior is 0)."""
     a = prior.select("time", F.col("total").alias("prior"))

@@ -13,6 +13,7 @@ from ..functions.timeutil import flux_bins, truncated, week_start
 from ..operators import covariance
 from ..operators import inversion as inv
 from ..operators import qa
+from ..operators.joins import exclude_events
 from ..scratch import written
 from ..sources import registry
 from . import forward, graph, observations
@@ -36,14 +37,16 @@ def unit_of(config: InversionConfig):
 class Tables:
     """readings: raw observations (Time_UTC, site, instrument, CH4, ...); foot: footprints by simulation.
 
-    inventory (time, lon, lat, sector, value) for prior "inventory"; daily (day, background) for background
-    "ct_stilt"; events: cold-air pools to leave out; orgs: organization of each site; versions: a name of the
+    inventory (time, lon, lat, sector, value) for prior "inventory", with ``monthly`` of the same columns the sectors
+    that vary by month; daily (day, background) for background "ct_stilt", samples (obs_time, value) for "gml"; events: cold-air pools to leave out; orgs: organization of each site; versions: a name of the
     state of each of these tables, by which stored tables made from them are found again."""
 
     readings: DataFrame
     foot: DataFrame
     inventory: DataFrame | None = None
+    monthly: DataFrame | None = None
     daily: DataFrame | None = None
+    samples: DataFrame | None = None
     events: list[tuple[str, str]] = ()
     orgs: dict[str, str] | None = None
     expected: dict[str, float] | None = None
@@ -52,15 +55,20 @@ class Tables:
 
 
 def prior_of(spark: SparkSession, tables: Tables, config: InversionConfig) -> DataFrame:
-    """(time, lon, lat, value) on the grid and the flux bins; an unknown prior raises ValueError."""
+    """(time, lon, lat, value) on the grid and the flux bins; an unknown prior raises ValueError.
+
+    Sectors of the yearly inventory that the monthly one lacks are filled forward to its months; with the option
+    ``express``, or without a monthly one, the inventory stands alone.  Options: express, cell, freq, units; value."""
     bins, options = flux_bins(spark, config.tstart, config.tend, config.flux_freq), dict(config.prior_kwargs)
     if config.prior == "constant":
         grid = inv.regular_grid(spark, *config.extent, config.dx, config.dy)
         return inv.constant_prior(grid, bins, options.get("value", 0.01))
     if config.prior != "inventory" or tables.inventory is None:
         raise ValueError(f"unknown prior {config.prior!r}, or one without its table")
-    src, have = options.get("cell", (config.dx, config.dy)), options.get("freq", "MS")
-    field = inv.regrid(inv.sector_sum(tables.inventory), src, (config.dx, config.dy), (config.xmin, config.ymin))
+    merge = tables.monthly is not None and not options.get("express", False)
+    src, have = options.get("cell", (config.dx, config.dy)), options.get("freq", "YS" if options.get("express") else "MS")
+    sectors = inv.merged_inventory(tables.inventory, tables.monthly) if merge else tables.inventory
+    field = inv.regrid(inv.sector_sum(sectors), src, (config.dx, config.dy), (config.xmin, config.ymin))
     inside = F.col("lon").between(config.xmin, config.xmax) & F.col("lat").between(config.ymin, config.ymax)
     field = inv.resample(field.where(inside), inv.CELL, have, config.flux_freq)
     field = inv.in_units(field, options.get("units", config.output_units), config.output_units)
@@ -86,7 +94,13 @@ def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, writ
         sites=list(config.sites),
     )
     vector = qa.trim(vector, config.tstart, config.tend, "obs_time")
-    background = observations.background(config.background, vector, tables.daily, **config.background_kwargs)
+    hours_of = None
+    if config.background == "rolling":  # over all hours of the configuration's sites, not those of the observations alone
+        rows = tables.readings.where(F.col("site").isin(list(config.sites))) if config.sites else tables.readings
+        rows = qa.time_slice(rows, config.tstart, config.tend, "Time_UTC")
+        rows = exclude_events(rows, list(tables.events)) if config.filter_pcaps and tables.events else rows
+        hours_of = observations.site_hours(rows, tables.expected, place=[])
+    background = observations.background(config.background, vector, tables.daily, hours_of, tables.samples, **config.background_kwargs)
     both = observations.with_background(vector, background)
     footprint = forward.finest(tables.resolutions) if tables.resolutions else None
     places = sorted(r[0] for r in both.select("obs_location").distinct().collect())  # sites and route points: few
@@ -125,7 +139,11 @@ def assembled(spark: SparkSession, tables: Tables, config: InversionConfig, writ
         own = own.join(z.select("obs_location", F.col("obs_time").alias("__mean")), ["obs_location", "__mean"], "left_semi")
         return covariance.aggregated_mismatch(own.select(*inv.OBS), config.mdm, step, orgs)
 
-    return Inputs(value("CH4"), prior, jac, value("background"), mismatch, bias, entries)
+    straight = {} if config.aggregate_obs else {
+        "obs_product": lambda x: covariance.mismatch_product(x, config.mdm, orgs, ["probe"]),
+        "obs_variance": lambda z: covariance.mismatch_variance(z, config.mdm, orgs),
+    }
+    return Inputs(value("CH4"), prior, jac, value("background"), mismatch, bias, entries, **straight)
 
 
 def store_of(spark: SparkSession, tables: Tables, config: InversionConfig) -> Callable[[DataFrame, str], DataFrame]:

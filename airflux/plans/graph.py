@@ -21,13 +21,13 @@ class Node:
 
 
 #: Raw inputs, known by a version that the caller states; tables of a run follow.
-RAW = ("readings", "foot", "inventory", "daily")
+RAW = ("readings", "foot", "inventory", "monthly", "daily", "samples")
 #: Plain values that come with the raw inputs, known by themselves.
 PLAIN = ("events", "orgs", "expected", "resolutions")
 NODES: dict[str, Node] = {name: Node() for name in (*RAW, *PLAIN)} | {
-    "hours": Node(tuple(f for f in CHOSEN if f != "aggregate_obs"), ("readings", "foot", "daily", "events", "expected", "resolutions")),
+    "hours": Node(tuple(f for f in CHOSEN if f != "aggregate_obs"), ("readings", "foot", "daily", "samples", "events", "expected", "resolutions")),
     "observations": Node(("aggregate_obs",), ("hours",)),
-    "prior": Node(tuple(f for f in GRID), ("inventory",)),
+    "prior": Node(tuple(f for f in GRID), ("inventory", "monthly")),
     "operator": Node(("dx", "dy", "xmin", "ymin", "flux_freq", "location_site_map", "footprint_path"), ("observations", "prior", "foot", "resolutions")),
 }
 

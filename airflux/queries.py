@@ -188,6 +188,25 @@ def sim_id(spark, sf_dir):
     return named.join(ids, "event_id")
 
 
+@query(f"""with {OBS} select event_id, strftime("Time_UTC", '%Y%m%d%H%M') || '_' || longitude || '_' || latitude || '_' || height as sim_id from obs""")
+def receptor_ids(spark, sf_dir):
+    """Whole simulation ids: minute, longitude, latitude, height."""
+    rows = obs(spark, sf_dir).withColumn("site", F.col("event_id").cast("string"))
+    return writers.receptors(rows).select(F.col("site").cast("long").alias("event_id"), "sim_id")
+
+
+@query("""select event_id, event_type, json_extract_string(props, '$.k')::double as k, user_id::double as user from events""")
+def text_to_numbers(spark, sf_dir):
+    """Text columns become numbers where all their values are."""
+    text = read(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.col("user_id").cast("string").alias("user"))
+    return qa.to_numbers(text, ["event_type", "k", "user"])
+
+
+@query(f"with {OBS} select event_id from obs where longitude between -112.1 and -111.9 and latitude between 40.5 and 40.7")
+def readings_in_box(spark, sf_dir):
+    return qa.in_box(obs(spark, sf_dir), -112.1, 40.5, -111.9, 40.7).select("event_id")
+
+
 @query(f"""with {OBS} select site, round(latitude, 5) as lati, round(longitude, 5) as long, height as zagl, "Time_UTC" as time from obs""")
 def receptors(spark, sf_dir):
     rows = writers.receptors(obs(spark, sf_dir))
@@ -514,6 +533,45 @@ def fit_metrics(spark, sf_dir):
     return out.select("l_linestatus", *(r6(c) for c in out.columns[1:5]), "n_obs")
 
 
+@query("""with p as (select o_orderpriority as k, date_trunc('month', o_orderdate)::timestamp as t, sum(o_totalprice) as v from orders group by 1, 2),
+  q as (select o_orderpriority as k, date_trunc('month', o_orderdate)::timestamp as t, sum(o_totalprice) as v from orders where o_orderstatus = 'F' group by 1, 2),
+  a as (select k, avg(v) as p from p group by 1), b as (select k, avg(v) as q, stddev_samp(v) as s from q group by 1)
+  select k as grp, round(p, 2) as prior_flux_mean, round(q, 2) as posterior_flux_mean, round(s, 2) as posterior_flux_std,
+    round(100 * (q - p) / nullif(p, 0), 6) as flux_change_pct from a full join b using (k)""")
+def flux_metrics(spark, sf_dir):
+    """Mean, deviation and change of monthly totals by priority."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), timeutil.floor_period(F.col("o_orderdate"), "M").alias("time"), "o_totalprice", "o_orderstatus")
+    total = lambda df: df.groupBy("grp", "time").agg(F.sum("o_totalprice").alias("total"))
+    out = inversion.flux_metrics(total(rows), total(rows.where("o_orderstatus = 'F'")), ["grp"])
+    means = ("prior_flux_mean", "posterior_flux_mean", "posterior_flux_std")
+    return out.select("grp", *(F.round(c, 2).alias(c) for c in means), r6("flux_change_pct"))
+
+
+@query("""with d as (select date_trunc('month', l_shipdate)::timestamp as month, avg(l_tax * l_discount) as v from lineitem where l_returnflag = 'R' group by 1),
+  s as (select date_trunc('month', l_shipdate)::timestamp as month, avg(l_quantity) as v from lineitem where l_linestatus = 'O' group by 1),
+  o as (select date_trunc('month', o_orderdate)::timestamp as month, count(*) as v from orders group by 1)
+  select month, round(d.v, 8) as diagnosed, round(s.v, 6) as specified, o.v::double as n from d full join s using (month) full join o using (month)""")
+def aligned_errors(spark, sf_dir):
+    """Series of three origins, aligned by month; none of them has every month."""
+    month = lambda c: F.date_trunc("MONTH", c).cast("timestamp_ntz").alias("month")
+    lines = read(spark, sf_dir, "lineitem")
+    parts = {
+        "diagnosed": lines.where("l_returnflag = 'R'").groupBy(month("l_shipdate")).agg(F.avg(F.col("l_tax") * F.col("l_discount")).alias("value")),
+        "specified": lines.where("l_linestatus = 'O'").groupBy(month("l_shipdate")).agg(F.avg("l_quantity").alias("value")),
+        "n": read(spark, sf_dir, "orders").groupBy(month("o_orderdate")).agg(F.count("*").alias("value")),
+    }
+    return report.aligned(parts, ["month"]).select("month", F.round("diagnosed", 8).alias("diagnosed"), r6("specified"), "n")
+
+
+@query(f"""with {COO}, c as (select cell, sum(v) as v from coo group by 1), s as (select distinct p_partkey % 100 as cell from part)
+  select cell, round(coalesce(v, 0), 4) as value from s left join c using (cell)""")
+def filled_cells(spark, sf_dir):
+    """Sums of the operator's columns for every cell of the state; those that it does not reach have 0."""
+    sums = coo(spark, sf_dir).groupBy("cell").agg(F.sum("value").alias("value"))
+    states = read(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("cell"))
+    return inversion.filled(sums, states, ["cell"]).select("cell", F.round("value", 4).alias("value"))
+
+
 @query("""select l_returnflag, round(quantile_cont(l_extendedprice, 0.0), 6) as low, round(quantile_cont(l_extendedprice, 0.25), 6) as q1,
   round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.75), 6) as q3, round(quantile_cont(l_extendedprice, 1.0), 6) as high
   from lineitem group by 1""")
@@ -789,12 +847,23 @@ def enough_per_interval(spark, sf_dir):
 
 
 @query("""with h as (select user_id % 3 as site, date_trunc('hour', ts)::timestamp as obs_time, avg(value) as v from events group by 1, 2),
-  m as (select obs_time, avg(v) as v from h group by 1)
-  select obs_time, round(case when count(v) over w >= 6 then quantile_cont(v, 0.01) over w end, 6) as background from m
-  window w as (order by obs_time range between interval '23:59:59.999999' preceding and current row)""")
+  d as (select site, obs_time, v from (select distinct site from h) join (select distinct obs_time from h) on true left join h using (site, obs_time)),
+  b as (select obs_time, case when count(v) over w >= 6 then quantile_cont(v, 0.01) over w end as b from d
+    window w as (partition by site order by obs_time range between interval '23:59:59.999999' preceding and current row))
+  select obs_time, round(avg(b), 6) as background from b group by 1""")
 def rolling_background(spark, sf_dir):
+    """Mean over the sites of each one's rolling percentile, at every hour that any of them has."""
     hourly_ = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("site"), F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).agg(F.avg("value").alias("CH4"))
-    return plan.background("rolling", hourly_, window="1d", min_periods=6).select("obs_time", r6("background"))
+    return plan.background("rolling", hourly_, hours=hourly_, window="1d", min_periods=6).select("obs_time", r6("background"))
+
+
+@query()
+def curve_background(spark, sf_dir):
+    """A curve fitted to the daily means of orders (as samples in ppb), at every hour of events."""
+    day = F.date_trunc("DAY", "o_orderdate").cast("timestamp_ntz").alias("obs_time")
+    samples = read(spark, sf_dir, "orders").groupBy(day).agg(F.avg("o_totalprice").alias("value"))
+    hours = read(spark, sf_dir, "events").select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("obs_time")).distinct()
+    return plan.background("gml", hours, samples=samples).select("obs_time", r6("background"))
 
 
 # --- concentrations, point sources, forward operator -----------------------------------------------
@@ -998,6 +1067,26 @@ def nearest_time(spark, sf_dir):
     return out.select("time", r6("lon"), r6("lat"), "value")
 
 
+_SECTORS_SQL = """select date_trunc('{unit}', l_shipdate)::timestamp as time, l_partkey % 8 as i, l_suppkey % 6 as j, 's' || (l_linenumber % 5) as sector, sum(l_quantity){scale} as value from lineitem {where} group by 1, 2, 3, 4"""
+
+
+@query(f"""with a as ({_SECTORS_SQL.format(unit="year", scale=" / 12", where="")}), m as ({_SECTORS_SQL.format(unit="month", scale="", where="where l_linenumber % 5 < 3")}),
+  alone as (select * from a where sector not in (select sector from m)),
+  n as (select m.time, max(y.time) as year from (select distinct time from m) m join (select distinct time from alone) y on y.time <= m.time group by 1),
+  u as (select time, i, j, value from m union all select n.time, i, j, value from alone join n on alone.time = n.year)
+  select time, round(-112.15 + i * 0.1, 6) as lon, round(40.5 + j * 0.1, 6) as lat, round(sum(value), 4) as value from u group by 1, 2, 3""")
+def merged_inventory(spark, sf_dir):
+    """All line items by year and sector, some sectors by month: the yearly ones filled forward to the months, all summed."""
+    cell = (F.round(F.lit(-112.15) + (F.col("l_partkey") % 8) * 0.1, 6).alias("lon"), F.round(F.lit(40.5) + (F.col("l_suppkey") % 6) * 0.1, 6).alias("lat"))
+    sector = F.concat(F.lit("s"), (F.col("l_linenumber") % 5).cast("string")).alias("sector")
+    by = lambda df, unit: df.groupBy(F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("time"), *cell, sector)
+    lines = read(spark, sf_dir, "lineitem")
+    annual = by(lines, "YEAR").agg((F.sum("l_quantity") / 12).alias("value"))
+    monthly = by(lines.where("l_linenumber % 5 < 3"), "MONTH").agg(F.sum("l_quantity").alias("value"))
+    out = inversion.sector_sum(inversion.merged_inventory(annual, monthly))
+    return out.select("time", "lon", "lat", F.round("value", 4).alias("value"))
+
+
 @query(f"""with y as (select date_trunc('year', o_orderdate)::timestamp as t, o_orderpriority as sector, sum(o_totalprice) as value from orders group by 1, 2), {_ORDER_BINS}
   select bin_start as time, sector, round(value, 2) as value from bins asof join y on bin_start >= t cross join (select 1)""".replace(" cross join (select 1)", "").replace(
     "bins asof join y on bin_start >= t", "(select bin_start, sector from bins, (select distinct sector from y)) b asof join y on b.sector = y.sector and b.bin_start >= y.t"
