@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,7 @@ from .arrow_text import buffer_of, distinct_pieces, ranges, slices, space_cuts
 from .packing import PieceEncoder
 
 BLANK = "▁"
+LONG = 4096  # characters of a stretch without blanks from which its best scores lie in arrays
 
 
 class PieceModel:
@@ -51,13 +53,15 @@ class PieceModel:
 
     def segment(self, text: str) -> list[int]:
         n, unknown, single = len(text), self.unknown, self.single
-        best, back = [0.0] + [-math.inf] * n, [(0, 0)] * (n + 1)
+        best, ids, sizes = [0.0] + [-math.inf] * n, [0] * (n + 1), [0] * (n + 1)
+        if n > LONG:  # sixteen bytes a character instead of an object each
+            best, ids, sizes = array("d", best), array("i", ids), array("i", sizes)
         done = 0
 
         def fallback(upto: int) -> None:
             for i in range(done, upto):
                 if text[i] not in single and best[i] + unknown > best[i + 1]:
-                    best[i + 1], back[i + 1] = best[i] + unknown, (-1, 1)
+                    best[i + 1], ids[i + 1], sizes[i + 1] = best[i] + unknown, -1, 1
 
         for end, (number, length, score) in self.automaton.iter(text):
             if end > done:
@@ -65,11 +69,11 @@ class PieceModel:
                 done = end
             reached = best[end + 1 - length] + score
             if reached > best[end + 1]:
-                best[end + 1], back[end + 1] = reached, (number, length)
+                best[end + 1], ids[end + 1], sizes[end + 1] = reached, number, length
         fallback(n)
         out, at = [], n
         while at:
-            number, length = back[at]
+            number, length = ids[at], sizes[at]
             if number < 0:
                 out += [self.bytes[b] for b in reversed(text[at - 1].encode("utf-8"))]
             else:
