@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .arrow_text import buffer_of, distinct_pieces, ranges, slices, space_cuts, text_column
 
 SAMPLE, BUCKETS, PENALTY, TEMPER = 2048, 1 << 16, 8.0, 0.5
+MOST_LANGUAGES = 256  # of a model: its table is a number for each bucket and language
+HELD_LANGUAGES = 32  # of which a task keeps counts before it passes them on
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -205,7 +207,10 @@ class Model:
         return sums.astype(np.float32)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Counts of n-grams and scripts by language, from at most ``sample`` documents of each.
+
+    The driver gets one row a language, of at most one count a bucket and script; more than ``most_languages`` raise ValueError."""
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     keyed = labelled.select(F.xxhash64("doc_id").alias("hash"), "text", "lang")
     # One row a language: the hash up to which its sample goes.  Of its documents only the share of
@@ -235,6 +240,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Mode
                     g, s = total.setdefault(code, (np.zeros(buckets, np.int64), np.zeros(len(NAMES), np.int64)))
                     g += np.bincount(grams[ranges(start[own], n[own])], minlength=buckets)
                     s += np.bincount(script[own], minlength=len(NAMES))
+                if len(total) >= HELD_LANGUAGES:
+                    yield from counted(total)
+                    total.clear()
+        yield from counted(total)
+
+    def counted(total: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for code, (g, s) in total.items():
             flat = np.append(g, s)
             some = np.flatnonzero(flat)
@@ -243,16 +254,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Mode
                 names=["lang", "slot", "n"],
             )
 
-    rows = (
-        chosen.select("text", "lang")
-        .mapInArrow(count, "lang string, slot long, n long")
-        .groupBy("lang", "slot")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
-    langs = sorted(rows["lang"].unique())
+    sums = chosen.select("text", "lang").mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("counts")).limit(most_languages + 1).toArrow()
+    if rows.num_rows > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    found = rows.column("lang").to_pylist()
+    langs = sorted(found)
     flat = np.zeros((buckets + len(NAMES), len(langs)), np.int64)
-    flat[rows["slot"].to_numpy(np.int64), [langs.index(x) for x in rows["lang"]]] = rows["n"].to_numpy(np.int64)
+    for code, counts in zip(found, (c for chunk in rows.column("counts").chunks for c in chunk)):
+        flat[counts.values.field("slot").to_numpy(), langs.index(code)] = counts.values.field("n").to_numpy()
     return Model(langs, flat[:buckets], flat[buckets:])
 
 

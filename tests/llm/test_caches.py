@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from airflux.llm import langid, packing
+from airflux.llm import pieces as pieces_of
 from airflux.llm.queries import tokenizer_path
 
 #: Texts with and without blanks: lines of the second kind are single strings.
@@ -55,3 +56,24 @@ def test_ids_of_sixteen_bits_need_a_vocabulary_that_fits(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(Exception, match="65536"):
         packing.packed_matrices(docs, str(path)).count()
+
+
+def test_languages_are_bounded_and_passed_on(spark, monkeypatch):
+    rows = [(k, f"word{k % 7} some text of {lang}", lang) for k in range(60) for lang in ("a", "b", "c", "d", "e")]
+    docs = spark.createDataFrame([*rows, (1, None, "f"), (2, "x", None)], "doc_id long, text string, lang string")
+    whole = langid.train(docs)
+    assert whole.langs == ["a", "b", "c", "d", "e"] and langid.train(docs.limit(0)).langs == []
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 2)
+    parted = langid.train(docs)
+    assert parted.langs == whole.langs and (parted.logp == whole.logp).all() and (parted.allowed == whole.allowed).all()
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, most_languages=4)
+
+
+def test_long_stretches_are_segmented_as_short_ones(monkeypatch):
+    model = pieces_of.PieceModel([("a", -1.0, 1), ("ab", -1.5, 2), ("ba", -1.2, 3), ("aba", -1.9, 4), ("c", -0.5, 5)], {k: 100 + k for k in range(256)})
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdé"), 9000))
+    long = model.segment(text)
+    monkeypatch.setattr(pieces_of, "LONG", 10**9)
+    assert model.segment(text) == long and model.segment("") == [] and len(long) > 4000
