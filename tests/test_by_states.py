@@ -50,7 +50,7 @@ def test_bounds(spark, monkeypatch):
         solvers.solve(jac, obs, prior, var, written, by_states=True)
 
 
-@pytest.mark.parametrize("name", ["kronecker_posterior", "posterior_information"])
+@pytest.mark.parametrize("name", ["kronecker_posterior", "posterior_information", "cg_posterior"])
 def test_queries_take_no_steps(spark, monkeypatch, name):
     def steps(*_, **__):
         raise AssertionError("steps over all observations")
