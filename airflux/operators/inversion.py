@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell_area_m2
 from ..functions.timeutil import duration_us, micros, season, truncated
+from .qa import exact_percentiles
 
 MOST_DENSE = 5000  # observations or states of a dense solve on the driver
 MOST_TIMES = 100_000  # distinct times matched on the driver
@@ -459,9 +460,8 @@ def frobenius(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def five_numbers(table: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
     names = ("low", "q1", "median", "q3", "high")
-    return table.groupBy(*keys).agg(q.alias("q")).select(*keys, *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+    return exact_percentiles(table, value, [0.0, 0.25, 0.5, 0.75, 1.0], list(keys)).select(*keys, *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 
 
 def emissions(fluxes: DataFrame, dlon: float, dlat: float, seconds: float) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import UTC_OFFSET, local_time
+from ..scratch import written
 from ..sources.registry import BASE_FLAGS, POLLUTANTS
 
 ORDER = "Time_UTC Time_MST site org instrument CH4 CO2 H2O CO H2CO is_mobile latitude longitude height altitude".split()
@@ -102,9 +105,52 @@ def to_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns if not test[c]})
 
 
+SKETCH = 10_000  # accuracy of the sketch that brackets a percentile: a bracket holds about six rows in so many
+
+
+def exact_percentiles(df: DataFrame, column: str, shares: list[float], keys: list[str] = ()) -> DataFrame:
+    """(keys, q): exact percentiles at the ``shares`` as ``percentile`` has them, without all values of a key in one task.
+
+    A sketch brackets each percentile; rows below a bracket are counted, and only those within it are put in order.
+    Were a rank outside its bracket, which the counts show, the aggregate over all values is taken."""
+    names = [f"__k{k}" for k in range(len(keys))] or ["__all"]
+    named = [F.col(c).alias(n) for c, n in zip(keys, names)] or [F.lit(0).alias("__all")]
+    rows = df.select(*named, F.col(column).cast("double").alias("__v"))
+    m, margin = len(shares), 2 / SKETCH
+    ends = [F.lit(min(max(q + by, 0.0), 1.0)) for by in (-margin, margin) for q in shares]
+    sketch = rows.groupBy(*names).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", F.array(*ends), F.lit(SKETCH)).alias("__e"))
+    sketch = written(sketch, "sketch")
+    wide = sketch.select(*(F.col(n).alias(f"{n}_") for n in names), "__e")
+    same = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names))
+    met = rows.where("__v is not null").join(wide, same)
+    low, high = (lambda i: F.get("__e", i)), (lambda i: F.get("__e", i + m))
+    below = met.groupBy(*names).agg(F.array(*(F.count_if(F.col("__v") < low(F.lit(i))) for i in range(m))).alias("__below"))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: (F.col("__v") >= low(i)) & (F.col("__v") <= high(i)))
+    inside = met.select(*names, "__v", F.explode(inside).alias("__i")).groupBy(*names, "__i", "__v").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*names, "__i").orderBy("__v"))
+    inside = inside.withColumn("__upto", upto)
+    counts = sketch.select(*names, "__n").join(below.select(*(F.col(n).alias(f"{n}_") for n in names), "__below"), same).drop(*(f"{n}_" for n in names))
+    counts = counts.select(*(F.col(n).alias(f"{n}_") for n in names), "__n", "__below")
+    at = F.get(F.array(*(F.lit(float(q)) for q in shares)), F.col("__i")) * (F.col("__n") - 1)
+    ranked = inside.join(counts, same).withColumns({"__at": at, "__to": F.get("__below", F.col("__i")) + F.col("__upto")})
+    holds = lambda r: F.max(F.when((r < F.col("__to")) & (r >= F.col("__to") - F.col("__c")), F.col("__v")))
+    lower, higher = F.floor("__at"), F.ceil("__at")
+    ranked = ranked.groupBy(*names, "__i").agg(holds(lower).alias("a"), holds(higher).alias("b"), F.max("__at").alias("__at"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((higher - F.col("__at")) * F.col("a") + (F.col("__at") - lower) * F.col("b"))
+    q = F.transform(F.array_sort(F.collect_list(F.struct("__i", value.alias("v")))), lambda x: x["v"])
+    found = ranked.groupBy(*(F.col(n).alias(f"{n}_") for n in names)).agg(q.alias("q"))
+    out = written(sketch.select(*names, "__n").join(found, same, "left"), "percentiles")
+    back = [F.col(n).alias(c) for c, n in zip(keys, names)]
+    missed = out.where((F.col("__n") > 0) & (F.col("q").isNull() | (F.size("q") < m) | F.exists("q", lambda v: v.isNull())))
+    if missed.count():
+        return df.groupBy(*keys).agg(F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, shares))).alias("q"))
+    return out.select(*back, "q")
+
+
 def outliers_trimmed(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows strictly between two exact quantiles of the whole column (two numbers go to the driver)."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q")).first()["q"]
+    q = exact_percentiles(df, column, [low, high]).first()
+    q = q and q["q"]
     return df.where((F.col(column) > q[0]) & (F.col(column) < q[1])) if q else df.limit(0)
 
 
