@@ -6,10 +6,14 @@ Positions that are null or not a number have no nearest point and lie on no rout
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.geo import segment_distance, utm_inverse
+from ..functions.geo import utm_inverse
 from ..scratch import written
 
 STEP = 3  # bits of a coordinate that a level adds: a cell has 64 children at most
@@ -17,6 +21,7 @@ LEVELS = 8
 #: Cells or points that are sent to all tasks: about 5 MB; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 BLOCK = 4096
+PAIRS = 1 << 24  # places times pieces that meet in a group: bounds the routes that a task gives out at once
 
 SEGMENT = ["ax", "ay", "bx", "by"]
 
@@ -140,6 +145,15 @@ def routes_at(df: DataFrame, segments: DataFrame, radius: float, x: str = "easti
     reaches a few cells; places meet the segments of their own cell and are measured against the
     whole segment.  Segments with a null end or no name are left out.  An existing column ``out`` is replaced.
     """
+    found = _passing(_places(df, x, y), segments, radius)
+    got = _with_places(df.drop(out), found, x, y)
+    none = F.array().cast(found.schema["__routes"].dataType)
+    return got.withColumn(out, F.coalesce("__routes", none)).drop("__routes")
+
+
+def _passing(places: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+    """(__x, __y, __routes) of every place (__x, __y): each is measured against the pieces of its own cell in one group,
+    so a pair of place and route is never a row and never moves.  A cell of many pairs is several groups."""
     if not radius > 0:
         raise ValueError(f"not a radius: {radius!r}")
     cell, reach = 4.0 * radius, radius * 1.000001 + 1e-6
@@ -154,12 +168,43 @@ def routes_at(df: DataFrame, segments: DataFrame, radius: float, x: str = "easti
         return F.sequence(F.floor((F.least(one, two) - reach) / cell), F.floor((F.greatest(one, two) + reach) / cell))
 
     pieces = pieces.withColumn("__cx", F.explode(span("ax", "bx"))).withColumn("__cy", F.explode(span("ay", "by"))).drop("m", "k").distinct()
-    places = _places(df, x, y).withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
-    met = places.join(pieces, ["__cx", "__cy"]).where(segment_distance(F.col("__x"), F.col("__y"), *map(F.col, SEGMENT)) <= radius)
-    found = met.groupBy("__x", "__y").agg(F.sort_array(F.collect_set("route")).alias("__routes"))
-    got = _with_places(df.drop(out), found, x, y)
-    none = F.array().cast(found.schema["__routes"].dataType)
-    return got.withColumn(out, F.coalesce("__routes", none)).drop("__routes")
+    places = places.withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
+    places, pieces = written(places, "places"), written(pieces, "pieces")
+    cell_of = ["__cx", "__cy"]
+    busy = places.groupBy(*cell_of).agg(F.count("*").alias("n")).join(pieces.groupBy(*cell_of).agg(F.count("*").alias("m")), cell_of)
+    busy = busy.select(*cell_of, F.ceil(F.col("n") * F.col("m") / PAIRS).alias("__parts")).where("__parts > 1")
+    parts = F.coalesce("__parts", F.lit(1).cast("long"))
+    places = places.join(busy, cell_of, "left").withColumn("__part", F.pmod(F.xxhash64("__x", "__y"), parts)).drop("__parts")
+    pieces = pieces.join(busy, cell_of, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+    group = [*cell_of, "__part"]
+    kind = pa.list_(to_arrow_type(pieces.schema["route"].dataType))
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right["route"]))
+        names = right["route"].combine_chunks()
+        new = pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False) if len(names) > 1 else np.zeros(0, bool)
+        route = np.append(0, np.cumsum(new)) if len(names) else np.zeros(0, np.int64)
+        xs, ys = (left[c].to_numpy() for c in ("__x", "__y"))
+        ax, ay, bx, by = (right[c].to_numpy() for c in SEGMENT)
+        dx, dy = bx - ax, by - ay
+        length = dx * dx + dy * dy
+        over = np.where(length > 0, length, 1.0)
+        hits, counts, step = [], [], max(1, (1 << 18) // max(1, len(ax)))
+        for at in range(0, len(xs), step):
+            px, py = xs[at : at + step, None], ys[at : at + step, None]
+            t = np.clip(np.where(length > 0, ((px - ax) * dx + (py - ay) * dy) / over, 0.0), 0.0, 1.0)
+            row, col = np.nonzero(np.hypot(px - (ax + t * dx), py - (ay + t * dy)) <= radius)
+            first = np.ones(len(row), bool)  # of the segments of a route at a place
+            first[1:] = (row[1:] != row[:-1]) | (route[col[1:]] != route[col[:-1]])
+            hits.append(col[first])
+            counts.append(np.bincount(row[first], minlength=len(px)))
+        ends = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1, np.int64)
+        taken = names.take(pa.array(np.concatenate(hits))) if hits else names[:0]
+        routes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken)
+        return pa.table({"__x": left["__x"], "__y": left["__y"], "__routes": routes.cast(kind)})
+
+    schema = f"__x double, __y double, __routes array<{pieces.schema['route'].dataType.simpleString()}>"
+    return places.groupBy(*group).cogroup(pieces.groupBy(*group)).applyInArrow(measure, schema)
 
 
 def line_points(segments: DataFrame, spacing: float) -> DataFrame:
@@ -189,8 +234,8 @@ def route_points(segments: DataFrame, spacing: float = 2000.0, meters: bool = Tr
     """Points along all routes with the joined names of the routes within half the spacing of them.
 
     (x, y, routes) in metres, or (longitude, latitude, routes) to five decimals."""
-    points = routes_at(line_points(segments, spacing), segments, spacing / 2, "x", "y")
-    points = points.withColumn("routes", F.array_join(F.col("routes").cast("array<string>"), ""))
+    points = _passing(_places(line_points(segments, spacing), "x", "y"), segments, spacing / 2)
+    points = points.select(F.col("__x").alias("x"), F.col("__y").alias("y"), F.array_join(F.col("__routes").cast("array<string>"), "").alias("routes"))
     if meters:
         return points
     lat, lon = utm_inverse(F.col("x"), F.col("y"), zone)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from airflux.functions import geo
 from airflux.operators import levels, spatial
+from airflux.scratch import written
 
 
 def brute_nearest(places, points):
@@ -129,3 +130,23 @@ def test_levels(spark):
     assert levels.at_pressures(rows.limit(0), ["col"], targets).count() == 0
     with pytest.raises(ValueError):
         levels.with_pressure(df, spark.createDataFrame([(1, 0.0, 1.0), (1, 0.0, 1.0)], "level int, a double, b double"))
+
+
+def test_pairs_of_places_and_routes_are_no_rows(spark, monkeypatch):
+    """What moves is places and pieces; a full cell is several groups with the same result."""
+    segments = written(spark.range(300).selectExpr("concat('r', id % 150) as route", "id as n", "double(id % 40) as ax", "double(id % 7) as ay", "double(id % 11) as bx", "double(id % 30) as by"), "s")
+    places = spark.range(400).selectExpr("double(id % 20) as x", "double(id div 20) as y").union(spark.sql("select 900.0D, 900.0D"))
+    want = {(r["x"], r["y"]): r["routes"] for r in spatial.routes_at(places, segments, 5.0, "x", "y").collect()}
+    rows = {(s["route"], *(s[c] for c in spatial.SEGMENT)) for s in segments.collect()}
+    for (x, y), routes in want.items():
+        near = set()
+        for route, ax, ay, bx, by in rows:
+            dd = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / dd, 0), 1) if dd else 0
+            near |= {route} if ((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2) ** 0.5 <= 5.0 else set()
+        assert routes == sorted(near)
+    monkeypatch.setattr(spatial, "PAIRS", 1000)
+    again = spatial.routes_at(places, segments, 5.0, "x", "y")
+    assert {(r["x"], r["y"]): r["routes"] for r in again.collect()} == want
+    plan = spatial.route_points(segments, 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
