@@ -7,6 +7,7 @@ not by key alone, and a long record is worked on in parallel.
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -21,27 +22,40 @@ from ..functions.timeutil import duration_us, micros
 from ..scratch import written
 
 
+MOMENTS = 4096
+
+
 def stretched(df: DataFrame, time: str, before_us: int, after_us: int = 0, least_us: int = 86_400_000_000) -> DataFrame:
     """``df`` with __us, __stretch and __own: each row once as its own, and as a guest where a window reaches it."""
+    return _spread(df.withColumn("__us", micros(F.col(time))), before_us, after_us, least_us)
+
+
+def _spread(df: DataFrame, before_us: int, after_us: int = 0, least_us: int = 86_400_000_000) -> DataFrame:
     width = max(before_us, after_us, least_us)
-    us = micros(F.col(time))
-    rows = df.withColumn("__us", us).where("__us is not null").withColumn("__at", F.expr(f"cast(floor(__us / {width}) as long)"))
+    rows = df.where("__us is not null").withColumn("__at", F.expr(f"cast(floor(__us / {width}) as long)"))
     first = F.floor((F.col("__us") - after_us) / width).cast("long")
     last = F.floor((F.col("__us") + before_us) / width).cast("long")
     out = rows.withColumn("__stretch", F.explode(F.sequence(first, last)))
     return out.withColumn("__own", F.col("__stretch") == F.col("__at")).drop("__at")
 
 
-def rolling(df: DataFrame, keys: list[str], time: str, before_us: int, after_us: int, columns: list[Column], name: str, evaluate) -> DataFrame:
+def rolling(df: DataFrame, keys: list[str], time: str, before_us: int, after_us: int, columns: list[Column], name: str, evaluate, counted: bool = False) -> DataFrame:
     """``df`` plus the double ``name`` over the rows in [t - before, t + after] of each row.
 
     ``evaluate(values, first, stop, at)`` gets the ``columns`` as arrays (null: nan) in the order of time, and for
     each distinct time the rows first..stop of its window; ``at`` maps rows to distinct times.  It works on one
     stretch of one key in an Arrow batch, in linear or n log n time.  Rows with a null time are left out; rows with
-    equal times have equal windows; null keys are a key; an empty table gives an empty one."""
-    inputs = [f"__in{k}" for k in range(len(columns))]
-    rows = stretched(df.withColumns(dict(zip(inputs, (c.cast("double") for c in columns)))), time, before_us, after_us)
-    names = df.columns
+    equal times have equal windows; null keys are a key; an empty table gives an empty one.
+
+    Only keys, times and ``columns`` go to the tasks of a stretch, and one number for each time comes back and is joined to
+    the rows.  With ``counted``, rows of equal key, time and columns are one there, and their number follows the columns."""
+    inputs, names = [f"__in{k}" for k in range(len(columns))], [f"__key{k}" for k in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), micros(F.col(time)).alias("__us"), *(c.cast("double").alias(n) for n, c in zip(inputs, columns)))
+    if counted:
+        rows = rows.groupBy(*names, "__us", *inputs).agg(F.count("*").cast("double").alias("__rows"))
+        inputs = [*inputs, "__rows"]
+    rows = _spread(rows, before_us, after_us)
+    kind = StructType([*rows.select(*names, "__us").schema.fields, StructField("__out", DoubleType())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["__us"]))
@@ -50,18 +64,20 @@ def rolling(df: DataFrame, keys: list[str], time: str, before_us: int, after_us:
         values = [pc.fill_null(table[c], np.nan).to_numpy() for c in inputs]
         first, stop = np.searchsorted(us, moments - before_us), np.searchsorted(us, moments + after_us, side="right")
         out = evaluate(values, first, stop, at)
-        made = table.select(names).append_column(name, pa.array(out[at], pa.float64(), mask=np.isnan(out[at])))
-        return made.filter(table["__own"])
+        one = np.flatnonzero(np.append(True, us[1:] != us[:-1]) & table["__own"].to_numpy())[: len(us)]
+        made = table.select([*names, "__us"]).take(pa.array(one))
+        return made.append_column("__out", pa.array(out[at[one]], pa.float64(), mask=np.isnan(out[at[one]])))
 
-    kind = StructType([*df.schema.fields, StructField(name, DoubleType())])
-    return rows.groupBy(*keys, "__stretch").applyInArrow(run, kind)
+    found = rows.groupBy(*names, "__stretch").applyInArrow(run, kind).withColumnRenamed("__us", "__when")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)), micros(F.col(time)) == F.col("__when"))
+    return df.join(found, same).select(*df.columns, F.col("__out").alias(name))
 
 
 class Ranks:
     """Counts by rank in a Fenwick tree: add, remove and find the k-th smallest in O(log n)."""
 
     def __init__(self, size: int):
-        self.size, self.tree, self.top = size, [0] * (size + 1), 1 << max(size.bit_length() - 1, 0)
+        self.size, self.tree, self.top = size, array("q", bytes(8 * (size + 1))), 1 << max(size.bit_length() - 1, 0)
 
     def add(self, rank: int, by: int) -> None:
         tree, i = self.tree, rank + 1
@@ -81,31 +97,37 @@ class Ranks:
 
 
 def sliding_percentile(q: float, least: int):
-    """Exact percentile (between neighbours by share) of each window with ``least`` or more values."""
+    """Exact percentile (between neighbours by share) of each window with ``least`` or more values, given with their counts."""
 
     def evaluate(values, first, stop, at) -> np.ndarray:
-        (v,) = values
+        v, rows = values
         some = ~np.isnan(v)
         ranked, rank = np.unique(v[some], return_inverse=True)
         place = np.full(len(v), -1, np.int64)
         place[some] = rank
-        places, ranks, out = place.tolist(), Ranks(len(ranked)), np.full(len(first), np.nan)
+        rows = rows.astype(np.int64)
+        ranks, out = Ranks(len(ranked)), np.full(len(first), np.nan)
+        listed = lambda a, b: list(zip(place[a:b].tolist(), rows[a:b].tolist()))
         lo = hi = n = 0
-        for k, (a, b) in enumerate(zip(first.tolist(), stop.tolist())):
-            for r in places[hi:b]:
-                if r >= 0:
-                    ranks.add(r, 1)
-                    n += 1
-            for r in places[lo:a]:
-                if r >= 0:
-                    ranks.add(r, -1)
-                    n -= 1
-            lo, hi = a, b
-            if n and n >= least:
-                x = q * (n - 1)
-                low, share = int(x), x - int(x)
-                below = ranked[ranks.smallest(low)]
-                out[k] = below if share == 0 else below * (1 - share) + ranked[ranks.smallest(low + 1)] * share
+        for at in range(0, len(first), MOMENTS):  # Python's own numbers are made for so many windows only
+            firsts, stops = first[at : at + MOMENTS].tolist(), stop[at : at + MOMENTS].tolist()
+            gone, here = lo, hi
+            come, go = listed(hi, stops[-1]), listed(lo, firsts[-1])
+            for k, (a, b) in enumerate(zip(firsts, stops), at):
+                for r, c in come[hi - here : b - here]:
+                    if r >= 0:
+                        ranks.add(r, c)
+                        n += c
+                for r, c in go[lo - gone : a - gone]:
+                    if r >= 0:
+                        ranks.add(r, -c)
+                        n -= c
+                lo, hi = a, b
+                if n and n >= least:
+                    x = q * (n - 1)
+                    low, share = int(x), x - int(x)
+                    below = ranked[ranks.smallest(low)]
+                    out[k] = below if share == 0 else below * (1 - share) + ranked[ranks.smallest(low + 1)] * share
         return out
 
     return evaluate
@@ -157,7 +179,7 @@ def sliding_corr(values, first, stop, at) -> np.ndarray:
 
 def rolling_baseline(df: DataFrame, keys: list[str], time: str, value: str, window: str = "14d", q: float = 0.01, min_periods: int = 84, name: str = "baseline") -> DataFrame:
     """Exact low percentile of the trailing window (t - w, t]; null where it has fewer than ``min_periods`` values."""
-    return rolling(df, keys, time, duration_us(window) - 1, 0, [F.col(value)], name, sliding_percentile(q, min_periods))
+    return rolling(df, keys, time, duration_us(window) - 1, 0, [F.col(value)], name, sliding_percentile(q, min_periods), counted=True)
 
 
 def rolling_corr(df: DataFrame, keys: list[str], time: str, a: str, b: str, window: str = "30s", name: str = "r") -> DataFrame:

@@ -73,3 +73,17 @@ def test_islands(spark, monkeypatch, stretch, by, keyed):
     assert out.columns == [*keys, "start", "end", "n"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert windows.islands(df.limit(0), keys, "t", F.col("f"), 3).count() == 0
+
+
+def test_tasks_get_keys_times_and_values_alone(spark):
+    """Wide rows stay where they are, and equal readings at a time are one row with a count."""
+    rows = spark.range(400).selectExpr("if(id % 5 = 0, null, id % 2) as k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id div 8)) as t", "double(id % 3) as a", "repeat('x', 100) as wide", "id")
+    out = windows.rolling_baseline(rows, ["k"], "t", "a", "5h", 0.3, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert "wide" not in sent[sent.index("Aggregate") :].split("Project")[1] and "__rows" in sent
+    table = out.toPandas()
+    assert sorted(table["id"]) == list(range(400)) and list(out.columns) == [*rows.columns, "baseline"]
+    for r in table.itertuples():
+        near = table[(table["k"].isna() if r.k != r.k else table["k"] == r.k) & (table["t"] <= r.t) & (table["t"] > r.t - np.timedelta64(5, "h"))]["a"]
+        assert abs(r.baseline - np.percentile(near, 30)) < 1e-12 if len(near) >= 2 else r.baseline != r.baseline
