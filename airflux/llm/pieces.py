@@ -52,6 +52,8 @@ class PieceModel:
         self.automaton.make_automaton()
 
     def segment(self, text: str) -> list[int]:
+        if len(text) <= LONG and self.single.issuperset(text):
+            return self._of_pieces(text)
         n, unknown, single = len(text), self.unknown, self.single
         best, ids, sizes = [0.0] + [-math.inf] * n, [0] * (n + 1), [0] * (n + 1)
         if n > LONG:  # sixteen bytes a character instead of an object each
@@ -81,6 +83,24 @@ class PieceModel:
             at -= length
         return out[::-1]
 
+    def _of_pieces(self, text: str) -> list[int]:
+        """``segment`` of a short text whose characters are all pieces, so that none can be written as its bytes."""
+        n = len(text)
+        best, last = [0.0] + [-math.inf] * n, [None] * (n + 1)
+        for end, piece in self.automaton.iter(text):
+            _, length, score = piece
+            end += 1
+            reached = best[end - length] + score
+            if reached > best[end]:
+                best[end], last[end] = reached, piece
+        out = []
+        while n:
+            number, length, _ = last[n]
+            out.append(number)
+            n -= length
+        out.reverse()
+        return out
+
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float, int]], dict[int, int], list[bytes]]:
     """Ordinary pieces (piece, score, id), ids of byte pieces, and the bytes that each id stands for."""
