@@ -35,6 +35,11 @@ def slices(batch: pa.RecordBatch, name: str = "text", max_bytes: int = SLICE_BYT
         start = stop
 
 
+def given_back() -> None:
+    """Memory that Arrow holds for later batches goes back, before the process serves another task."""
+    pa.default_memory_pool().release_unused()
+
+
 def buffer_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and the ``n + 1`` offsets of the rows in them."""
     col = text_column(batch, name)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import buffer_of, slices
+from .arrow_text import buffer_of, given_back, slices
 from .common import written
 from .components import components
 
@@ -45,6 +45,8 @@ BUCKETS, MANTISSA, EMPTY = 256, 10, 0
 BANDS, ROWS = 40, 6
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
+SIGNED_BYTES = 1 << 18  # of text at a time in ``signatures``, which takes some sixty bytes for each
+PAIRS = 1024  # whose registers are compared at a time
 
 
 _TABLES: list[np.ndarray] = []
@@ -181,22 +183,25 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, vertex (a 64-bit hash of the set; null without shingles), registers, text_hash."""
+def signed_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``signatures`` of batches (doc_id, text, text_hash), some ``SIGNED_BYTES`` of text at a time."""
+    for batch in batches:
+        for part in slices(batch, max_bytes=SIGNED_BYTES):
+            h, at = shingle_sets(*buffer_of(part), width)
+            sums = np.append(U(0), np.cumsum(mix(h + U(BASE))))
+            vertex, n = mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64), np.diff(at)
+            regs = registers_of(h, at)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(vertex, pa.int64(), mask=n == 0), pa.array([r.tobytes() if k else None for r, k in zip(regs, n)], pa.binary()), part.column(2)],
+                names=["doc_id", "n_shingles", "vertex", "registers", "text_hash"],
+            )
+    given_back()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                h, at = shingle_sets(*buffer_of(part), width)
-                sums = np.append(U(0), np.cumsum(mix(h + U(BASE))))
-                vertex, n = mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64), np.diff(at)
-                regs = registers_of(h, at)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(vertex, pa.int64(), mask=n == 0), pa.array([r.tobytes() if k else None for r, k in zip(regs, n)], pa.binary()), part.column(2)],
-                    names=["doc_id", "n_shingles", "vertex", "registers", "text_hash"],
-                )
 
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, vertex (a 64-bit hash of the set; null without shingles), registers, text_hash."""
     taken = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    run = lambda batches: signed_batches(batches, width)
     return taken.mapInArrow(run, "doc_id long, n_shingles long, vertex long, registers binary, text_hash long")
 
 
@@ -216,29 +221,32 @@ def band_rows(signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.reshape(-1).view(np.int64)), pa.array(vertex)], names=["key", "vertex"]
                 )
+        given_back()
 
     some = signed.where("vertex is not null").select("vertex", "registers")
     return some.mapInArrow(run, "key long, vertex long")
 
 
+def near_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the ``likely`` rows of batches (a, b, na, nb, ra, rb), ``PAIRS`` compared at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(lo, PAIRS)
+            n, m = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            j, error = estimate(_matrix(part.column(4)), _matrix(part.column(5)), n, m)
+            near = (j + 5 * error >= percent / 100) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield part.select([0, 1]).filter(pa.array(near))
+    given_back()
+
+
 def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose estimated similarity reaches ``percent`` less five standard errors."""
     one = signed.where("vertex is not null").groupBy("vertex").agg(
         F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("r")
     )
     side = lambda s: one.select(F.col("vertex").alias(s), F.col("n").alias(f"n{s}"), F.col("r").alias(f"r{s}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            j, error = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), n, m)
-            near = (j + 5 * error >= percent / 100) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield batch.select([0, 1]).filter(pa.array(near))
-
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(lambda batches: near_batches(batches, percent), "a long, b long")
 
 
 def checked_set(raw: bytes, vertex: int, width: int) -> np.ndarray | None:
@@ -267,6 +275,7 @@ def needed_texts(needed: DataFrame, docs: DataFrame, signed: DataFrame) -> DataF
                 data, at = memoryview(raw), offs.tolist()
                 packed = [pack(data[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["at", "z"])
+        given_back()
 
     texts = docs.where("text is not null").select(name(F.col("doc_id").cast("long"), F.xxhash64("text")), "text")
     texts = texts.mapInArrow(squeeze, "at long, z binary")
@@ -447,7 +456,8 @@ def grouped_rows(docs: DataFrame, width: int, percent: int, block: int) -> DataF
         .where("low < high")
         .select("key", "size")
     )
-    members = written(band_rows(signed).join(groups, "key").distinct(), "members")
+    # A group is one row, so partitions of groups are even and small: hashed, they spare the sort of all band rows.
+    members = written(band_rows(signed).join(groups.hint("shuffle_hash"), "key").distinct(), "members")
     # The vertex that meets most others is the hub of a group: the one with fewest changes of its own.
     degree = members.groupBy("vertex").agg(F.sum("size").alias("degree"))
     hubs = members.join(degree, "vertex").groupBy("key").agg(F.max_by("vertex", F.struct("degree", "vertex")).alias("hub"))

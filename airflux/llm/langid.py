@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import buffer_of, distinct_pieces, ranges, slices, space_cuts, text_column
+from .arrow_text import buffer_of, distinct_pieces, given_back, ranges, slices, space_cuts, text_column
 
 SAMPLE, BUCKETS, PENALTY, TEMPER = 2048, 1 << 16, 8.0, 0.5
 MOST_LANGUAGES = 256  # of a model: its table is a number for each bucket and language
@@ -422,6 +422,7 @@ def labelled_documents(docs: DataFrame, model: Model, penalty: float = PENALTY,
                 begin = np.append(0, np.cumsum(count[which]))[first]
                 out = result(part.column(0), begin, known.scores[word], known.letters[word])
                 yield out.append_column("row", part.column(2)) if carry else out
+        given_back()
 
     def result(doc_id: pa.Array, begin: np.ndarray, scores: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
         n, rows = len(begin) - 1, np.diff(begin)
