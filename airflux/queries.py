@@ -626,16 +626,18 @@ def cg_posterior(spark, sf_dir):
 
 
 def _yearly_problem(spark, sf_dir):
-    """All of lineitem as operator from a grid of 90 cells and the years of shipping to the orders: operator, observations, prior."""
-    year = F.date_trunc("YEAR", "l_shipdate").cast("timestamp_ntz").alias("time")
-    cell = F.col("l_partkey") % 90
+    """All of lineitem as operator from a grid of 90 cells and the years of shipping to the orders: operator, observations, prior.
+
+    Rows are summed by the numbers that they have, names and places are made of the sums; the observations are written once."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_partkey") % 90).alias("cell"), "l_quantity")
+    rows = rows.groupBy("l_orderkey", F.date_trunc("YEAR", "l_shipdate").cast("timestamp_ntz").alias("time"), "cell").agg((F.sum("l_quantity") / 100).alias("value"))
+    cell, named = F.col("cell"), lambda key: F.concat(F.lit("p"), F.col(key).cast("string")).alias("obs_location")
     lon, lat = F.round(F.lit(-112.2) + (cell % 10) * 0.05, 6).alias("lon"), F.round(F.lit(40.45) + F.floor(cell / 10) * 0.05, 6).alias("lat")
-    place = F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("obs_location")
     when = F.lit("2024-01-01").cast("timestamp_ntz").alias("obs_time")
-    rows = read(spark, sf_dir, "lineitem").groupBy(place, when, year, lon, lat).agg((F.sum("l_quantity") / 100).alias("value"))
-    h = written(rows, "operator")
-    z = read(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("obs_location"), when, (F.col("o_totalprice") / 1e5).alias("value"))
-    z = z.join(h.select("obs_location").distinct(), "obs_location", "left_semi")
+    h = written(rows.select(named("l_orderkey"), when, "time", lon, lat, "value"), "operator")
+    reached = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    z = read(spark, sf_dir, "orders").join(reached, "o_orderkey", "left_semi")
+    z = written(z.select(named("o_orderkey"), when, (F.col("o_totalprice") / 1e5).alias("value")), "observations")
     prior = h.select("time", "lon", "lat").distinct().withColumns({"value": F.lit(1.0), "sigma": F.lit(0.2)})
     return h, z, prior
 

@@ -57,3 +57,18 @@ def test_queries_take_no_steps(spark, monkeypatch, name):
 
     monkeypatch.setattr(solvers, "conjugate_gradients", steps)
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_yearly_problem_is_written_and_whole(spark):
+    h, z, _ = queries._yearly_problem(spark, SF)
+    assert all(df.inputFiles() and "Join" not in df._jdf.queryExecution().executedPlan().toString() for df in (h, z))  # read, not worked out again
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
+    rows["year"], rows["cell"] = rows["l_shipdate"].astype("datetime64[ns]").dt.year, rows["l_partkey"] % 90
+    want = rows.groupby(["l_orderkey", "year", "cell"])["l_quantity"].sum() / 100
+    place = lambda k: (round(-112.2 + k % 10 * 0.05, 6), round(40.45 + k // 10 * 0.05, 6))
+    want = {(f"p{o}", y, *place(k)): float(v) for (o, y, k), v in want.items()}
+    got = {(r["obs_location"], r["time"].year, r["lon"], r["lat"]): r["value"] for r in h.collect()}
+    assert got == pytest.approx(want)
+    orders = spark.read.parquet(f"{SF}/orders.parquet").toPandas()
+    orders = orders[orders["o_orderkey"].isin(rows["l_orderkey"])]
+    assert dict(z.select("obs_location", "value").collect()) == pytest.approx({f"p{k}": float(v) / 1e5 for k, v in zip(orders["o_orderkey"], orders["o_totalprice"])})
